@@ -1,0 +1,7 @@
+"""Queries of the engine's own operators and their SQL."""
+QUERIES = {}
+ORACLE = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
