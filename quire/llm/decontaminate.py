@@ -1,6 +1,6 @@
 """Benchmark decontamination: approximate occurrences of test items in documents.
 
-Texts are compared as words: A-Z in lower case, runs of ASCII letters, digits and non-ASCII bytes. An item of n words has an error
+Texts are compared as words: in lower case, runs of ASCII letters, digits and all other non-ASCII characters. An item of n words has an error
 budget of k = floor(BUDGET * n) word edits. It is split into k + 1 pieces of nearly equal length; wherever it occurs with at
 most k edits, one piece occurs unchanged (pigeonhole). Pieces are found by the hash of their words: a document's
 windows of each piece length are looked up in the sorted hashes, behind a bitmap that drops most windows at
@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrowtext import Words, binary_array, chunks, lower_ascii, utf8, window_hashes
+from quire.llm.arrowtext import Words, binary_array, chunks, utf8, window_hashes
 
 BUDGET, SHORTEST, BLOCK_BYTES = 0.15, 6, 8 << 20
 FOUND = "array<struct<item_id:bigint,distance:int,first_word:bigint>>"
@@ -51,8 +52,7 @@ def split_words(buf: np.ndarray, off: np.ndarray) -> Words:
 
 
 def text_words(text: str | None) -> list[bytes]:
-    buf, off = utf8(pa.array([text or ""]))
-    buf = lower_ascii(buf)
+    buf, off = utf8(pc.utf8_lower(pa.array([text or ""])))
     w = split_words(buf, off)
     return [buf[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
 
@@ -111,8 +111,7 @@ class Index:
 
     def search(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         """Per document: (item_id, distance, first word) of the items found, by item_id."""
-        buf, off = utf8(texts)
-        buf = lower_ascii(buf)
+        buf, off = utf8(pc.utf8_lower(texts))
         w = split_words(buf, off)
         found: list[dict] = [{} for _ in range(len(off) - 1)]
         if not len(w.starts) or not self.tables:
