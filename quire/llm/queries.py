@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, licences, pieces, quality, tokencounts, urlfilter, warc
+from quire.llm import chat, decontaminate, licences, pieces, quality, repeats, tokencounts, urlfilter, warc
 from quire.llm.tables import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -38,6 +38,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, index = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(path, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontaminate, op3_chat_format, op5_warc, op6_token_counts, op7_quality_rules, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontaminate, op3_chat_format, op4_suffix_dedup, op5_warc, op6_token_counts, op7_quality_rules, op9_sentencepiece, op10_url_filter)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '#', '\h'), '</turn>', '<\sturn>')"
 _NAMED = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{g}'" for g in licences.plain_bigrams(t))) for n, t in licences.TEMPLATES)

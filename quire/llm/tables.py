@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now and not whenever the driver's memory fills up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_key(column: str = "text") -> tuple:
     """Two independent 64-bit hashes of a text; together they stand for the text."""
     text = F.coalesce(F.col(column), F.lit(""))
