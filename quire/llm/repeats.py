@@ -36,6 +36,8 @@ from quire.llm.arrowtext import chunks, mix, utf8
 from quire.llm.tables import release, remove, settle, text_key
 
 LENGTH, Q, HOT = 400, 100, 50_000
+#: Bytes hashed at a time; temporaries take about a hundred times that.
+PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -92,7 +94,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text"):
+    for part in chunks(batches, "text", PIECE):
         doc, h, at, lo, hi = anchors(*utf8(part.column(2)))
         k1, k2 = (part.column(i).to_numpy()[doc] for i in (0, 1))
         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at), pa.array(lo), pa.array(hi)], ["bucket", "k1", "k2", "at", "lo", "hi"])
@@ -185,7 +187,7 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.insert(ends, 0, 0)
         per_row = batch.nbytes / max(1, batch.num_rows)
         for e in ends[:-1].tolist():
-            if size + (e - at) * per_row >= 4 << 20:
+            if size + (e - at) * per_row >= PIECE:
                 held.append(batch.slice(at, e - at))
                 yield work(held)
                 held, size, at = [], 0, e
