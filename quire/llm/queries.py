@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, licences, pieces, quality, repeats, tokencounts, urlfilter, warc
+from quire.llm import chat, decontaminate, licences, ngramjoin, pieces, quality, repeats, tokencounts, urlfilter, warc
 from quire.llm.tables import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -56,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_table(spark, RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontaminate, op3_chat_format, op4_suffix_dedup, op5_warc, op6_token_counts, op7_quality_rules, op9_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontaminate, op3_chat_format, op4_suffix_dedup, op5_warc, op6_token_counts, op7_quality_rules, op8_ngram_join, op9_sentencepiece, op10_url_filter)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '#', '\h'), '</turn>', '<\sturn>')"
 _NAMED = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{g}'" for g in licences.plain_bigrams(t))) for n, t in licences.TEMPLATES)
@@ -100,6 +104,18 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to, url
 FROM firsts""",
+    "op8_ngram_join": r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM worded),
+grams AS (SELECT r, unnest(s) AS g FROM sets),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
+both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(r, t) AS (SELECT r, r FROM sets UNION SELECT reached.r, both.y FROM reached JOIN both ON both.x = reached.t)
+SELECT any_value(a.doc_id) AS doc_id, CAST(any_value(len(a.s)) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reached JOIN sets a ON a.r = reached.r JOIN sets b ON b.r = reached.t GROUP BY reached.r""",
     "op10_url_filter": r"""
 WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
