@@ -18,7 +18,9 @@ than v:
 
 Bounds. A shingle that no other candidate has can't be shared, so with u such shingles a set of n links only with
 sets of at most (n - u) * 185 / 85 - n shingles (and not at all if u > 0.15 n). This drops documents that share a common
-passage, and copies with too many edits, before any pair is formed.
+passage, and copies with too many edits, before any pair is formed. And each set has a sketch of ``SKETCH`` parities: bit i tells
+whether it has an odd number of the shingles that hash to i. Two sets differ in at least as many shingles as their sketches
+in bits, so a pair whose sketches differ in more than H bits isn't formed.
 
 Verification. Each node is first compared with the most central member it meets (the one that meets most others), so
 groups of near copies fall together in a star. Then only pairs are left that share a segment, are within each other's
@@ -42,7 +44,7 @@ from quire.llm.arrowtext import chunks, lower_ascii, mix, utf8, window_hashes, w
 from quire.llm.components import components
 from quire.llm.tables import release, remove, settle, text_key
 
-K, SMALL, PIECE = 4, 3, 1 << 20
+K, SMALL, SKETCH, PIECE = 4, 3, 1024, 1 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -131,8 +133,17 @@ def signatures(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(docs), np.concatenate(sigs)
 
 
+def sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SKETCH parity bits of each set as 64-bit words."""
+    n = len(first) - 1
+    bit = (mix(flat ^ _SALT) >> np.uint64(32)) % np.uint64(SKETCH)
+    at = np.repeat(np.arange(n) * SKETCH, np.diff(first)) + bit.astype(np.int64)
+    odd = (np.bincount(at, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, signatures); a node's signatures stand once in a task."""
+    """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, sketch, signatures); a node's sketch and signatures stand once in a task."""
     done: set = set()
     for part in chunks(batches, "text", PIECE):
         flat, first = shingles(part.column(3))
@@ -150,7 +161,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = np.zeros(len(n) + 1, np.int64)
         np.cumsum(np.bincount(docs, minlength=len(n)), out=off[1:])
         lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sigs[order].view(np.int64)))
-        yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(node), lists], ["doc_id", "k1", "k2", "n", "node", "sigs"])
+        each = SKETCH // 64
+        odd = sketches(flat, first)[off[1:] > off[:-1]]
+        odd = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(off[1:] > off[:-1])]).astype(np.int32) * np.int32(each)), pa.array(odd.ravel()))
+        yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(node), odd, lists], ["doc_id", "k1", "k2", "n", "node", "odd", "sigs"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +205,7 @@ def join(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select("doc_id", *text_key(), F.coalesce("text", F.lit("")).alias("text"))
-    sets = settle(keyed.mapInArrow(_sets, f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, sigs array<bigint>"))
+    sets = settle(keyed.mapInArrow(_sets, f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, odd array<bigint>, sigs array<bigint>"))
     docs = settle(sets.select("doc_id", "k1", "k2", "n", "node"))
 
     # buckets with two nodes or more
@@ -199,6 +213,8 @@ def join(documents: DataFrame) -> DataFrame:
     bucket = Window.partitionBy("sig")
     rows = rows.withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket)).where("low < high")
     met = settle(rows.select("sig", "node"))
+    odd = sets.where(F.size("odd") > 0).select("node", "odd").join(met.select("node").distinct(), "node").dropDuplicates(["node"])
+    odd = settle(odd)
     remove(spark, sets)
     release(spark)
     nodes = met.select("node").distinct()
@@ -232,12 +248,14 @@ def join(documents: DataFrame) -> DataFrame:
     labels = components(edges)
     known = settle(weighed.join(labels, "node", "left").select("sig", "node", "n", "most", F.coalesce("label", "node").alias("label")))
     mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    known = settle(known.join(mixed, "sig"))
+    known = settle(known.join(mixed, "sig").join(odd, "node"))
     counts = known.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    minor = known.join(counts, "sig").select("sig", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("label").alias("la")).where("la <> main")
-    other = known.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("label").alias("lb"))
+    minor = known.join(counts, "sig").select("sig", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("label").alias("la"), F.col("odd").alias("oa")).where("la <> main")
+    other = known.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
+    differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("oa")[0].bitwiseXOR(F.col("ob")[0])))
     # of two rows outside the main label one order is enough
-    rest = minor.join(other, "sig").where("la <> lb and na <= mb and nb <= ma and (lb = main or a < b)").select("a", "b").distinct()
+    near = F.expr("la <> lb and na <= mb and nb <= ma and (lb = main or a < b)") & (185 * differ <= 15 * (F.col("na") + F.col("nb")))
+    rest = minor.join(other, "sig").where(near).select("a", "b").distinct()
     edges = settle(edges.unionByName(_verify(rest, texts)))
     labels = components(edges)
 

@@ -112,8 +112,8 @@ sets AS (SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w)
 grams AS (SELECT r, unnest(s) AS g FROM sets),
 common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
 links AS (SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reached(r, t) AS (SELECT r, r FROM sets UNION SELECT reached.r, both.y FROM reached JOIN both ON both.x = reached.t)
+twoway AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(r, t) AS (SELECT r, r FROM sets UNION SELECT reached.r, twoway.y FROM reached JOIN twoway ON twoway.x = reached.t)
 SELECT any_value(a.doc_id) AS doc_id, CAST(any_value(len(a.s)) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
 FROM reached JOIN sets a ON a.r = reached.r JOIN sets b ON b.r = reached.t GROUP BY reached.r""",
     "op10_url_filter": r"""
