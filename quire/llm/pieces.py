@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quire.llm.arrowtext import binary_array, chunks, utf8
 
@@ -374,7 +375,7 @@ def encode(documents: DataFrame, model: str = MODEL, text: str = "text", ids: st
             got = m.encode(part.column(at)).cast(pa.list_(pa.int32()))
             yield pa.record_batch([*part.columns, got], [*part.schema.names, ids])
 
-    return rest.mapInArrow(work, rest.schema.add(ids, "array<int>"))
+    return rest.mapInArrow(work, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def digests(documents: DataFrame, model: str = MODEL) -> DataFrame:
