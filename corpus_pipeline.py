@@ -37,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     plain = _plain(docs)
     stay = ngramjoin.join(plain.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     k1, k2 = text_key()
-    kept = plain.join(stay, "doc_id", "left_semi").withColumns({"k1": k1, "k2": k2}).dropDuplicates(["doc_id", "k1", "k2"]).select(plain.columns)
+    # the ids grow with the corpus, so they are never broadcast, however few they are
+    kept = plain.join(stay.hint("merge"), "doc_id", "left_semi").withColumns({"k1": k1, "k2": k2}).dropDuplicates(["doc_id", "k1", "k2"]).select(plain.columns)
     return kept.unionByName(plain.where("doc_id is null")).toDF(*docs.columns)
 
 

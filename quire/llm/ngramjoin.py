@@ -195,8 +195,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = left.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint")
 
 
@@ -220,7 +220,8 @@ def join(documents: DataFrame) -> DataFrame:
     nodes = met.select("node").distinct()
     found = docs.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"))
     found = found.join(nodes, "node").select("node", "n", "k.k1", "k.k2")
-    texts = keyed.select("k1", "k2", "text").join(found.select("node", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
+    # sides that grow with the corpus are never broadcast (hint merge), so plans are the same at every size
+    texts = keyed.select("k1", "k2", "text").join(found.select("node", "k1", "k2").hint("merge"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text")
     texts = settle(texts)
     release(spark)
 

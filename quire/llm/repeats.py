@@ -213,7 +213,7 @@ def spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
 
     def joined(part: DataFrame) -> DataFrame:
         lists = part.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "lo", "hi")).alias("anchors"))  # of one text
-        return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "anchors")
+        return texts.join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
 
     contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(_contexts, "bucket bigint, k1 bigint, k2 bigint, lo bigint, context binary")
     out = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined, "k1 bigint, k2 bigint, a bigint, b bigint")
@@ -221,7 +221,8 @@ def spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
     if not shared.where(F.col("n") > hot).isEmpty():
         windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(_windows, "window bigint, k1 bigint, k2 bigint, lo bigint"))
         twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(windows.join(twice, "window").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + LENGTH).alias("b")))
+        # settled before the next grouping, so that Spark may split a very common window's rows
+        out = out.unionByName(settle(windows.join(twice, "window").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + LENGTH).alias("b"))))
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("bigint").alias("b")).where("n > 1")
     out = out.unionByName(copies.select("k1", "k2", F.lit(0).cast("bigint").alias("a"), "b"))
     out = settle(out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
@@ -253,7 +254,7 @@ def _with_spans(documents: DataFrame, hot: int) -> DataFrame:
     found = spans(documents, hot)
     keyed = documents.withColumns({"_k1": text_key()[0], "_k2": text_key()[1]})
     found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    return keyed.join(found, ["_k1", "_k2"], "left")
+    return keyed.join(found.hint("merge"), ["_k1", "_k2"], "left")
 
 
 def digests(documents: DataFrame, hot: int = HOT) -> DataFrame:
