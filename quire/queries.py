@@ -1,7 +1,288 @@
-"""Queries of the engine's own operators and their SQL."""
-QUERIES = {}
-ORACLE = {}
+"""Queries of the engine's own operators over the driver's tables, and SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import documents as checks
+from quire.functions import language as lang
+from quire.operators import layout
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+T = F.col("text")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.synthetic(read(spark, sf_dir, "documents"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_blocks(glyphs(spark, sf_dir))
+
+
+# -- language and text statistics -------------------------------------------------------------------------------
+
+_SCORED = "WITH w AS (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[\\s\\x{{0085}}\\p{{Z}}]+'), lambda x: x <> '') AS w FROM {t} WHERE text IS NOT NULL), c AS (SELECT *, list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: strlen(x) > 1) AS c FROM w), s AS (SELECT {id}, " + ", ".join(f"CAST(len(list_filter(c, lambda x: list_contains({w!r}, x))) AS BIGINT) AS {k}" for k, w in lang.WORDS.items()).replace("{", "{{").replace("}", "}}").replace('"d\'"', "'d'''") + " FROM c), m AS (SELECT *, greatest(en, fr, de, es) AS best, en + fr + de + es AS total FROM s), d AS (SELECT {id}, CASE best WHEN en THEN 'en' WHEN fr THEN 'fr' WHEN de THEN 'de' ELSE 'es' END AS language, CASE WHEN total = 0 THEN 0.0 ELSE round(0.25::DOUBLE + 0.75::DOUBLE * best / total, 6) END AS confidence FROM m) "
+_DOCS = _SCORED.format(id="doc_id", t="documents")
+
+
+def detect(table: DataFrame, *ids: str) -> DataFrame:
+    scored = table.where("text is not null").select(*ids, lang.scores(T).alias("s"))
+    name, confidence = lang.detected(F.col("s"))
+    return scored.select(*ids, name.alias("language"), confidence.alias("confidence"))
+
+
+@query(_DOCS + "SELECT * FROM d")
+def lang_detect(spark, sf_dir):
+    return detect(read(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(_DOCS + "SELECT language, count(*) AS n FROM d WHERE confidence > 0.5 GROUP BY 1")
+def lang_stats(spark, sf_dir):
+    return detect(read(spark, sf_dir, "documents"), "doc_id").where("confidence > 0.5").groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query(_SCORED.format(id="conv_id, turn", t="conversations") + "SELECT language, count(*) AS n FROM d WHERE confidence > 0.5 GROUP BY 1")
+def lang_stats_conversations(spark, sf_dir):
+    return detect(read(spark, sf_dir, "conversations"), "conv_id", "turn").where("confidence > 0.5").groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query(_DOCS + "SELECT doc_id, language FROM d WHERE confidence > 0.5")
+def texts_by_language(spark, sf_dir):
+    return detect(read(spark, sf_dir, "documents"), "doc_id").where("confidence > 0.5").select("doc_id", "language")
+
+
+@query(_DOCS + "SELECT doc_id, language = 'en' AND confidence > 0.6 AS is_english, language = 'fr' AND confidence > 0.6 AS is_french, language = 'de' AND confidence > 0.6 AS is_german, language = 'es' AND confidence > 0.6 AS is_spanish FROM d")
+def is_language(spark, sf_dir):
+    out = detect(read(spark, sf_dir, "documents"), "doc_id")
+    names = {"en": "is_english", "fr": "is_french", "de": "is_german", "es": "is_spanish"}
+    return out.select("doc_id", *[((F.col("language") == k) & (F.col("confidence") > 0.6)).alias(n) for k, n in names.items()])
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\s\x{0085}\p{Z}]+'), lambda x: regexp_matches(x, '[\p{L}\p{Nd}]'))) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}][^.!?\r\n]*(?:[.!?]|\z)')) AS BIGINT) AS n_sentences FROM documents WHERE text IS NOT NULL")
+def word_sentence_count(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", lang.word_count(T).alias("n_words"), lang.sentence_count(T).alias("n_sentences"))
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ''))) AS BIGINT) AS n_chars_distinct FROM documents WHERE text <> ''")
+def unique_chars(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(lang.unique_chars(T)).cast("bigint").alias("n_chars_distinct"))
+
+
+@query(r"SELECT doc_id, trim(text) <> '' AND len(regexp_extract_all(text, '\p{L}{4,}')) >= 3 AND (length(text) - length(replace(text, ' ', '')))::DOUBLE / strlen(text) >= 0.02 AS readable FROM documents WHERE text <> ''")
+def readable_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", lang.readable(T).alias("readable"))
+
+
+# -- layout -----------------------------------------------------------------------------------------------------
+
+_G = """WITH li AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+lb AS (SELECT *, coalesce(sum(length(line) // 90 + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM li),
+wo AS (SELECT doc_id, line_no, base, unnest(range(0, len(string_split(line, ' ')))) AS word_no, unnest(string_split(line, ' ')) AS s FROM lb),
+ow AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM wo),
+ph AS (SELECT doc_id, s, CAST(off AS BIGINT) AS off, CAST(base + off // 90 AS BIGINT) AS phys FROM ow WHERE s <> ''),
+g AS (SELECT doc_id, phys // 35 + 1 AS page_num, phys * 1000 + off % 90 AS seq, phys, CASE WHEN phys % 10 = 5 THEN 'Synth-Bold' ELSE 'Synth' END AS font,
+  CAST(CASE WHEN phys % 10 = 5 THEN 18 WHEN phys % 35 >= 25 THEN 8 ELSE 12 END AS BIGINT) AS font_size, 50 + 6 * (off % 90) AS x, 750 - 14 * (phys % 35) - 40 * ((phys % 35) // 5) AS y,
+  CAST(6 * length(s) AS BIGINT) AS w, s, phys % 10 = 5 AS bold FROM ph)"""
+_B = _G + """, b AS (SELECT doc_id, page_num, phys AS block_id, min(x) AS min_x, max(x + w) AS max_x, min(y) AS min_y, max(y + font_size) AS max_y, avg(font_size) AS font, bool_or(bold) AS bold,
+  string_agg(s, ' ' ORDER BY x, seq) AS text, arg_min(s, x * 1000000000 + seq) AS first FROM g GROUP BY ALL)"""
+
+
+@query(_G + " SELECT doc_id, page_num, seq, font, font_size, x, y, w, s, bold FROM g")
+def synthetic_glyphs(spark, sf_dir):
+    return glyphs(spark, sf_dir).drop("phys")
+
+
+@query(_G + " SELECT doc_id, page_num, y AS position, string_agg(s, ' ' ORDER BY x, -y, seq) AS content, count(*) AS n FROM g GROUP BY ALL")
+def rows(spark, sf_dir):
+    return layout.rows(glyphs(spark, sf_dir))
+
+
+@query(_G + " SELECT doc_id, page_num, x AS position, string_agg(s, ' ' ORDER BY -y, x, seq) AS content, count(*) AS n FROM g GROUP BY ALL")
+def columns(spark, sf_dir):
+    return layout.columns(glyphs(spark, sf_dir))
+
+
+_SMART = _G + """, p AS (SELECT doc_id, page_num, seq, CASE WHEN abs(y - lag(y) OVER o) > 3 THEN chr(10) WHEN x - lag(x + w) OVER o > 0.3 * font_size THEN ' ' ELSE '' END || s AS part FROM g WINDOW o AS (PARTITION BY doc_id, page_num ORDER BY seq)),
+t AS (SELECT doc_id, page_num, string_agg(part, '' ORDER BY seq) AS text FROM p GROUP BY ALL)"""
+
+
+@query(_SMART + " SELECT * FROM t")
+def smart_text_build(spark, sf_dir):
+    return layout.smart_text(glyphs(spark, sf_dir))
+
+
+@query(_SMART + " SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS text, count(*) AS pages FROM t GROUP BY ALL")
+def doc_text_joined(spark, sf_dir):
+    return layout.document_text(layout.smart_text(glyphs(spark, sf_dir)), "\n")
+
+
+@query(_SMART + " SELECT doc_id, page_num, text FROM t WHERE page_num IN (2, 1)")
+def page_selection(spark, sf_dir):
+    return layout.smart_text(glyphs(spark, sf_dir).where(F.col("page_num").isin(2, 1)))
+
+
+@query(_G + ", p AS (SELECT doc_id, page_num, y, x, seq, CASE WHEN x - lag(x + w) OVER (PARTITION BY doc_id, page_num, y ORDER BY x, seq) > 5 THEN ' ' ELSE '' END || s AS part FROM g) SELECT doc_id, page_num, y, string_agg(part, '' ORDER BY x, seq) AS text FROM p GROUP BY ALL")
+def line_text_gap5(spark, sf_dir):
+    return layout.line_text(glyphs(spark, sf_dir))
+
+
+@query(_G + " SELECT doc_id, page_num, string_agg(s, ' ' ORDER BY seq) AS text FROM g GROUP BY ALL")
+def parallel_glyph_join(spark, sf_dir):
+    return layout.page_glyphs_text(glyphs(spark, sf_dir))
+
+
+@query(_G + " SELECT doc_id, page_num, count(*) AS n, min(font_size) AS min_font, max(font_size) AS max_font, round(avg(font_size), 6) AS avg_font FROM g GROUP BY ALL")
+def font_stats(spark, sf_dir):
+    return layout.font_stats(glyphs(spark, sf_dir))
+
+
+@query(_B + " SELECT doc_id, page_num, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y FROM b GROUP BY ALL")
+def page_bounds(spark, sf_dir):
+    return layout.page_bounds(blocks(spark, sf_dir))
+
+
+@query(_B + " SELECT doc_id, page_num, block_id, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, max_x - min_x AS width, max_y - min_y AS height FROM b")
+def block_geometry(spark, sf_dir):
+    return layout.geometry(blocks(spark, sf_dir))
+
+
+_BANDS = _B + """, e AS (SELECT *, CASE WHEN max_y - min(min_y) OVER (PARTITION BY doc_id, page_num ORDER BY min_y + max_y DESC, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < -10 THEN 1 ELSE 0 END AS new FROM b),
+bands AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, page_num ORDER BY min_y + max_y DESC, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS band FROM e)"""
+
+
+@query(_BANDS + " SELECT doc_id, page_num, block_id, band FROM bands")
+def y_bands(spark, sf_dir):
+    return layout.bands(blocks(spark, sf_dir)).select(*layout.PAGE, "block_id", F.col("band").cast("bigint").alias("band"))
+
+
+@query(_BANDS + ", t AS (SELECT *, max(max_y) OVER (PARTITION BY doc_id, page_num, band) AS top FROM bands) SELECT doc_id, page_num, block_id, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY top DESC, min_x, block_id) AS place FROM t")
+def reading_order(spark, sf_dir):
+    return layout.reading_order(blocks(spark, sf_dir)).select(*layout.PAGE, "block_id", F.col("place").cast("bigint").alias("place"))
+
+
+for _by, _order in {"position": "min_y + max_y DESC, min_x", "size": "(max_x - min_x) * (max_y - min_y) DESC", "alphabetical": "first", "x": "min_x", "y": "min_y"}.items():
+    QUERIES[f"sort_{_by}"] = lambda spark, sf_dir, by=_by: layout.sorted_blocks(blocks(spark, sf_dir), by)
+    ORACLE[f"sort_{_by}"] = _B + f" SELECT doc_id, page_num, block_id, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY {_order}, block_id) AS place FROM b"
+
+
+@query(_G + f""", z AS (SELECT *, 2 * avg(font_size) OVER (PARTITION BY doc_id, page_num) AS t FROM g), c AS (SELECT *, floor((x + w / 2) / t) AS cx, floor((y + font_size / 2) / t) AS cy FROM z),
+d AS (SELECT *, unnest([-1, 0, 1]) AS i FROM c), f AS (SELECT *, unnest([-1, 0, 1]) AS j FROM d),
+p AS (SELECT a.doc_id, a.page_num, a.seq AS a, b.seq AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.font_size AS af, b.x AS bx, b.y AS "by", b.w AS bw, b.font_size AS bf, a.t
+  FROM f a JOIN c b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.cx + a.i = b.cx AND a.cy + a.j = b.cy AND a.seq < b.seq)
+SELECT doc_id, page_num, a, b FROM p WHERE {layout.MERGE.replace("by +", '"by" +').replace(", by)", ', "by")')}""")
+def merge_edges(spark, sf_dir):
+    return layout.merge_edges(glyphs(spark, sf_dir))
+
+
+@query()
+def clusters(spark, sf_dir):
+    return layout.clusters(glyphs(spark, sf_dir))
+
+
+@query(_G + " SELECT doc_id, page_num, seq FROM g WHERE x <= 250 AND x + w >= 100 AND y <= 700 AND y + font_size >= 500")
+def spatial_range_query(spark, sf_dir):
+    g = glyphs(spark, sf_dir)
+    box = g.select(*layout.PAGE).distinct().selectExpr("doc_id", "page_num", "1 as box_id", "100 as min_x", "250 as max_x", "500 as min_y", "700 as max_y")
+    return layout.range_join(box, g).select(*layout.PAGE, "seq")
+
+
+_CTX = _B + """, h AS (SELECT b.doc_id, b.page_num, b.block_id, max(CASE WHEN regexp_matches(lower(g.s), 'figure|table|fig\\.') THEN 1 ELSE 0 END) = 1 AS near_caption,
+  max(CASE WHEN regexp_matches(g.s, '^(\\d+\\.|[•\\-\\*]|\\([a-z]\\)|\\([0-9]+\\))\\s') THEN 1 ELSE 0 END) = 1 AS near_list, max(CASE WHEN regexp_matches(g.s, '\\[\\d+\\]|[⁰¹²³⁴-⁹₀-₉]') THEN 1 ELSE 0 END) = 1 AS near_note, avg(g.font_size) AS near_font
+  FROM b JOIN g ON b.doc_id = g.doc_id AND b.page_num = g.page_num AND g.x <= max_x + 3 * b.font AND g.x + g.w >= min_x - 3 * b.font AND g.y <= max_y + 3 * b.font AND g.y + g.font_size >= min_y - 3 * b.font GROUP BY ALL),
+pf AS (SELECT doc_id, page_num, avg(font_size) AS page_font, max(font_size) AS page_max FROM g GROUP BY ALL),
+j AS (SELECT b.*, near_caption, near_list, near_note, near_font, page_font, page_max, (min_y + max_y) / 2 AS cy, list_filter(regexp_split_to_array(first, '\\s+'), lambda x: x <> '') AS fw FROM b JOIN h USING (doc_id, page_num, block_id) JOIN pf USING (doc_id, page_num)),
+k AS (SELECT *, CASE WHEN trim(text) = '' THEN 'Unknown' WHEN cy > 0.9 * 792 THEN 'Header' WHEN cy < 0.1 * 792 THEN 'Footer'
+  WHEN regexp_matches(text, '^(Figure|Table|Fig\\.|Tab\\.)\\s+\\d+') OR near_caption THEN 'Caption' WHEN regexp_matches(text, '^(\\d+\\.|[•\\-\\*]|\\([a-z]\\)|\\([0-9]+\\))\\s') OR near_list THEN 'List'
+  WHEN (font < 0.8 * page_font AND cy < 0.3 * 792) OR near_note THEN 'Footnote'
+  WHEN ((font > 1.2 * page_font OR bold) AND strlen(first) <= 100 AND len(fw) >= 1 AND (len(list_filter(fw, lambda x: regexp_matches(x, '^[A-Z\\x{80}-\\x{5BF}\\x{600}-\\x{7BF}]'))) > 0.6 * len(fw) OR bold)) OR font > 1.2 * near_font THEN 'Title' ELSE 'Paragraph' END AS type,
+  (font - page_font) / nullif(page_max - page_font, 0) AS ratio FROM j),
+classified AS (SELECT doc_id, page_num, block_id, type, CAST(CASE WHEN type <> 'Title' THEN 0 WHEN ratio IS NULL OR ratio > 0.8 THEN 1 WHEN ratio > 0.6 THEN 2 WHEN ratio > 0.4 THEN 3 WHEN ratio > 0.2 THEN 4 ELSE 5 END AS BIGINT) AS level, text FROM k)"""
+
+
+@query(_CTX + " SELECT * FROM classified")
+def classify_blocks(spark, sf_dir):
+    return layout.classify(blocks(spark, sf_dir), glyphs(spark, sf_dir))
+
+
+@query(_CTX + " SELECT * FROM classified WHERE type = 'Title' AND level = 1")
+def titles(spark, sf_dir):
+    return classify_blocks(spark, sf_dir).where("type = 'Title' and level = 1")
+
+
+@query(_CTX + " SELECT type, count(*) AS n FROM classified GROUP BY 1")
+def blocks_by_type(spark, sf_dir):
+    return classify_blocks(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(_B + " SELECT doc_id, page_num, block_id FROM b WHERE (min_y + max_y) / 2 > 0.8 * 792 AND font < 10")
+def footnote_candidates(spark, sf_dir):
+    return blocks(spark, sf_dir).where("(min_y + max_y) / 2 > 0.8 * 792 and font < 10").select(*layout.PAGE, "block_id")
+
+
+# -- document checks and scalar functions ------------------------------------------------------------------------
+
+_H = "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages) "
+_has = lambda *m: "(" + " OR ".join(f"contains(h, '{x}')" for x in m) + ")"
+_list = lambda *p: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in p) + "], lambda x: x IS NOT NULL), '; ')"
+H = F.coalesce(F.col("html"), F.lit(""))
+
+
+@query(_H + f"""SELECT page_id, {_has("/Linearized")} AS linearized, {_has("/GS", "/SMask", "/BM")} AS transparency, {_has("/OCG", "/D")} AS layers, {_has("/AcroForm", "/FT")} AS forms, {_has("/JS", "/JavaScript")} AS javascript,
+CASE WHEN contains(h, 'pdfaid:part') AND contains(h, 'pdfaid:conformance') THEN 'PDF/A' WHEN {_has("pdfx:", "PDF/X")} THEN 'PDF/X' WHEN contains(h, '/GTS_PDFA') THEN 'PDF/A' WHEN contains(h, '/GTS_PDFX') THEN 'PDF/X' ELSE '' END AS sub_format FROM p""")
+def compat_flags(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in checks.flags(H).items()], checks.sub_format(H).alias("sub_format"))
+
+
+@query(_H + "SELECT page_id, " + _list(("NOT contains(h, 'pdfaid:part')", "Missing PDF/A identification metadata"), ("NOT contains(h, '/Font')", "No fonts found - PDF/A requires all fonts to be embedded"), (_has("/SMask", "/BM"), "Transparency found - not allowed in PDF/A-1"), (_has("/JS", "/JavaScript"), "JavaScript found - not allowed in PDF/A")) + " AS pdfa, " + _list((f"NOT {_has('pdfx:', '/GTS_PDFX')}", "Missing PDF/X identification metadata"), ("NOT contains(h, '/OutputIntents')", "Missing output intents - required for PDF/X"), ("NOT contains(h, '/ColorSpace')", "No color space definitions found")) + " AS pdfx FROM p")
+def pdf_issues(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", checks.pdfa_issues(H).alias("pdfa"), checks.pdfx_issues(H).alias("pdfx"))
+
+
+@query("""WITH p AS (SELECT item_id, '%PDF-1.7 ' || text || CASE WHEN item_id % 3 = 0 THEN ' 1 0 obj xref trailer startxref %%EOF' WHEN item_id % 3 = 1 THEN ' startxref 7' ELSE '' END AS h FROM benchmark WHERE text IS NOT NULL),
+t AS (SELECT *, contains(h, '%%EOF') AS e, contains(h, 'startxref') AS s, contains(h, 'xref') AS x FROM p)
+SELECT item_id, true AS has_header, e AS has_eof, s AS has_startxref, x AS has_xref, CAST((length(h) - length(replace(h, ' obj', ''))) // 4 AS BIGINT) AS objects, s OR x OR (CASE WHEN e THEN 0 ELSE 1 END + CASE WHEN s THEN 0 ELSE 1 END + CASE WHEN x THEN 0 ELSE 2 END) < 3 AS valid, """ + _list(("NOT e", "missing %%EOF marker (file may be truncated)"), ("NOT s", "missing startxref marker"), ("NOT x", "xref table/stream not found in expected location"), ("NOT x", "trailer not found")) + " AS issues FROM t")
+def integrity(spark, sf_dir):
+    i = F.col("item_id") % 3
+    data = F.concat(F.lit("%PDF-1.7 "), "text", F.when(i == 0, " 1 0 obj xref trailer startxref %%EOF").when(i == 1, " startxref 7").otherwise(""))
+    rows = read(spark, sf_dir, "benchmark").where("text is not null").select("item_id", data.alias("h"))
+    return rows.select("item_id", *[c.alias(k) for k, c in checks.integrity(F.col("h")).items()])
+
+
+@query("SELECT doc_id, instr(text, 'the') - 1 AS first_at, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, md5(text) AS md5_key, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_parts, starts_with(text, 'Th') AS prefix, ends_with(text, '.') AS suffix, text || '|' || lang AS joined FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def string_functions(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    return d.select("doc_id", (F.instr(T, F.lit("the")) - 1).cast("bigint").alias("first_at"), F.expr(r"trim(BOTH ' \t\n\r' FROM text)").alias("trimmed"), F.md5("text").alias("md5_key"), F.size(F.split("text", " ", -1)).cast("bigint").alias("n_parts"), F.startswith(T, F.lit("Th")).alias("prefix"), F.endswith(T, F.lit(".")).alias("suffix"), F.concat_ws("|", "text", "lang").alias("joined"))
+
+
+@query("SELECT p_partkey, contains(lower(p_name), 'bold') OR contains(lower(p_name), 'black') AS bold, contains(lower(p_name), 'italic') OR contains(lower(p_name), 'oblique') AS italic, upper(hex(encode(p_name))) AS hex_text FROM part")
+def font_style(spark, sf_dir):
+    n = F.lower("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", (F.contains(n, F.lit("bold")) | F.contains(n, F.lit("black"))).alias("bold"), (F.contains(n, F.lit("italic")) | F.contains(n, F.lit("oblique"))).alias("italic"), F.hex("p_name").alias("hex_text"))
+
+
+@query("SELECT * FROM (VALUES ('D:20240318143022+08''00''', TIMESTAMP '2024-03-18 06:30:22'), ('D:20240318143022Z', TIMESTAMP '2024-03-18 14:30:22'), ('D:20240318143022', TIMESTAMP '2024-03-18 14:30:22'), ('D:20241341000000', TIMESTAMP '2025-02-10 00:00:00'), ('D:20240318', NULL), ('invalid', NULL), ('', NULL)) t(raw, stamp)")
+def pdf_date(spark, sf_dir):
+    raw = ["D:20240318143022+08'00'", "D:20240318143022Z", "D:20240318143022", "D:20241341000000", "D:20240318", "invalid", ""]
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, raw))).alias("raw"))
+    return rows.select("raw", checks.pdf_date(F.col("raw")).cast("timestamp_ntz").alias("stamp"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_stats(spark, sf_dir)
