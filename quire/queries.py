@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions import documents as checks
 from quire.functions import language as lang
 from quire.operators import layout
+from quire.plans.spread import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-T = F.col("text")
 
 
 def query(sql: str | None = None):
@@ -43,7 +43,8 @@ _DOCS = _SCORED.format(id="doc_id", t="documents")
 
 
 def detect(table: DataFrame, *ids: str) -> DataFrame:
-    scored = table.where("text is not null").select(*ids, lang.scores(T).alias("s"))
+    # a generator of one row: filters on the language stay above it, so texts are scored once
+    scored = spread(table.where("text is not null").select(*ids, "text")).select(*ids, F.explode(F.array(lang.scores(F.col("text")))).alias("s"))
     name, confidence = lang.detected(F.col("s"))
     return scored.select(*ids, name.alias("language"), confidence.alias("confidence"))
 
@@ -77,17 +78,17 @@ def is_language(spark, sf_dir):
 
 @query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\s\x{0085}\p{Z}]+'), lambda x: regexp_matches(x, '[\p{L}\p{Nd}]'))) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}][^.!?\r\n]*(?:[.!?]|\z)')) AS BIGINT) AS n_sentences FROM documents WHERE text IS NOT NULL")
 def word_sentence_count(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", lang.word_count(T).alias("n_words"), lang.sentence_count(T).alias("n_sentences"))
+    return spread(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", lang.word_count(F.col("text")).alias("n_words"), lang.sentence_count(F.col("text")).alias("n_sentences"))
 
 
 @query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ''))) AS BIGINT) AS n_chars_distinct FROM documents WHERE text <> ''")
 def unique_chars(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(lang.unique_chars(T)).cast("bigint").alias("n_chars_distinct"))
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.size(lang.unique_chars(F.col("text"))).cast("bigint").alias("n_chars_distinct"))
 
 
 @query(r"SELECT doc_id, trim(text) <> '' AND len(regexp_extract_all(text, '\p{L}{4,}')) >= 3 AND (length(text) - length(replace(text, ' ', '')))::DOUBLE / strlen(text) >= 0.02 AS readable FROM documents WHERE text <> ''")
 def readable_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", lang.readable(T).alias("readable"))
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", lang.readable(F.col("text")).alias("readable"))
 
 
 # -- layout -----------------------------------------------------------------------------------------------------
@@ -241,18 +242,21 @@ def footnote_candidates(spark, sf_dir):
 _H = "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages) "
 _has = lambda *m: "(" + " OR ".join(f"contains(h, '{x}')" for x in m) + ")"
 _list = lambda *p: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in p) + "], lambda x: x IS NOT NULL), '; ')"
-H = F.coalesce(F.col("html"), F.lit(""))
+
+
+def html():
+    return F.coalesce(F.col("html"), F.lit(""))
 
 
 @query(_H + f"""SELECT page_id, {_has("/Linearized")} AS linearized, {_has("/GS", "/SMask", "/BM")} AS transparency, {_has("/OCG", "/D")} AS layers, {_has("/AcroForm", "/FT")} AS forms, {_has("/JS", "/JavaScript")} AS javascript,
 CASE WHEN contains(h, 'pdfaid:part') AND contains(h, 'pdfaid:conformance') THEN 'PDF/A' WHEN {_has("pdfx:", "PDF/X")} THEN 'PDF/X' WHEN contains(h, '/GTS_PDFA') THEN 'PDF/A' WHEN contains(h, '/GTS_PDFX') THEN 'PDF/X' ELSE '' END AS sub_format FROM p""")
 def compat_flags(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in checks.flags(H).items()], checks.sub_format(H).alias("sub_format"))
+    return read(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in checks.flags(html()).items()], checks.sub_format(html()).alias("sub_format"))
 
 
 @query(_H + "SELECT page_id, " + _list(("NOT contains(h, 'pdfaid:part')", "Missing PDF/A identification metadata"), ("NOT contains(h, '/Font')", "No fonts found - PDF/A requires all fonts to be embedded"), (_has("/SMask", "/BM"), "Transparency found - not allowed in PDF/A-1"), (_has("/JS", "/JavaScript"), "JavaScript found - not allowed in PDF/A")) + " AS pdfa, " + _list((f"NOT {_has('pdfx:', '/GTS_PDFX')}", "Missing PDF/X identification metadata"), ("NOT contains(h, '/OutputIntents')", "Missing output intents - required for PDF/X"), ("NOT contains(h, '/ColorSpace')", "No color space definitions found")) + " AS pdfx FROM p")
 def pdf_issues(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", checks.pdfa_issues(H).alias("pdfa"), checks.pdfx_issues(H).alias("pdfx"))
+    return read(spark, sf_dir, "pages").select("page_id", checks.pdfa_issues(html()).alias("pdfa"), checks.pdfx_issues(html()).alias("pdfx"))
 
 
 @query("""WITH p AS (SELECT item_id, '%PDF-1.7 ' || text || CASE WHEN item_id % 3 = 0 THEN ' 1 0 obj xref trailer startxref %%EOF' WHEN item_id % 3 = 1 THEN ' startxref 7' ELSE '' END AS h FROM benchmark WHERE text IS NOT NULL),
@@ -268,7 +272,7 @@ def integrity(spark, sf_dir):
 @query("SELECT doc_id, instr(text, 'the') - 1 AS first_at, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS trimmed, md5(text) AS md5_key, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_parts, starts_with(text, 'Th') AS prefix, ends_with(text, '.') AS suffix, text || '|' || lang AS joined FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
 def string_functions(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("text is not null and lang is not null")
-    return d.select("doc_id", (F.instr(T, F.lit("the")) - 1).cast("bigint").alias("first_at"), F.expr(r"trim(BOTH ' \t\n\r' FROM text)").alias("trimmed"), F.md5("text").alias("md5_key"), F.size(F.split("text", " ", -1)).cast("bigint").alias("n_parts"), F.startswith(T, F.lit("Th")).alias("prefix"), F.endswith(T, F.lit(".")).alias("suffix"), F.concat_ws("|", "text", "lang").alias("joined"))
+    return d.select("doc_id", (F.instr(F.col("text"), F.lit("the")) - 1).cast("bigint").alias("first_at"), F.expr(r"trim(BOTH ' \t\n\r' FROM text)").alias("trimmed"), F.md5("text").alias("md5_key"), F.size(F.split("text", " ", -1)).cast("bigint").alias("n_parts"), F.startswith(F.col("text"), F.lit("Th")).alias("prefix"), F.endswith(F.col("text"), F.lit(".")).alias("suffix"), F.concat_ws("|", "text", "lang").alias("joined"))
 
 
 @query("SELECT p_partkey, contains(lower(p_name), 'bold') OR contains(lower(p_name), 'black') AS bold, contains(lower(p_name), 'italic') OR contains(lower(p_name), 'oblique') AS italic, upper(hex(encode(p_name))) AS hex_text FROM part")
