@@ -232,7 +232,7 @@ class Model:
             power = np.uint64(1)
             for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
                 h = h + (c[:, start].astype(np.uint64) + np.uint64(1)) * power
-                power = power * _FIB
+                power = np.uint64(int(power) * int(_FIB) % (1 << 64))
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 found = self.keys[at] == h
                 i = np.where(found, self.key_ids[at], -1)
