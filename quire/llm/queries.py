@@ -43,8 +43,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, index = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(path, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    _, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
-"""WARC archives: written by Spark's own writer, indexed first, read back by coalesced byte ranges.
+"""WARC archives: written as gzip members, indexed first, read back by coalesced byte ranges.
 
-Writing. Records are dealt to archives by a hash of their id, sorted by id, and written with the text writer
-whose line separator is the blank line that ends a WARC record; so files are committed by Spark's protocol and a
-lost executor leaves no half-written archive. The index (archive, offset, length, url, digest, page_id) is
-computed before the bytes are written: lengths are known, and an offset is the sum of the lengths before it.
+Writing. Records are dealt to archives by a hash of their id, url and payload and sorted by them. A task writes each of its
+archives under a name of its own and returns the index rows (path, offset, length, url, digest, page_id); only rows of
+tasks that end well reach the index, so what a lost executor or a second attempt leaves is never read. A payload moves once:
+what a record is (response or revisit) is decided on rows without payloads and sent to the same place ahead of it.
 
 Revisits. Of the records whose payload has the same digest and length, those with the smallest page_id are
 responses and the others revisits of it. The smallest id of each digest is a pre-aggregated group-by that is
 joined back, so one very common payload does not gather in a task.
 
-Reading. Selected index rows are dealt by archive and sorted by offset; ranges that lie close together are read
-in one request, up to a bound, and each record is parsed from its bytes. The payload digest of a response is
+Reading. Selected index rows are dealt by path and sorted by offset; ranges that lie close together are read
+in one request, up to a bound, and each record is unpacked and parsed from its bytes. The payload digest of a response is
 computed anew from the bytes.
 
 Edge cases: a null html is an empty payload; a null url is written as an empty one, line ends in a url are
@@ -24,68 +24,90 @@ import base64
 import hashlib
 import math
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.arrowtext import chunks
 from quire.llm.tables import scratch, settle
 
-END = "\r\n\r\n"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-ARCHIVE_BYTES = 32 << 20
+END = b"\r\n\r\n"
+ARCHIVE_BYTES = 64 << 20
+INDEX = "path string, offset bigint, length bigint, url string, digest string, page_id bigint"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Eight times five hexadecimal digits are four letters of five bits each."""
-    digits = F.sha1(payload)
-    letters = []
-    for i in range(8):
-        bits = F.conv(F.substring(digits, F.lit(5 * i + 1), F.lit(5)), 16, 10).cast("int")
-        letters += [F.substring(F.lit(ALPHABET), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def kinds(pages: DataFrame) -> DataFrame:
+    """page_id, url, key (of the payload), sha1, bytes and refers_to (null: a response), without payloads."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", F.xxhash64(html).alias("key"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("bigint").alias("bytes")).distinct()
+    firsts = rows.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
+    repeats = (F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
+    return rows.join(firsts, ["sha1", "bytes"]).select("page_id", "url", "key", "sha1", "bytes", F.when(repeats, F.col("first")).alias("refers_to"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, bytes, first (the page it repeats, or null) and record (the WARC text without its end)."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select("page_id", url.alias("url"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("bigint").alias("bytes"))
-    firsts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, ["digest", "bytes"])
-    repeats = (F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
-    rows = rows.withColumn("refers_to", F.when(repeats, F.col("first")))
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))
-    block = F.concat(head, F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(""))
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.coalesce(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")), F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END), block,
-    )
-    return rows.select("page_id", "url", "digest", "bytes", record.alias("record"))
+def record(page_id: int | None, url: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = head + (payload if refers_to is None else b"")
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if refers_to is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + block + END
 
 
 def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
-    """Write archives under ``path``; return it and the index: archive, offset, length, url, digest, page_id."""
+    """Write archives under ``path`` (of about ``archive_bytes`` before they are packed); return it and the index."""
     spark = pages.sparkSession
     path = path or scratch(spark)
+    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
     total = pages.select(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 700)).first()[0] or 0
     n = max(1, math.ceil(total / archive_bytes))
-    rows = records(pages)
-    # ids hash evenly, and rows of one id are told apart by their url and digest
-    dealt = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int"))
-    dealt = dealt.withColumn("length", F.octet_length("record").cast("bigint") + len(END))
-    # rows that agree in these columns are the same record, so any order among them gives the same bytes
-    order = ["page_id", "url", "digest"]
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    index = dealt.withColumn("offset", F.sum("length").over(before) - F.col("length"))
-    index = settle(index.select("archive", "offset", "length", "url", "digest", "page_id"))
-    out = dealt.repartition(n, "archive").sortWithinPartitions("archive", *order).select("record", "archive")
-    out.write.partitionBy("archive").option("lineSep", END).option("maxRecordsPerFile", 0).text(path)
-    return path, index
+    system, at = _filesystem(path)
+    system.create_dir(at, recursive=True)
+    html = F.coalesce("html", F.lit(""))
+    bodies = pages.select("page_id", "url", F.xxhash64(html).alias("key"), html.alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("bigint").alias("refers_to"))
+    ahead = kinds(pages).select("page_id", "url", "key", F.lit(None).cast("string").alias("html"), "sha1", "bytes", "refers_to")
+    both = ahead.unionByName(bodies).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "key"), F.lit(n)).cast("int"))
+    both = both.repartition(n, "archive").sortWithinPartitions("archive", "page_id", "url", "key", F.col("html").isNotNull())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        current, kind = None, None
+        for batch in chunks(batches, "html"):
+            rows = []
+            for page_id, url, _, html, sha1, size, refers_to, archive in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if html is None:  # what the records that follow are
+                    kind = (base64.b32encode(bytes.fromhex(sha1)).decode(), size, refers_to)
+                    continue
+                if archive != current:
+                    if out:
+                        out.close()
+                    current, name, offset = archive, f"{path}/{archive:06d}-{uuid.uuid4().hex}.warc.gz", 0
+                    system, at = _filesystem(name)
+                    out = system.open_output_stream(at, compression=None)
+                link = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+                packer = zlib.compressobj(1, wbits=31)
+                data = packer.compress(record(page_id, link, *kind, html.encode())) + packer.flush()
+                out.write(data)
+                rows.append((name, offset, len(data), link, kind[0], page_id))
+                offset += len(data)
+            yield _batch(rows, INDEX)
+        if out:
+            out.close()
+
+    return path, settle(both.mapInArrow(pack, INDEX))
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [pa.field(n, types[t]) for n, t in (x.split() for x in schema.split(", "))]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], pa.schema(fields))
 
 
 def _filesystem(path: str):
@@ -97,70 +119,58 @@ def _filesystem(path: str):
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and block of one record."""
-    head, _, block = record.partition(b"\r\n\r\n")
+    head, _, block = record.partition(END)
     lines = head.decode("utf-8").split("\r\n")
     headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
     return headers, block[: int(headers["content-length"])]
 
 
-def read(path: str, index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
     """The records that ``index`` selects: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     Ranges with less than ``gap`` bytes between them are read together, up to ``most`` bytes a request.
     """
-    spark = index.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = {}
-    listed = files.listStatus(hadoop)
-    for folder in listed:
-        if (name := folder.getPath().getName()).startswith("archive="):
-            names[int(name[8:])] = [f.getPath().toString() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")][0]
-
-    def ranges(pdf: pd.DataFrame) -> Iterator[tuple[str, list]]:
-        run: list = []
-        for row in pdf.itertuples(index=False):
-            if run and (row.archive != run[0].archive or row.offset - (run[-1].offset + run[-1].length) > gap or row.offset + row.length - run[0].offset > most):
-                yield run
-                run = []
-            run.append(row)
-        if run:
-            yield run
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened: dict = {}
-        for pdf in batches:
-            rows, held = [], 0
-            for run in ranges(pdf):
-                if run[0].archive not in opened:
-                    for f in opened.values():
-                        f.close()
-                    system, at = _filesystem(names[run[0].archive])
-                    opened = {run[0].archive: system.open_input_file(at)}
-                source = opened[run[0].archive]
-                data = source.read_at(run[-1].offset + run[-1].length - run[0].offset, run[0].offset)
-                for x in run:
-                    headers, block = parse(data[x.offset - run[0].offset :][: x.length])
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    response = headers["warc-type"] == "response"
-                    ident = lambda name: int(v) if (v := headers.get(name, "")[10:-1]) else None
-                    size = int(next(v for k, _, v in (y.partition(": ") for y in head.decode().split("\r\n")) if k == "Content-Length"))
-                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else headers["warc-payload-digest"][5:]
-                    rows.append((ident("warc-record-id"), headers["warc-target-uri"], headers["warc-type"], ident("warc-refers-to"), len(payload) if response else size, digest, payload if response else None))
-                    held += len(payload)
-                if held > most:
-                    yield _frame(rows)
-                    rows, held = [], 0
-            yield _frame(rows)
-        for f in opened.values():
-            f.close()
-
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
-    picked = index.select("archive", "offset", "length").repartition(max(1, len(names)), "archive").sortWithinPartitions("archive", "offset")
-    return picked.mapInPandas(load, schema)
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        run: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path, offset, length = row
+                if run and (path != run[0][0] or offset - run[-1][1] - run[-1][2] > gap or offset + length - run[0][1] > most):
+                    yield run
+                    run = []
+                run.append(row)
+        if run:
+            yield run
 
-def _frame(rows: list) -> pd.DataFrame:
-    columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    out = pd.DataFrame(rows, columns=columns)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, opened = None, None
+        for run in runs(batches):
+            first = run[0][1]
+            if run[0][0] != opened:
+                if source:
+                    source.close()
+                opened = run[0][0]
+                system, at = _filesystem(opened)
+                source = system.open_input_file(at)
+            data = source.read_at(run[-1][1] + run[-1][2] - first, first)
+            yield _batch([unpack(data[o - first : o - first + n]) for _, o, n in run], schema)
+        if source:
+            source.close()
+
+    picked = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    return picked.mapInArrow(load, schema)
+
+
+def unpack(data: bytes) -> tuple:
+    headers, block = parse(zlib.decompress(data, wbits=31))
+    head, _, payload = block.partition(END)
+    response = headers["warc-type"] == "response"
+    size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else headers["warc-payload-digest"][5:]
+
+    def page(name: str) -> int | None:
+        return int(v) if (v := headers.get(name, "")[10:-1]) else None
+
+    return page("warc-record-id"), headers["warc-target-uri"], headers["warc-type"], page("warc-refers-to"), len(payload) if response else size, digest, payload if response else None

@@ -86,8 +86,8 @@ def test_chat_round_trip_and_folding(spark):
 # -- 5 WARC
 def test_warc(spark):
     rows = [(5, "http://a/\r\nX: y", "same"), (3, None, "same"), (7, "http://b/", None), (8, "http://c/", ""), (None, "http://d/", "same"), (9, "http://e/", "\r\n\r\nWARC/1.1 " + "ü" * 70_000), (3, None, "same")]
-    path, index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), archive_bytes=60_000)
-    got = warc.read(path, index).collect()
+    _, index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), archive_bytes=60_000)
+    got = warc.read(index).collect()
     seen = sorted([(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in got], key=str)
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     first = {"same": 3, "": 7}
@@ -96,8 +96,8 @@ def test_warc(spark):
         f = first.get(h or "", i)
         want.append((i, "response" if i == f else "revisit", None if i == f else f, len((h or "").encode()), digest(h)))
     assert seen == sorted(want, key=str)
-    path, index = warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"))
-    assert warc.read(path, index).count() == 0
+    _, index = warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"))
+    assert warc.read(index).count() == 0
 
 
 # -- 6 token counts
