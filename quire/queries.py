@@ -9,6 +9,7 @@ from quire.functions import documents as checks
 from quire.functions import language as lang
 from quire.operators import layout
 from quire.plans.spread import spread
+from quire.sources import pdf, pdfsample
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -288,5 +289,40 @@ def pdf_date(spark, sf_dir):
     return rows.select("raw", checks.pdf_date(F.col("raw")).cast("timestamp_ntz").alias("stamp"))
 
 
+# -- PDF files ---------------------------------------------------------------------------------------------------
+
+_PAGES = "WITH li AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) "
+
+
+def files(spark, sf_dir):
+    return pdfsample.from_texts(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(_PAGES + "SELECT doc_id, n // 35 + 1 AS page_num, string_agg(line, chr(10) ORDER BY n) AS text FROM li WHERE line <> '' GROUP BY ALL")
+def pdf_page_text(spark, sf_dir):
+    out = pdf.page_text(pdf.glyphs(files(spark, sf_dir)))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "text")
+
+
+@query(_PAGES + "SELECT doc_id, max(n) // 35 + 1 AS pages, 'document ' || doc_id AS title, false AS recovered FROM li GROUP BY ALL")
+def pdf_metadata(spark, sf_dir):
+    out = pdf.metadata(files(spark, sf_dir))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "pages", F.col("info")["Title"].alias("title"), "recovered")
+
+
+@query(_PAGES + "SELECT doc_id, n // 35 + 1 AS page_num, CAST(sum(length(line)) AS BIGINT) AS n, max(50 + 6 * length(line))::DOUBLE AS right_edge, min(760 - 20 * (n % 35))::DOUBLE AS bottom FROM li WHERE line <> '' GROUP BY ALL")
+def pdf_glyphs(spark, sf_dir):
+    out = pdf.glyphs(files(spark, sf_dir)).where("error is null").groupBy(F.col("path").cast("bigint").alias("doc_id"), "page_num")
+    return out.agg(F.count("*").alias("n"), F.round(F.max(F.col("x") + F.col("w")), 6).alias("right_edge"), F.min("y").alias("bottom"))
+
+
+@query(_PAGES + "SELECT doc_id, max(n) // 35 + 1 AS pages, true AS recovered FROM li GROUP BY ALL")
+def pdf_recover(spark, sf_dir):
+    """Files whose cross-reference offset is wrong are read by a scan for objects."""
+    broken = files(spark, sf_dir).select("path", F.expr("substring(content, 1, octet_length(content) - 10) || cast('999999999' as binary)").alias("content"))
+    out = pdf.metadata(broken)
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "pages", "recovered")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_stats(spark, sf_dir)
