@@ -214,3 +214,69 @@ def classify(blocks: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 
 LIST = r"^(\d+\.|[•\-\*]|\([a-z]\)|\([0-9]+\))\s"
+
+
+def context(blocks: DataFrame, glyphs: DataFrame, reach: float = 3) -> DataFrame:
+    """For each block the number of runs in its box grown by ``reach`` times its font size (its own runs included)."""
+    grown = blocks.select(*PAGE, F.col("block_id").alias("box_id"), *[(F.col(c) + sign * reach * F.col("font")).alias(c) for c, sign in (("min_x", -1), ("max_x", 1), ("min_y", -1), ("max_y", 1))])
+    return range_join(grown, glyphs.select(*PAGE, "x", "y", "w", "font_size")).groupBy(*PAGE, F.col("box_id").alias("block_id")).agg(F.count("*").alias("n"))
+
+
+def within(blocks: DataFrame, radius: float) -> DataFrame:
+    """Pairs of blocks of a page whose centers are at most ``radius`` apart: an equi-join on cells of that size."""
+    c = geometry(blocks).select(*PAGE, "block_id", "cx", "cy", F.floor(F.col("cx") / radius).alias("gx"), F.floor(F.col("cy") / radius).alias("gy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = c.withColumn("d", F.explode(steps)).select(*PAGE, F.col("block_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
+    both = a.join(c.withColumnRenamed("block_id", "b"), [*PAGE, "gx", "gy"])
+    return both.where((F.col("a") != F.col("b")) & (F.pow(F.col("ax") - F.col("cx"), 2) + F.pow(F.col("ay") - F.col("cy"), 2) <= radius * radius)).select(*PAGE, "a", "b")
+
+
+def memory_cost(glyphs: DataFrame) -> DataFrame:
+    """Bytes that a page's runs are taken to need: 128 each and their text."""
+    return glyphs.groupBy(*PAGE).agg(F.sum(F.octet_length("s") + 128).cast("bigint").alias("cost"))
+
+
+def plain_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Page text: from the top, a new line where a run is farther than ``tolerance`` from the mean of the line so far.
+
+    The running mean is a fold over a page's runs, so each page is folded by one call; a page is bounded by its paper.
+    """
+    import pandas as pd
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y", "x", "seq"], ascending=[False, True, True])
+        lines: list[list] = []
+        mean = 0.0
+        for r in page.itertuples(index=False):
+            if not lines or abs(r.y - mean) > tolerance:
+                lines.append([])
+                mean = 0.0
+            lines[-1].append(r)
+            mean += (r.y - mean) / len(lines[-1])
+        texts = []
+        for line in lines:
+            out, edge = "", None
+            for r in sorted(line, key=lambda r: (r.x, r.seq)):
+                out += (" " if edge is not None and r.x - edge > max(0.2 * r.font_size, 0.5) else "") + r.s
+                edge = r.x + r.w
+            texts.append(out)
+        return pd.DataFrame({"doc_id": page["doc_id"].iloc[:1], "page_num": page["page_num"].iloc[:1], "text": ["\n".join(texts).strip(" \t\r\n")]})
+
+    return glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", "s").groupBy(*PAGE).applyInPandas(fold, "doc_id bigint, page_num bigint, text string")
+
+
+def styled_sentences(glyphs: DataFrame) -> DataFrame:
+    """Consecutive runs of one font, a size within 0.1 and a baseline within 5 of the run that began the sentence."""
+    import pandas as pd
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in page.sort_values("seq").itertuples(index=False):
+            if out and (h := out[-1])[3] == r.font and abs(h[4] - r.font_size) <= 0.1 and abs(h[5] - r.y) <= 5 and h[6]:
+                h[6] += r.s
+            else:
+                out.append([r.doc_id, r.page_num, r.seq, r.font, r.font_size, r.y, r.s])
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "seq", "font", "font_size", "y", "s"])
+
+    schema = "doc_id bigint, page_num bigint, seq bigint, font string, font_size double, y double, s string"
+    return glyphs.select(*PAGE, "seq", "font", F.col("font_size").cast("double"), F.col("y").cast("double"), "s").groupBy(*PAGE).applyInPandas(fold, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import documents as checks
 from quire.functions import language as lang
+from quire.functions import strings
 from quire.operators import layout
 from quire.plans.spread import spread
 from quire.sources import pdf, pdfsample
@@ -289,6 +290,70 @@ def pdf_date(spark, sf_dir):
     return rows.select("raw", checks.pdf_date(F.col("raw")).cast("timestamp_ntz").alias("stamp"))
 
 
+@query(_B + " SELECT b.doc_id, b.page_num, b.block_id, count(*) AS n FROM b JOIN g ON b.doc_id = g.doc_id AND b.page_num = g.page_num AND g.x <= max_x + 3 * b.font AND g.x + g.w >= min_x - 3 * b.font AND g.y <= max_y + 3 * b.font AND g.y + g.font_size >= min_y - 3 * b.font GROUP BY ALL")
+def context_join(spark, sf_dir):
+    return layout.context(blocks(spark, sf_dir), glyphs(spark, sf_dir))
+
+
+@query(_B + ", c AS (SELECT doc_id, page_num, block_id, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy FROM b) SELECT p.doc_id, p.page_num, p.block_id AS a, q.block_id AS b FROM c p JOIN c q ON p.doc_id = q.doc_id AND p.page_num = q.page_num AND p.block_id <> q.block_id AND (p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy) <= 3600")
+def radius_query(spark, sf_dir):
+    return layout.within(blocks(spark, sf_dir), 60)
+
+
+@query(_G + " SELECT doc_id, page_num, CAST(sum(strlen(s) + 128) AS BIGINT) AS cost FROM g GROUP BY ALL")
+def memory_cost(spark, sf_dir):
+    return layout.memory_cost(glyphs(spark, sf_dir))
+
+
+@query(_G + """, p AS (SELECT doc_id, page_num, y, x, seq, CASE WHEN x - lag(x + w) OVER (PARTITION BY doc_id, page_num, y ORDER BY x, seq) > greatest(0.2 * font_size, 0.5) THEN ' ' ELSE '' END || s AS part FROM g),
+l AS (SELECT doc_id, page_num, y, string_agg(part, '' ORDER BY x, seq) AS t FROM p GROUP BY ALL) SELECT doc_id, page_num, trim(string_agg(t, chr(10) ORDER BY y DESC), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l GROUP BY ALL""")
+def plain_text_running_mean(spark, sf_dir):
+    """Baselines of the synthetic layout are 14 apart, so there the lines of the running mean are the baselines."""
+    return layout.plain_text(glyphs(spark, sf_dir))
+
+
+@query()
+def styled_sentences(spark, sf_dir):
+    return layout.styled_sentences(glyphs(spark, sf_dir))
+
+
+@query(_CTX + """, t AS (SELECT * FROM classified WHERE type <> 'Unknown'), """ + _SCORED.format(id="doc_id, page_num, block_id, type", t="t").removeprefix("WITH ") + "SELECT * FROM d")
+def blocks_with_language(spark, sf_dir):
+    return detect(classify_blocks(spark, sf_dir).where("type <> 'Unknown'"), "doc_id", "page_num", "block_id", "type")
+
+
+@query(f"""WITH t AS (SELECT doc_id, '（' || lang || '）、' || source || '。' AS s FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, translate(s, '{strings.HORIZONTAL}', '{strings.VERTICAL}') AS vertical, NOT ({" OR ".join(f"unicode(substr(s, 1 + CAST(doc_id % length(s) AS BIGINT), 1)) BETWEEN {a} AND {b}" for a, b in strings.UPRIGHT)}) AS rotate FROM t""")
+def vertical_text(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").where("lang is not null and source is not null").select("doc_id", F.concat(F.lit("（"), "lang", F.lit("）、"), "source", F.lit("。")).alias("s"))
+    return t.select("doc_id", strings.vertical_variant(F.col("s")).alias("vertical"), strings.should_rotate(F.substring("s", (1 + F.col("doc_id") % F.length("s")).cast("int"), F.lit(1))).alias("rotate"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ABC+SimSun' WHEN 1 THEN 'Helvetica' WHEN 2 THEN 'MS-Gothic' WHEN 3 THEN 'GBK-EUC-V' WHEN 4 THEN 'UniJIS-H' ELSE 'Identity' END AS n FROM part)
+SELECT p_partkey, regexp_matches(lower(n), '{"|".join(strings.CJK_FONTS)}') AS cjk_font, regexp_matches(n, '^({"|".join(strings.CJK_CMAPS)})') AS cjk_cmap, CASE WHEN ends_with(n, '-V') THEN 1 WHEN ends_with(n, '-H') OR n = 'Identity' THEN 0 ELSE -1 END AS writing_mode FROM n""")
+def cjk_names(spark, sf_dir):
+    names = F.array(*map(F.lit, ["ABC+SimSun", "Helvetica", "MS-Gothic", "GBK-EUC-V", "UniJIS-H", "Identity"]))
+    n = read(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 6).cast("int")).alias("n"))
+    return n.select("p_partkey", strings.is_cjk_font(F.col("n")).alias("cjk_font"), strings.is_cjk_cmap(F.col("n")).alias("cjk_cmap"), strings.writing_mode(F.col("n")).alias("writing_mode"))
+
+
+@query("SELECT p_partkey, CAST(len(list_filter(regexp_split_to_array(p_name, '[ ,;#]'), lambda x: x <> '')) AS BIGINT) AS n_parts, hex(encode(p_name)) AS bytes, regexp_matches(p_name, '^([0-9A-Fa-f]{2})+$') AS valid FROM part WHERE p_name IS NOT NULL")
+def hex_and_split(spark, sf_dir):
+    n = F.col("p_name")
+    packed = F.concat(F.lit("<"), F.lower(F.hex(n)), F.lit(" >"))
+    return read(spark, sf_dir, "part").where("p_name is not null").select("p_partkey", F.size(strings.split_any(n, " ,;#")).cast("bigint").alias("n_parts"), F.hex(strings.hex_decode(packed)).alias("bytes"), strings.hex_valid(n).alias("valid"))
+
+
+@query("""WITH RECURSIVE h(k, x, y, s, d) AS (SELECT p_partkey, p_partkey % 64, CAST(p_size % 64 AS BIGINT), 32::BIGINT, 0::BIGINT FROM part UNION ALL
+SELECT k, CASE WHEN y & s = 0 THEN CASE WHEN x & s > 0 THEN 63 - y ELSE y END ELSE x END, CASE WHEN y & s = 0 THEN CASE WHEN x & s > 0 THEN 63 - x ELSE x END ELSE y END, s // 2,
+  d + s * s * xor(CASE WHEN x & s > 0 THEN 3 ELSE 0 END, CASE WHEN y & s > 0 THEN 1 ELSE 0 END) FROM h WHERE s > 0)
+SELECT p_partkey, d AS hilbert, 2.0 * (p_partkey % 64) + 3.0 * p_size + 5 AS tx, -1.0 * (p_partkey % 64) + 0.5 * p_size AS ty FROM h JOIN part ON k = p_partkey WHERE s = 0""")
+def hilbert_and_matrix(spark, sf_dir):
+    x, y = F.col("p_partkey") % 64, F.col("p_size") % 64
+    tx, ty = strings.transform(x, F.col("p_size"), (2.0, -1.0, 3.0, 0.5, 5, 0))
+    return read(spark, sf_dir, "part").select("p_partkey", strings.hilbert(x, y, 6).alias("hilbert"), tx.alias("tx"), ty.alias("ty"))
+
+
 # -- PDF files ---------------------------------------------------------------------------------------------------
 
 _PAGES = "WITH li AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) "
