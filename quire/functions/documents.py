@@ -93,4 +93,4 @@ def pdf_date(raw: Column) -> Column:
 
 
 def keywords(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, "[,;]"), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(raw, "[,;]"), lambda k: F.trim(k)), lambda k: k != "")

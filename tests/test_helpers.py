@@ -41,7 +41,7 @@ def line(spark, *rows):
 
 
 def test_lines_follow_the_running_mean(spark):
-    g = line(spark, (1, 10, 100, 20, "a"), (1, 40, 98.5, 20, "b"), (1, 70, 97.6, 20, "c"), (1, 10, 96.7, 20, "d"), (2, 0, 5, 1, "e"))
+    g = line(spark, (1, 10, 100, 20, "a"), (1, 40, 98.5, 20, "b"), (1, 70, 97.6, 20, "c"), (1, 10, 96.6, 20, "d"), (2, 0, 5, 1, "e"))
     assert [r.text for r in layout.plain_text(g).orderBy("page_num").collect()] == ["a b c\nd", "e"]
 
 
