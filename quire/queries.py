@@ -389,5 +389,34 @@ def pdf_recover(spark, sf_dir):
     return out.select(F.col("path").cast("bigint").alias("doc_id"), "pages", "recovered")
 
 
+@query(_PAGES + "SELECT doc_id, n // 35 + 1 AS page_num, string_agg(line, chr(10) ORDER BY n) AS text FROM li WHERE line <> '' GROUP BY ALL")
+def pdf_encrypted(spark, sf_dir):
+    """Files encrypted by RC4 and AES of several strengths, opened by a password."""
+    locked = pdfsample.from_texts(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "pass word")
+    out = pdf.page_text(pdf.glyphs(locked, ("wrong", "pass word")))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "text")
+
+
+@query(_PAGES + "SELECT DISTINCT doc_id, n // 35 AS seq, 0::BIGINT AS depth, 'page ' || (n // 35 + 1) AS title FROM li")
+def pdf_outline(spark, sf_dir):
+    return pdf.part(files(spark, sf_dir), "outline").select(F.col("path").cast("bigint").alias("doc_id"), "seq", "depth", "title")
+
+
+@query(_PAGES + "SELECT DISTINCT doc_id, n // 35 + 1 AS page_num, 'F1' AS name, 'Helvetica' AS base_font, 'Type1' AS subtype FROM li")
+def pdf_page_fonts(spark, sf_dir):
+    return pdf.part(files(spark, sf_dir), "page_fonts").select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "name", "base_font", "subtype")
+
+
+@query(_PAGES + "SELECT DISTINCT doc_id, n // 35 + 1 AS page_num, 40.0::DOUBLE AS min_x, 40.0::DOUBLE AS min_y, 572.0::DOUBLE AS max_x, 780.0::DOUBLE AS max_y FROM li")
+def pdf_rects(spark, sf_dir):
+    return pdf.part(files(spark, sf_dir), "rects").select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "min_x", "min_y", "max_x", "max_y")
+
+
+@query(_PAGES + "SELECT doc_id, 5 + 3 * (max(n) // 35 + 1) AS objects, max(n) // 35 + 1 AS pages FROM li GROUP BY ALL")
+def pdf_objects(spark, sf_dir):
+    out = pdf.part(files(spark, sf_dir), "objects").groupBy(F.col("path").cast("bigint").alias("doc_id"))
+    return out.agg(F.count("*").alias("objects"), F.count_if(F.contains("value", F.lit("/Type /Page>>"))).alias("pages"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_stats(spark, sf_dir)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.layout import joined
-from quire.sources.pdfkernel import Document, page_glyphs
+from quire.sources.pdfkernel import Document, Ref, page_glyphs, shown
 
 GLYPHS = "path string, page_num bigint, seq bigint, font string, font_size double, x double, y double, w double, s string, error string"
 METADATA = "path string, version string, pages bigint, info map<string,string>, recovered boolean, error string"
@@ -25,14 +25,17 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
-def glyphs(documents: DataFrame) -> DataFrame:
-    """A row per character; for a page or document that can't be read a row with the error and no character."""
+def glyphs(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """A row per character; for a page or document that can't be read a row with the error and no character.
+
+    ``passwords`` are tried on encrypted documents, after the empty one.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in _read(path, content or b""):
+                for row in _read(path, content or b"", passwords):
                     rows.append(row)
                     if len(rows) >= BATCH:
                         yield _batch(rows)
@@ -42,9 +45,9 @@ def glyphs(documents: DataFrame) -> DataFrame:
     return documents.select("path", "content").mapInArrow(work, GLYPHS)
 
 
-def _read(path: str, content: bytes) -> Iterator[tuple]:
+def _read(path: str, content: bytes, passwords: tuple[str, ...]) -> Iterator[tuple]:
     try:
-        doc = Document.open(content)
+        doc = Document.open(content, passwords)
         pages = doc.pages()
     except (ValueError, RecursionError) as e:
         yield path, None, None, None, None, None, None, None, None, str(e)
@@ -71,7 +74,7 @@ def page_text(glyphs: DataFrame) -> DataFrame:
     return lines.groupBy("path", "page_num").agg(joined([F.col("line")], F.col("t"), "\n").alias("text"))
 
 
-def metadata(documents: DataFrame) -> DataFrame:
+def metadata(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -80,7 +83,7 @@ def metadata(documents: DataFrame) -> DataFrame:
                 at = content.find(b"PDF-", 0, 4096)
                 version = content[at + 4 : at + 7].decode("latin-1") if at >= 0 else None
                 try:
-                    doc = Document.open(content)
+                    doc = Document.open(content, passwords)
                     rows.append((path, version, len(doc.pages()), list(doc.info().items()), doc.recovered, None))
                 except (ValueError, RecursionError) as e:
                     rows.append((path, version, None, None, None, str(e)))
@@ -89,3 +92,40 @@ def metadata(documents: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "version", "pages", "info", "recovered", "error"])
 
     return documents.select("path", "content").mapInArrow(work, METADATA)
+
+
+#: Further tables of a document: columns after path, Arrow types, and the rows of an open document.
+_PARTS = {
+    "outline": ({"seq": "bigint", "depth": "bigint", "title": "string"}, lambda doc: [(i, *e) for i, e in enumerate(doc.outline())]),
+    "page_fonts": ({"page_num": "bigint", "name": "string", "base_font": "string", "subtype": "string"}, lambda doc: [(n, *f) for n, p in enumerate(doc.pages(), 1) for f in doc.page_fonts(p)]),
+    "rects": ({"page_num": "bigint", "seq": "bigint", "min_x": "double", "min_y": "double", "max_x": "double", "max_y": "double"}, lambda doc: [(n, i, *map(float, r)) for n, p in enumerate(doc.pages(), 1) for i, r in enumerate(_rects(doc, p))]),
+    "objects": ({"num": "bigint", "value": "string"}, lambda doc: [(n, shown(doc.resolve(Ref(n, 0)))) for n in sorted(doc.places) if doc.places[n]]),
+    "linearization": ({"name": "string", "value": "string"}, lambda doc: sorted(doc.linearization().items())),
+    "trailer": ({"name": "string", "value": "string"}, lambda doc: sorted((k, shown(v)) for k, v in doc.trailer.items())),
+}
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def _rects(doc: Document, page: dict) -> list:
+    out: list = []
+    page_glyphs(doc, page, out)
+    return out
+
+
+def part(documents: DataFrame, name: str, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """A further table of the documents: outline, page_fonts, rects, objects, linearization or trailer; unreadable documents are
+    rows with an error."""
+    fields, rows_of = _PARTS[name]
+    kinds = {"path": "string", **fields, "error": "string"}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = [(path, *r, None) for r in rows_of(Document.open(content or b"", passwords))]
+                except (ValueError, TypeError, KeyError, RecursionError) as e:
+                    rows = [(path, *[None] * len(fields), str(e))]
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.record_batch([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    return documents.select("path", "content").mapInArrow(work, ", ".join(f"{n} {k}" for n, k in kinds.items()))

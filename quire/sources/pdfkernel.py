@@ -11,6 +11,9 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
+from quire.sources.ciphers import Handler
+from quire.sources.encodings import codec_of, glyph_text
+
 
 class Name(str):
     """A name object."""
@@ -239,30 +242,71 @@ class Document:
     places: dict = field(default_factory=dict)  # object number -> ("at", offset) or ("in", stream, index)
     trailer: dict = field(default_factory=dict)
     recovered: bool = False
+    passwords: tuple[str, ...] = ("",)
+    cipher: Handler | None = None
+    locked: str = ""
     _cache: dict = field(default_factory=dict)
 
     @classmethod
-    def open(cls, data: bytes) -> Document:
-        """Cross-reference data from the end; else, or if that leads to no page tree, a scan for objects."""
+    def open(cls, data: bytes, passwords: tuple[str, ...] = ()) -> Document:
+        """Cross-reference data from the end; else, or if that leads to no page tree, a scan for objects.
+
+        Encrypted documents are opened with the empty password or the first of ``passwords`` that fits, as user's or owner's.
+        """
         if not re.search(rb"%?PDF-\d", data[:4096]):
             raise PdfError("not a PDF: no header")
-        doc = cls(data)
+        doc = cls(data, passwords=("", *passwords))
         try:
             at = data.rfind(b"startxref")
             if at < 0:
                 raise PdfError("no startxref")
             doc._chain(Lexer(data, at + 9).token())
+            doc._unlock()
             if not isinstance(doc.resolve(doc.resolve(doc.trailer.get("Root"))["Pages"]), dict):
                 raise PdfError("no page tree")
         except (PdfError, TypeError, KeyError, AttributeError, IndexError, ValueError, zlib.error):
-            doc = cls(data, recovered=True)
-            doc._scan()
+            doc = cls(data, recovered=True, passwords=("", *passwords)) if not doc.locked else doc
+            if not doc.locked:
+                doc._scan()
+        if doc.locked:
+            raise PdfError(doc.locked)
         if doc.resolve(doc.trailer.get("Root")) is None:
             raise PdfError("malformed PDF: no catalog")
-        if "Encrypt" in doc.trailer:
-            raise PdfError("the document is encrypted")
         return doc
 
+    def _unlock(self) -> None:
+        head = self._plain(self.trailer.get("Encrypt"))
+        if not isinstance(head, dict):
+            return
+        ids = self.resolve(self.trailer.get("ID"))
+        try:
+            cipher = Handler(head, self.resolve(ids[0]) if ids else b"")
+            self.locked = "" if cipher.unlock(list(self.passwords)) else "the document is encrypted and no password fits"
+        except (ValueError, KeyError, TypeError) as e:
+            self.locked = str(e)
+        self.cipher, self._cache = (None, {}) if self.locked else (cipher, {})
+
+    def _plain(self, value, depth: int = 0):
+        """The value with all references resolved, to a depth."""
+        value = self.resolve(value)
+        if isinstance(value, dict) and depth < 8:
+            return {k: self._plain(v, depth + 1) for k, v in value.items()}
+        return [self._plain(v, depth + 1) for v in value] if isinstance(value, list) and depth < 8 else value
+
+    def _clear(self, value, num: int, gen: int):
+        """The value with its strings and stream decrypted."""
+        if isinstance(value, bytes):
+            return self.cipher.decrypt(value, num, gen, "StrF")
+        if isinstance(value, list):
+            return [self._clear(v, num, gen) for v in value]
+        if isinstance(value, dict):
+            return {k: self._clear(v, num, gen) for k, v in value.items()}
+        if isinstance(value, Stream):
+            kind, filters = value.head.get("Type"), self.resolve(value.head.get("Filter"))
+            open_ = kind == "XRef" or (kind == "Metadata" and self.cipher.head.get("EncryptMetadata") is False) or "Crypt" in (filters if isinstance(filters, list) else [filters])
+            return value if open_ else Stream(self._clear(value.head, num, gen), self.cipher.decrypt(value.raw, num, gen, "StmF"))
+        return value
+
     def _chain(self, at) -> None:
         todo, seen = [at], set()
         while todo:
@@ -319,14 +363,16 @@ class Document:
                 self.trailer |= head
         for num in list(self.places):
             value = self.resolve(Ref(num, 0))
-            head = value.head if isinstance(value, Stream) else value
-            if not isinstance(head, dict):
-                continue
-            if head.get("Type") == "ObjStm":
+            if isinstance(value, Stream) and value.head.get("Type") == "XRef":
+                self.trailer |= {k: v for k, v in value.head.items() if k in ("Root", "Info", "Encrypt", "ID")}
+        self._unlock()
+        if self.locked:
+            return
+        for num in list(self.places):
+            value = self.resolve(Ref(num, 0))
+            if isinstance(value, Stream) and value.head.get("Type") == "ObjStm":
                 for i, inner in enumerate(self._members(value)):
                     self.places.setdefault(inner[0], ("in", num, i))
-            if head.get("Type") == "XRef":
-                self.trailer |= {k: v for k, v in head.items() if k in ("Root", "Info", "Encrypt")}
         if not isinstance(self.resolve(self.trailer.get("Root")), dict):
             for num in list(self.places):
                 value = self.resolve(Ref(num, 0))
@@ -335,9 +381,13 @@ class Document:
 
     def _object(self, at: int):
         lex = Lexer(self.data, at)
-        num, _, word = lex.token(), lex.token(), lex.token()
+        num, gen, word = lex.token(), lex.token(), lex.token()
         if word != "obj":
             raise PdfError(f"no object at {at}")
+        value = self._body(lex, num)
+        return self._clear(value, num, gen) if self.cipher else value
+
+    def _body(self, lex: Lexer, num: int):
         value = lex.value()
         if isinstance(value, dict):
             back = lex.at
@@ -396,11 +446,65 @@ class Document:
         walk(self.resolve(self.trailer["Root"]).get("Pages"), {})
         return out
 
+    def outline(self) -> list[tuple[int, str]]:
+        """(depth, title) of the outline in reading order; at most 100 levels and 1,000 entries of one parent."""
+        out: list[tuple[int, str]] = []
+
+        def walk(parent: dict, depth: int, path: frozenset) -> None:
+            at, n = parent.get("First"), 0
+            seen = set()
+            while isinstance(node := self.resolve(at), dict) and n < 1000 and id(node) not in path and id(node) not in seen:
+                seen.add(id(node))
+                title = self.resolve(node.get("Title"))
+                out.append((depth, text(title) if isinstance(title, bytes) else ""))
+                if depth < 100:
+                    walk(node, depth + 1, path | {id(node)})
+                at, n = node.get("Next"), n + 1
+
+        root = self.resolve(self.resolve(self.trailer["Root"]).get("Outlines"))
+        if isinstance(root, dict):
+            walk(root, 0, frozenset({id(root)}))
+        return out
+
+    def linearization(self) -> dict[str, str]:
+        """Parameters of the first object, if it is a linearization dictionary."""
+        m = re.search(rb"\d+\s+\d+\s+obj\b", self.data[:4096])
+        head = Lexer(self.data, m.end()).value() if m else None
+        return {k: shown(v) for k, v in head.items()} if isinstance(head, dict) and "Linearized" in head else {}
+
+    def page_fonts(self, page: dict) -> list[tuple[str, str, str]]:
+        """(resource name, base font, kind) by name."""
+        fonts = self.resolve((self.resolve(page.get("Resources")) or {}).get("Font"))
+        heads = {k: self.resolve(v) for k, v in fonts.items()} if isinstance(fonts, dict) else {}
+        return [(k, *(str(self.resolve(h.get(x)) or "") for x in ("BaseFont", "Subtype"))) for k, h in sorted(heads.items()) if isinstance(h, dict)]
+
     def info(self) -> dict[str, str]:
         head = self.resolve(self.trailer.get("Info"))
         return {k: text(v) if isinstance(v := self.resolve(x), bytes) else str(v) for k, x in head.items()} if isinstance(head, dict) else {}
 
 
+def shown(value) -> str:
+    """An object as text; the keys of dictionaries are sorted."""
+    match value:
+        case None:
+            return "null"
+        case bool():
+            return str(value).lower()
+        case Name():
+            return f"/{value}"
+        case bytes():
+            return '"' + text(value).replace("\\", "\\\\").replace('"', '\\"') + '"'
+        case list():
+            return "[" + " ".join(shown(v) for v in value) + "]"
+        case dict():
+            return "<<" + " ".join(f"/{k} {shown(v)}" for k, v in sorted(value.items())) + ">>"
+        case Ref():
+            return f"{value.num} {value.gen} R"
+        case Stream():
+            return shown(value.head) + "@stream"
+    return f"{value:g}" if isinstance(value, float) else str(value)
+
+
 def text(raw: bytes) -> str:
     """A text string: UTF-16 with its mark, UTF-8 with its mark, else Latin-1."""
     if raw[:2] == b"\xfe\xff":
@@ -409,18 +513,37 @@ def text(raw: bytes) -> str:
 
 
 class Font:
-    """Codes of a font as (text, width in thousandths)."""
+    """Codes of a font as (text, width in thousandths).
+
+    A ToUnicode map comes first. Then composite fonts go by their character map, simple ones by a named encoding and else
+    by WinAnsi; a table of differences counts only for fonts other than Type 1 and TrueType.
+    """
 
     def __init__(self, doc: Document, head: dict):
         get = doc.resolve
+        kind = get(head.get("Subtype"))
         self.name = re.sub(r"^[A-Z]{6}\+", "", str(get(head.get("BaseFont")) or ""))
-        self.wide = get(head.get("Subtype")) == "Type0"
+        self.wide = kind == "Type0"
         self.first, self.widths = get(head.get("FirstChar")) or 0, [get(w) for w in get(head.get("Widths")) or []]
         self.map: dict[bytes, str] = {}
-        if isinstance(cmap := get(head.get("ToUnicode")), Stream):
-            self._read(decode(cmap, doc))
         encoding = get(head.get("Encoding"))
-        self.codec = "mac-roman" if encoding == "MacRomanEncoding" else "cp1252"
+        below = (get(get(x) if isinstance(x := head.get("DescendantFonts"), Ref) else x) or [None])[0] if self.wide else None
+        below = get(below) if isinstance(get(below), dict) else {}
+        for source in (head.get("ToUnicode"), encoding if self.wide else None, below.get("ToUnicode")):
+            if isinstance(cmap := get(source), Stream) and not self.map:
+                self._read(decode(cmap, doc))
+        base, changes = encoding, []
+        if isinstance(encoding, dict):
+            base, changes = get(encoding.get("BaseEncoding")), get(encoding.get("Differences")) or []
+        self.codec = codec_of(str(base)) if self.wide else "mac-roman" if base == "MacRomanEncoding" else "cp1252"
+        if kind not in ("Type0", "Type1", "TrueType", "MMType1"):
+            code = 0
+            for x in changes:
+                if isinstance(x := get(x), int):
+                    code = x
+                elif isinstance(x, Name):
+                    self.map.setdefault(bytes([code & 255]), glyph_text(x))
+                    code += 1
 
     def _read(self, data: bytes) -> None:
         lex, held = Lexer(data), []
@@ -443,12 +566,23 @@ class Font:
             held = []
 
     def glyphs(self, raw: bytes):
-        size = 2 if self.wide else 1
-        for i in range(0, len(raw), size):
-            code = raw[i : i + size]
+        at = 0
+        while at < len(raw):
+            size = self._size(raw, at)
+            code = raw[at : at + size]
+            at += size
             n = int.from_bytes(code, "big")
             width = self.widths[n - self.first] if 0 <= n - self.first < len(self.widths) else 0
-            yield self.map.get(code) or (code.decode("utf-16-be", "replace") if self.wide else code.decode(self.codec, "replace")), width or 0
+            yield self.map.get(code) or code.decode(self.codec, "replace"), width or 0
+
+    def _size(self, raw: bytes, at: int) -> int:
+        """Bytes of the code at a position: one or two, by the lead byte in character maps of mixed lengths."""
+        if not self.wide:
+            return 1
+        if self.codec == "utf-16-be" or raw[at : at + 2] in self.map:
+            return 2
+        lead = raw[at]
+        return 1 if lead < 0x81 or (self.codec == "cp932" and 0xA0 <= lead <= 0xDF) else 2
 
 
 def times(a: tuple, b: tuple) -> tuple:
@@ -459,17 +593,20 @@ def times(a: tuple, b: tuple) -> tuple:
 UNIT = (1, 0, 0, 1, 0, 0)
 
 
-def page_glyphs(doc: Document, page: dict) -> list[tuple]:
-    """(font, font_size, x, y, w, s) of every character that a page shows, in order of emission."""
+def page_glyphs(doc: Document, page: dict, rects: list | None = None) -> list[tuple]:
+    """(font, font_size, x, y, w, s) of every character that a page shows, in order of emission.
+
+    ``rects`` takes the page's rectangles as (min_x, min_y, max_x, max_y), in the coordinates of their operands.
+    """
     contents = doc.resolve(page.get("Contents"))
     parts = [doc.resolve(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(decode(p, doc) for p in parts if isinstance(p, Stream))
     out: list[tuple] = []
-    _run(doc, data, doc.resolve(page.get("Resources")) or {}, UNIT, out, [])
+    _run(doc, data, doc.resolve(page.get("Resources")) or {}, UNIT, out, [], rects)
     return out
 
 
-def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, forms: list) -> None:
+def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, forms: list, rects: list | None = None) -> None:
     fonts: dict = {}
     fresh = {"ctm": ctm, "font": None, "size": 0.0, "Tc": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
     state, saved, tm, line = dict(fresh), [], UNIT, UNIT
@@ -501,6 +638,10 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                     saved.append(dict(state))
                 case "Q":
                     state = saved.pop() if saved else state
+                case "re":
+                    x, y, w, h = args[-4:]
+                    if rects is not None:
+                        rects.append((x, y, x + w, y + h))
                 case "cm":
                     state["ctm"] = times(tuple(args[-6:]), state["ctm"])
                 case "Tf":
@@ -540,7 +681,7 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                     form = doc.resolve((doc.resolve(resources.get("XObject")) or {}).get(args[-1]))
                     if isinstance(form, Stream) and doc.resolve(form.head.get("Subtype")) == "Form" and len(forms) < 50 and forms.count(args[-1]) < 2:
                         matrix = tuple(doc.resolve(form.head.get("Matrix")) or UNIT)
-                        _run(doc, decode(form, doc), doc.resolve(form.head.get("Resources")) or resources, times(matrix, state["ctm"]), out, [*forms, args[-1]])
+                        _run(doc, decode(form, doc), doc.resolve(form.head.get("Resources")) or resources, times(matrix, state["ctm"]), out, [*forms, args[-1]], rects)
         except (IndexError, TypeError, ValueError):
             pass  # an operator with wrong operands is left out
         args = []

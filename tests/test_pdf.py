@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from quire.sources import pdf, pdfkernel
+from quire.sources import ciphers, encodings, pdf, pdfkernel, pdfsample
 from quire.streaming.files import glyph_stream
 
 
@@ -104,3 +104,59 @@ def test_tables_and_stream(spark, tmp_path):
     query = glyph_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("glyph_rows").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("glyph_rows").where("error is null").count() == rows.where("error is null").count()
+
+
+@pytest.mark.parametrize("scheme", sorted(pdfsample.SCHEMES))
+@pytest.mark.parametrize("damage", [False, True])
+def test_encrypted(scheme, damage):
+    data = pdfsample.make("one\ntwo", "títle", pdfsample.lock(scheme, "us", "own"))
+    data = data.replace(b"startxref\n", b"startxref\n9") if damage else data
+    for words in (("us",), ("no", "own")):
+        doc = pdfkernel.Document.open(data, words)
+        assert doc.recovered == damage and doc.info() == {"Title": "títle"} and doc.outline() == [(0, "page 1")]
+        assert "".join(g[5] for g in pdfkernel.page_glyphs(doc, doc.pages()[0])) == "onetwo"
+        assert doc.cipher.permits(3) and not doc.cipher.permits(1)
+    with pytest.raises(pdfkernel.PdfError, match="password"):
+        pdfkernel.Document.open(data, ("no",))
+
+
+def test_ciphers_by_published_vectors():
+    key, iv = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    hidden = bytes.fromhex("7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b2")
+    assert ciphers.aes_encrypt(key, iv, plain) == hidden and ciphers.aes_decrypt(key, iv, hidden) == plain
+    long = bytes.fromhex("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4")
+    assert ciphers.aes_encrypt(long, iv, plain)[:16].hex() == "f58c4c04d6e5f1ba779eabfb5f7bfbd6"
+    assert ciphers.aes_decrypt(long, iv, ciphers.aes_encrypt(long, iv, plain)) == plain
+    assert ciphers.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    assert ciphers.unpad(b"ab" + b"\x02\x02") == b"ab" and ciphers.unpad(b"") == b""
+
+
+@pytest.mark.parametrize(("name", "value"), [("Aacute", "Á"), ("ccedilla", "ç"), ("uni00410042", "AB"), ("u1F600", "😀"), ("alpha", "α"), ("Omega", "Ω"), ("afii10017", "А"), ("afii10023", "Ё"), ("afii10097", "я"), ("f_f.alt", "ff"), (".notdef", ""), ("nosuchname", ""), ("Scaron", "Š"), ("space", " ")])
+def test_glyph_names(name, value):
+    assert encodings.glyph_text(name) == value
+
+
+def test_differences_and_predefined_maps():
+    name, doc = pdfkernel.Name, pdfkernel.Document(b"")
+    plain = pdfkernel.Font(doc, {"Subtype": name("Type3"), "Encoding": {"Differences": [65, name("eacute"), name("alpha"), 97, name("fi")]}})
+    assert "".join(g[0] for g in plain.glyphs(b"ABCa")) == "éαCﬁ"
+    wide = pdfkernel.Font(doc, {"Subtype": name("Type0"), "Encoding": name("GBK-EUC-H")})
+    assert "".join(g[0] for g in wide.glyphs("中A文".encode("gbk"))) == "中A文"
+    kana = pdfkernel.Font(doc, {"Subtype": name("Type0"), "Encoding": name("90ms-RKSJ-V")})
+    assert "".join(g[0] for g in kana.glyphs("ｱ漢b".encode("cp932"))) == "ｱ漢b"
+    below = pdfkernel.Font(doc, {"Subtype": name("Type0"), "Encoding": name("Identity-H"), "DescendantFonts": [{"ToUnicode": pdfkernel.Stream({}, b"1 beginbfchar <0001> <0041> endbfchar")}]})
+    assert [g[0] for g in below.glyphs(b"\x00\x01")] == ["A"]
+
+
+def test_objects_as_text():
+    value = pdfkernel.Lexer(b"<< /B [1 2.50 true null (a\"b)] /A 3 0 R /C /N >>").value()
+    assert pdfkernel.shown(value) == '<</A 3 0 R /B [1 2.5 true null "a\\"b"] /C /N>>'
+    doc = pdfkernel.Document(b"%PDF-1.4\n1 0 obj\n<< /Linearized 1 /L 9 >>\nendobj")
+    assert doc.linearization() == {"Linearized": "1", "L": "9"}
+
+
+def test_parts_of_documents_that_cannot_be_read(spark):
+    broken = spark.createDataFrame([("a", b""), ("b", None)], "path string, content binary")
+    for name in ("outline", "page_fonts", "rects", "objects", "linearization", "trailer"):
+        assert sorted(r.path for r in pdf.part(broken, name).where("error is not null").collect()) == ["a", "b"]
