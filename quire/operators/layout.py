@@ -121,19 +121,27 @@ def sorted_blocks(blocks: DataFrame, by: str) -> DataFrame:
     return blocks.select(*PAGE, "block_id", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*orders[by], "block_id")).cast("bigint").alias("place"))
 
 
-def _boxes(glyphs: DataFrame) -> DataFrame:
-    t = 2 * F.avg("font_size").over(Window.partitionBy(*PAGE))
-    out = glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", t.alias("t"))
-    return out.withColumn("cx", F.floor((F.col("x") + F.col("w") / 2) / F.col("t"))).withColumn("cy", F.floor((F.col("y") + F.col("font_size") / 2) / F.col("t")))
+def _boxes(glyphs: DataFrame, sized: bool) -> DataFrame:
+    w = Window.partitionBy(*PAGE)
+    n = F.count("*").over(w)
+    out = glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", (2 * F.avg("font_size").over(w)).alias("t"), n.alias("n"))
+    cell = F.when((F.col("n") >= 50) & F.lit(sized), 2 * F.col("t")).otherwise(F.col("t"))
+    cell = F.when(cell > 0, cell).otherwise(1)
+    return out.withColumn("cx", F.floor((F.col("x") + F.col("w") / 2) / cell)).withColumn("cy", F.floor((F.col("y") + F.col("font_size") / 2) / cell))
 
 
-def merge_edges(glyphs: DataFrame) -> DataFrame:
-    """Pairs of runs that belong together: side by side, or stacked; candidates from neighbouring grid cells by an equi-join."""
-    boxes = _boxes(glyphs)
+def merge_edges(glyphs: DataFrame, sized: bool = False) -> DataFrame:
+    """Pairs of runs that belong together: side by side, or stacked; candidates from neighbouring grid cells by an equi-join.
+
+    ``sized`` lets the rule depend on the number of runs of the page: from 50 on cells are twice as wide and boxes that are far
+    apart are left out first; from 1,000 on runs also belong together by the distance of their centers. There is no cap on a
+    run's neighbours.
+    """
+    boxes = _boxes(glyphs, sized)
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = boxes.withColumn("d", F.explode(near)).select(*PAGE, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("font_size").alias("af"), "t")
+    a = boxes.withColumn("d", F.explode(near)).select(*PAGE, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("font_size").alias("af"), "t", "n")
     b = boxes.select(*PAGE, "cx", "cy", F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("font_size").alias("bf"))
-    return a.join(b, [*PAGE, "cx", "cy"]).where("a < b").where(F.expr(MERGE)).select(*PAGE, "a", "b")
+    return a.join(b, [*PAGE, "cx", "cy"]).where("a < b").where(F.expr(MERGE_SIZED if sized else MERGE)).select(*PAGE, "a", "b")
 
 
 #: Vertical overlap above 0.3 of either font and a horizontal gap below t; or 0.6 of the narrower width in common and a vertical gap below 1.5 t.
@@ -141,8 +149,16 @@ _VO = "(least(ay + af, by + bf) - greatest(ay, by))"
 _HO = "(least(ax + aw, bx + bw) - greatest(ax, bx))"
 MERGE = f"(({_VO} > 0.3 * af or {_VO} > 0.3 * bf) and {_VO} > 0 and -{_HO} < t) or (least(aw, bw) > 0 and {_HO} > 0.6 * least(aw, bw) and -{_VO} >= 0 and -{_VO} < 1.5 * t)"
 
+_DX, _DY = "abs((ax + aw / 2) - (bx + bw / 2))", "abs((ay + af / 2) - (by + bf / 2))"
+_HG, _VG = f"({_DX} - (aw + bw) / 2)", f"({_DY} - (af + bf) / 2)"
+#: Boxes that aren't far apart; y is the reach upwards and downwards in units of t.
+_COARSE = f"(-{_HO} <= t and -{_VO} <= {{y}} * t and {_HG} <= t and {_VG} <= 1.5 * t and not ({_HG} > 0.8 * t and {_VG} > t))"
+#: Centers that are close, neither side by side nor of unlike fonts or narrow boxes.
+_CLOSE = f"({_DX} <= 2 * {_DY} and af <= 3 * aw and bf <= 3 * bw and abs(af - bf) <= 0.5 * greatest(af, bf) and greatest({_HG}, 0) < t and greatest({_VG}, 0) < 1.5 * t)"
+MERGE_SIZED = f"case when n < 50 then ({MERGE}) when n < 1000 then {_COARSE.format(y=1.1)} and ({MERGE}) else {_COARSE.format(y=1.0)} and (({MERGE}) or {_CLOSE}) end"
+
 
-def clusters(glyphs: DataFrame) -> DataFrame:
+def clusters(glyphs: DataFrame, sized: bool = False) -> DataFrame:
     """Connected components of ``merge_edges`` on each page: doc_id, page_num, seq, cluster (its least seq)."""
     import pandas as pd
 
@@ -162,7 +178,7 @@ def clusters(glyphs: DataFrame) -> DataFrame:
         return left.assign(cluster=[root(s) for s in left["seq"]])
 
     own = glyphs.select(*PAGE, "seq")
-    edges = merge_edges(glyphs).toDF("d", "p", "a", "b")  # other names, as both sides come from one table
+    edges = merge_edges(glyphs, sized).toDF("d", "p", "a", "b")  # other names, as both sides come from one table
     return own.groupBy(*PAGE).cogroup(edges.groupBy("d", "p")).applyInPandas(components, "doc_id bigint, page_num bigint, seq bigint, cluster bigint")
 
 
@@ -280,3 +296,117 @@ def styled_sentences(glyphs: DataFrame) -> DataFrame:
 
     schema = "doc_id bigint, page_num bigint, seq bigint, font string, font_size double, y double, s string"
     return glyphs.select(*PAGE, "seq", "font", F.col("font_size").cast("double"), F.col("y").cast("double"), "s").groupBy(*PAGE).applyInPandas(fold, schema)
+
+
+def cluster_blocks(glyphs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Bounds, mean font size and number of runs of each cluster."""
+    runs = glyphs.join(clusters, [*PAGE, "seq"])
+    return runs.groupBy(*PAGE, F.col("cluster").alias("block_id")).agg(
+        F.min("x").alias("min_x"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("font_size")).alias("max_y"), F.avg("font_size").alias("font"), F.count("*").alias("n")
+    )
+
+
+def capped_blocks(blocks: DataFrame, most: int) -> DataFrame:
+    """Blocks of each page merged, always the two whose centers are closest (ties: the first pair by id), until ``most`` are left.
+
+    Blocks are as from ``cluster_blocks``; a merged one has the lesser id and the mean font size of its runs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = ["block_id", "min_x", "max_x", "min_y", "max_y", "font", "n"]
+
+    def merge(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("block_id")
+        cells = page[names].to_numpy(np.float64)
+        while len(cells) > max(most, 1):
+            x, y = cells[:, 1] + cells[:, 2], cells[:, 3] + cells[:, 4]
+            far = np.subtract.outer(x, x) ** 2 + np.subtract.outer(y, y) ** 2
+            far[np.tril_indices(len(cells))] = np.inf
+            i, j = divmod(int(far.argmin()), len(cells))
+            a, b = cells[i], cells[j]
+            cells[i] = [a[0], min(a[1], b[1]), max(a[2], b[2]), min(a[3], b[3]), max(a[4], b[4]), (a[5] * a[6] + b[5] * b[6]) / (a[6] + b[6]), a[6] + b[6]]
+            cells = np.delete(cells, j, axis=0)
+        out = pd.DataFrame(cells, columns=names).astype({"block_id": "int64", "n": "int64"})
+        return out.assign(doc_id=page["doc_id"].iloc[0], page_num=page["page_num"].iloc[0])[[*PAGE, *names]]
+
+    schema = "doc_id bigint, page_num bigint, block_id bigint, min_x double, max_x double, min_y double, max_y double, font double, n bigint"
+    return blocks.groupBy(*PAGE).applyInPandas(merge, schema)
+
+
+def band_columns(blocks: DataFrame) -> DataFrame:
+    """Columns within each band (doc_id, page_num, block_id, band, column): from left to right, a gap of more than 5 % of the
+    page's width to the last block opens a column; a block that shares a fifth of the lower height with the last block joins it;
+    another joins the first closed column whose mean edges are as close as that gap, else the open one."""
+    import pandas as pd
+
+    w = Window.partitionBy(*PAGE)
+    wide = F.max("max_x").over(w) - F.min("min_x").over(w)
+    banded = bands(blocks.withColumn("reach", wide * 0.05))
+
+    def place(band: pd.DataFrame) -> pd.DataFrame:
+        rows = list(band.sort_values(["min_x", "block_id"]).itertuples(index=False))
+        columns: list[list] = [[rows[0]]]
+        for r in rows[1:]:
+            last = columns[-1][-1]
+            shared, low = min(last.max_y, r.max_y) - max(last.min_y, r.min_y), min(last.max_y - last.min_y, r.max_y - r.min_y)
+            if r.min_x - last.max_x > r.reach:
+                columns.append([r])
+                continue
+            fits = columns[-1]
+            if not (shared > 0 and low > 0 and shared >= 0.2 * low):
+                for c in columns[:-1]:
+                    if abs(r.min_x - sum(b.min_x for b in c) / len(c)) < r.reach and abs(r.max_x - sum(b.max_x for b in c) / len(c)) < r.reach:
+                        fits = c
+                        break
+            fits.append(r)
+        out = [(r.doc_id, r.page_num, r.block_id, r.band, i) for i, c in enumerate(columns, 1) for r in c]
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "block_id", "band", "column"])
+
+    columns = ["block_id", "band", "reach", "min_x", "max_x", "min_y", "max_y"]
+    return banded.select(*PAGE, *columns).groupBy(*PAGE, "band").applyInPandas(place, "doc_id bigint, page_num bigint, block_id bigint, band bigint, column bigint")
+
+
+def anchored(glyphs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """The runs with the number of their line: from the top, a line begins where y is more than ``tolerance`` below the first run
+    of the line before. Lines are found by a fold over the distinct y of a group, in the JVM."""
+    others = [c for c in glyphs.columns if c not in keys]
+    grouped = glyphs.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("runs"), F.sort_array(F.collect_set(F.col("y").cast("double")), asc=False).alias("ys"))
+    tops = F.aggregate("ys", F.array().cast("array<double>"), lambda tops, y: F.when(F.coalesce(F.try_element_at(tops, F.lit(-1)) - y <= tolerance, F.lit(False)), tops).otherwise(F.concat(tops, F.array(y))))
+    runs = grouped.select(*keys, tops.alias("tops"), F.explode("runs").alias("run"))
+    line = F.size(F.filter("tops", lambda top: top >= F.col("run.y"))).cast("bigint")
+    return runs.select(*keys, "run.*", line.alias("line"))
+
+
+def streamed_text(glyphs: DataFrame, tolerance: float = 2.0, gap: float = 5.0) -> DataFrame:
+    """Page text by anchored lines, each from left to right with a space where the gap exceeds ``gap``."""
+    lined = anchored(glyphs.select(*PAGE, "x", "y", "w", "seq", "s"), PAGE, tolerance)
+    w = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")
+    space = F.when(F.col("x") - F.lag(F.col("x") + F.col("w")).over(w) > gap, " ").otherwise("")
+    lines = lined.withColumn("part", F.concat(space, "s")).groupBy(*PAGE, "line").agg(joined([F.col("x"), F.col("seq")], F.col("part")).alias("text"))
+    return lines.groupBy(*PAGE).agg(joined([F.col("line")], F.col("text"), "\n").alias("text"))
+
+
+def within_blocks(glyphs: DataFrame, block: str = "phys", tolerance: float = 3.0) -> DataFrame:
+    """Place of each run in its block: anchored lines from the top, each from left to right."""
+    lined = anchored(glyphs.select(*PAGE, block, "x", "y", "seq"), [*PAGE, block], tolerance)
+    return lined.select(*PAGE, F.col(block).alias("block_id"), "seq", F.row_number().over(Window.partitionBy(*PAGE, block).orderBy("line", "x", "seq")).cast("bigint").alias("place"))
+
+
+def asymmetric(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Whether two centers lie rather side by side than above each other."""
+    return F.abs(a[0] - b[0]) > 2 * F.abs(a[1] - b[1])
+
+
+def parted(a: tuple[Column, Column], b: tuple[Column, Column], sides: Column) -> Column:
+    """Whether two centers are so far apart that an image may lie between; ``sides`` is the sum of both boxes' sides."""
+    return (F.abs(a[0] - b[0]) > sides / 2) | (F.abs(a[1] - b[1]) > sides / 2)
+
+
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """Each block but the first of a page with the one before it by position, and how the two lie."""
+    w = Window.partitionBy(*PAGE).orderBy(F.desc("cy"), "block_id")
+    g = geometry(blocks)
+    g = g.select(*g.columns, *[F.lag(c).over(w).alias(f"p_{c}") for c in ("block_id", "cx", "cy", "width", "height")]).where("p_block_id is not null")
+    here, before = (F.col("cx"), F.col("cy")), (F.col("p_cx"), F.col("p_cy"))
+    return g.select(*PAGE, "block_id", F.col("p_block_id").alias("before"), asymmetric(here, before).alias("asymmetric"), parted(here, before, F.expr("width + height + p_width + p_height")).alias("parted"))

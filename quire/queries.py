@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,11 +187,57 @@ for _by, _order in {"position": "min_y + max_y DESC, min_x", "size": "(max_x - m
     ORACLE[f"sort_{_by}"] = _B + f" SELECT doc_id, page_num, block_id, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY {_order}, block_id) AS place FROM b"
 
 
-@query(_G + f""", z AS (SELECT *, 2 * avg(font_size) OVER (PARTITION BY doc_id, page_num) AS t FROM g), c AS (SELECT *, floor((x + w / 2) / t) AS cx, floor((y + font_size / 2) / t) AS cy FROM z),
+def _edges(rule: str, cell: str) -> str:
+    rule = re.sub(r"\bby\b", '"by"', rule)
+    return _G + f""", z AS (SELECT *, 2 * avg(font_size) OVER (PARTITION BY doc_id, page_num) AS t, count(*) OVER (PARTITION BY doc_id, page_num) AS n FROM g),
+c AS (SELECT *, floor((x + w / 2) / ({cell})) AS cx, floor((y + font_size / 2) / ({cell})) AS cy FROM z),
 d AS (SELECT *, unnest([-1, 0, 1]) AS i FROM c), f AS (SELECT *, unnest([-1, 0, 1]) AS j FROM d),
-p AS (SELECT a.doc_id, a.page_num, a.seq AS a, b.seq AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.font_size AS af, b.x AS bx, b.y AS "by", b.w AS bw, b.font_size AS bf, a.t
+p AS (SELECT a.doc_id, a.page_num, a.seq AS a, b.seq AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.font_size AS af, b.x AS bx, b.y AS "by", b.w AS bw, b.font_size AS bf, a.t, a.n
   FROM f a JOIN c b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.cx + a.i = b.cx AND a.cy + a.j = b.cy AND a.seq < b.seq)
-SELECT doc_id, page_num, a, b FROM p WHERE {layout.MERGE.replace("by +", '"by" +').replace(", by)", ', "by")')}""")
+SELECT doc_id, page_num, a, b FROM p WHERE {rule}"""
+
+
+@query(_edges(layout.MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
+def merge_edges_sized(spark, sf_dir):
+    return layout.merge_edges(glyphs(spark, sf_dir), sized=True)
+
+
+@query()
+def clusters_sized(spark, sf_dir):
+    return layout.clusters(glyphs(spark, sf_dir), sized=True)
+
+
+@query()
+def capped_clusters(spark, sf_dir):
+    g = glyphs(spark, sf_dir)
+    return layout.capped_blocks(layout.cluster_blocks(g, layout.clusters(g)), 3)
+
+
+@query()
+def band_columns(spark, sf_dir):
+    return layout.band_columns(blocks(spark, sf_dir))
+
+
+@query(_G + """, p AS (SELECT doc_id, page_num, y, x, seq, CASE WHEN x - lag(x + w) OVER (PARTITION BY doc_id, page_num, y ORDER BY x, seq) > 5 THEN ' ' ELSE '' END || s AS part FROM g),
+l AS (SELECT doc_id, page_num, y, string_agg(part, '' ORDER BY x, seq) AS t FROM p GROUP BY ALL) SELECT doc_id, page_num, string_agg(t, chr(10) ORDER BY y DESC) AS text FROM l GROUP BY ALL""")
+def streamed_text(spark, sf_dir):
+    """Baselines of the synthetic layout are 14 apart, so there the anchored lines are the baselines."""
+    return layout.streamed_text(glyphs(spark, sf_dir))
+
+
+@query(_G + " SELECT doc_id, page_num, phys AS block_id, seq, row_number() OVER (PARTITION BY doc_id, page_num, phys ORDER BY y DESC, x, seq) AS place FROM g")
+def order_within_blocks(spark, sf_dir):
+    return layout.within_blocks(glyphs(spark, sf_dir))
+
+
+@query(_B + """, c AS (SELECT doc_id, page_num, block_id, (min_x + max_x) / 2 AS cx, (min_y + max_y) / 2 AS cy, max_x - min_x + max_y - min_y AS sides FROM b),
+p AS (SELECT *, lag(block_id) OVER v AS before, lag(cx) OVER v AS px, lag(cy) OVER v AS py, lag(sides) OVER v AS ps FROM c WINDOW v AS (PARTITION BY doc_id, page_num ORDER BY cy DESC, block_id))
+SELECT doc_id, page_num, block_id, before, abs(cx - px) > 2 * abs(cy - py) AS asymmetric, abs(cx - px) > (sides + ps) / 2 OR abs(cy - py) > (sides + ps) / 2 AS parted FROM p WHERE before IS NOT NULL""")
+def layout_relations(spark, sf_dir):
+    return layout.neighbours(blocks(spark, sf_dir))
+
+
+@query(_edges(layout.MERGE, "t"))
 def merge_edges(spark, sf_dir):
     return layout.merge_edges(glyphs(spark, sf_dir))
 
