@@ -94,3 +94,16 @@ def pdf_date(raw: Column) -> Column:
 
 def keywords(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, "[,;]"), lambda k: F.trim(k)), lambda k: k != "")
+
+
+#: The metadata fields with a label, in the order of printing.
+LABELLED = ["Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate"]
+
+
+def printed(info: Column) -> Column:
+    """A metadata map as lines: labelled fields, then the others by name; those whose name begins with ``_`` and empty ones are
+    left out."""
+    known = F.transform(F.array(*[F.lit(k) for k in LABELLED]), lambda k: F.struct(k.alias("key"), F.try_element_at(info, k).alias("value")))
+    other = F.filter(F.array_sort(F.map_entries(info)), lambda e: ~e["key"].isin(LABELLED) & ~F.startswith(e["key"], F.lit("_")))
+    lines = F.concat(F.transform(known, lambda e: F.when(e["value"] != "", F.concat_ws(": ", e["key"], e["value"]))), F.transform(other, lambda e: F.when(e["value"] != "", F.concat_ws(": ", e["key"], e["value"]))))
+    return F.array_join(F.array_compact(lines), "\n")

@@ -67,6 +67,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def for_layout(glyphs: DataFrame) -> DataFrame:
+    """The characters as runs for the layout operators, with a hash of the path as doc_id; errors and line marks are left out."""
+    shown = glyphs.where("error is null and s <> '\n'")
+    return shown.select(F.xxhash64("path").alias("doc_id"), "page_num", "seq", "font", "font_size", "x", "y", "w", "s", F.lower("font").rlike("bold|black").alias("bold"), F.floor("y").alias("phys"))
+
+
 def page_text(glyphs: DataFrame) -> DataFrame:
     """Characters of a page by baselines from the top, each from left to right."""
     shown = glyphs.where("s is not null and s <> '\n'").withColumn("line", -F.round("y").cast("bigint"))

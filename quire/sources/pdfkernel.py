@@ -7,7 +7,9 @@ Values: None, bool, int, float, ``Name``, bytes (strings), list, dict, ``Ref`` a
 from __future__ import annotations
 
 import base64
+import math
 import re
+import time
 import zlib
 from dataclasses import dataclass, field
 
@@ -39,6 +41,10 @@ class PdfError(ValueError):
     """The bytes can't be read as a PDF."""
 
 
+class Overdue(PdfError):
+    """A page has used up its time."""
+
+
 _SPACE, _DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]*")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -138,6 +144,10 @@ class Lexer:
         return t
 
 
+#: Bytes that a stream may have after its filters, and seconds that a page may take.
+STREAM_BYTES, PAGE_SECONDS = 200 << 20, 45.0
+
+
 def decode(stream: Stream, doc: Document | None = None) -> bytes:
     """The stream's bytes after its filters; image filters leave them as they are."""
     get = doc.resolve if doc else lambda x: x
@@ -151,9 +161,11 @@ def decode(stream: Stream, doc: Document | None = None) -> bytes:
             case "FlateDecode" | "Fl":
                 packer = zlib.decompressobj()
                 try:
-                    data = packer.decompress(data)
+                    data = packer.decompress(data, STREAM_BYTES)
                 except zlib.error:
                     data = _inflate_what_can_be(data)
+                if packer.unconsumed_tail:
+                    raise PdfError("a stream is too long")
             case "LZWDecode" | "LZW":
                 data = lzw(data, (parm or {}).get("EarlyChange", 1))
             case "ASCIIHexDecode" | "AHx":
@@ -175,6 +187,8 @@ def _inflate_what_can_be(data: bytes) -> bytes:
             out += packer.decompress(data[i : i + 256])
         except zlib.error:
             break
+        if len(out) > STREAM_BYTES:
+            raise PdfError("a stream is too long")
     return out
 
 
@@ -480,7 +494,9 @@ class Document:
 
     def info(self) -> dict[str, str]:
         head = self.resolve(self.trailer.get("Info"))
-        return {k: text(v) if isinstance(v := self.resolve(x), bytes) else str(v) for k, x in head.items()} if isinstance(head, dict) else {}
+        out = {k: text(v) if isinstance(v := self.resolve(x), bytes) else str(v) for k, x in head.items()} if isinstance(head, dict) else {}
+        xmp = self.resolve(self.resolve(self.trailer["Root"]).get("Metadata"))
+        return out | ({"_HasXMP": "true"} if isinstance(xmp, Stream) else {})
 
 
 def shown(value) -> str:
@@ -593,20 +609,21 @@ def times(a: tuple, b: tuple) -> tuple:
 UNIT = (1, 0, 0, 1, 0, 0)
 
 
-def page_glyphs(doc: Document, page: dict, rects: list | None = None) -> list[tuple]:
+def page_glyphs(doc: Document, page: dict, rects: list | None = None, seconds: float = PAGE_SECONDS) -> list[tuple]:
     """(font, font_size, x, y, w, s) of every character that a page shows, in order of emission.
 
     ``rects`` takes the page's rectangles as (min_x, min_y, max_x, max_y), in the coordinates of their operands.
+    A page that takes longer than ``seconds`` is an error.
     """
     contents = doc.resolve(page.get("Contents"))
     parts = [doc.resolve(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(decode(p, doc) for p in parts if isinstance(p, Stream))
     out: list[tuple] = []
-    _run(doc, data, doc.resolve(page.get("Resources")) or {}, UNIT, out, [], rects)
+    _run(doc, data, doc.resolve(page.get("Resources")) or {}, UNIT, out, [], rects, time.monotonic() + seconds)
     return out
 
 
-def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, forms: list, rects: list | None = None) -> None:
+def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, forms: list, rects: list | None = None, until: float = math.inf) -> None:
     fonts: dict = {}
     fresh = {"ctm": ctm, "font": None, "size": 0.0, "Tc": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
     state, saved, tm, line = dict(fresh), [], UNIT, UNIT
@@ -626,7 +643,11 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
         line = times((1, 0, 0, 1, x, y), line)
         tm = line
 
+    turns = 0
     while (t := lex.value()) is not None or lex.at < len(data):
+        turns += 1
+        if turns % 1000 == 1 and time.monotonic() > until:
+            raise Overdue("the page took too long")
         if not isinstance(t, Word):
             args.append(t)
             continue
@@ -681,7 +702,9 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                     form = doc.resolve((doc.resolve(resources.get("XObject")) or {}).get(args[-1]))
                     if isinstance(form, Stream) and doc.resolve(form.head.get("Subtype")) == "Form" and len(forms) < 50 and forms.count(args[-1]) < 2:
                         matrix = tuple(doc.resolve(form.head.get("Matrix")) or UNIT)
-                        _run(doc, decode(form, doc), doc.resolve(form.head.get("Resources")) or resources, times(matrix, state["ctm"]), out, [*forms, args[-1]], rects)
+                        _run(doc, decode(form, doc), doc.resolve(form.head.get("Resources")) or resources, times(matrix, state["ctm"]), out, [*forms, args[-1]], rects, until)
+        except (Overdue, PdfError):
+            raise
         except (IndexError, TypeError, ValueError):
             pass  # an operator with wrong operands is left out
         args = []

@@ -1,10 +1,14 @@
 """Generated PDFs through the reader: cross-reference kinds, filters, forms, damage, streaming."""
 
 import base64
+import json
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from quire.__main__ import MODES, main
+from quire.functions import documents
 from quire.sources import ciphers, encodings, pdf, pdfkernel, pdfsample
 from quire.streaming.files import glyph_stream
 
@@ -160,3 +164,28 @@ def test_parts_of_documents_that_cannot_be_read(spark):
     broken = spark.createDataFrame([("a", b""), ("b", None)], "path string, content binary")
     for name in ("outline", "page_fonts", "rects", "objects", "linearization", "trailer"):
         assert sorted(r.path for r in pdf.part(broken, name).where("error is not null").collect()) == ["a", "b"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.pdf").write_bytes(pdfsample.make("One line\nand two", "t", pdfsample.lock("AES-128", "word", "own")))
+    for mode in MODES:
+        assert main([str(tmp_path), "--mode", mode, "--password", "word", "--page", "1"], spark) == 0
+        rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+        shown = "".join(str(r.get("text", r.get("content", r.get("s")))) for r in rows)
+        assert set("Onelineandtwo") <= set(shown) and all(r["page_num"] == 1 for r in rows)
+        if mode == "plain":
+            assert shown == "One line\nand two"
+
+
+def test_limits(monkeypatch):
+    doc = pdfkernel.Document.open(build([PAGE], pack=PACKS["flate"]))
+    with pytest.raises(pdfkernel.PdfError, match="too long"):
+        pdfkernel.page_glyphs(doc, doc.pages()[0], seconds=-1)
+    monkeypatch.setattr(pdfkernel, "STREAM_BYTES", 10)
+    with pytest.raises(pdfkernel.PdfError, match="stream is too long"):
+        pdfkernel.page_glyphs(doc, doc.pages()[0])
+
+
+def test_metadata_as_lines(spark):
+    info = spark.createDataFrame([({"Zed": "z", "_HasXMP": "true", "Author": "me", "Title": "T", "Subject": ""},), ({},)], "info map<string,string>")
+    assert [r[0] for r in info.select(documents.printed(F.col("info"))).collect()] == ["Title: T\nAuthor: me\nZed: z", ""]
