@@ -7,6 +7,8 @@ glyphs: doc_id, page_num, seq, font, font_size, x, y, w, s, bold. All operators
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -344,8 +346,12 @@ def band_columns(blocks: DataFrame) -> DataFrame:
     wide = F.max("max_x").over(w) - F.min("min_x").over(w)
     banded = bands(blocks.withColumn("reach", wide * 0.05))
 
-    def place(band: pd.DataFrame) -> pd.DataFrame:
-        rows = list(band.sort_values(["min_x", "block_id"]).itertuples(index=False))
+    def place(page: pd.DataFrame) -> pd.DataFrame:
+        rows = page.sort_values(["band", "min_x", "block_id"]).itertuples(index=False)
+        out = [(r.doc_id, r.page_num, r.block_id, r.band, i) for _, band in groupby(rows, lambda r: r.band) for i, c in enumerate(split(list(band)), 1) for r in c]
+        return pd.DataFrame(out, columns=["doc_id", "page_num", "block_id", "band", "column"])
+
+    def split(rows: list) -> list[list]:
         columns: list[list] = [[rows[0]]]
         for r in rows[1:]:
             last = columns[-1][-1]
@@ -360,11 +366,10 @@ def band_columns(blocks: DataFrame) -> DataFrame:
                         fits = c
                         break
             fits.append(r)
-        out = [(r.doc_id, r.page_num, r.block_id, r.band, i) for i, c in enumerate(columns, 1) for r in c]
-        return pd.DataFrame(out, columns=["doc_id", "page_num", "block_id", "band", "column"])
+        return columns
 
     columns = ["block_id", "band", "reach", "min_x", "max_x", "min_y", "max_y"]
-    return banded.select(*PAGE, *columns).groupBy(*PAGE, "band").applyInPandas(place, "doc_id bigint, page_num bigint, block_id bigint, band bigint, column bigint")
+    return banded.select(*PAGE, *columns).groupBy(*PAGE).applyInPandas(place, "doc_id bigint, page_num bigint, block_id bigint, band bigint, column bigint")
 
 
 def anchored(glyphs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -373,7 +378,8 @@ def anchored(glyphs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     others = [c for c in glyphs.columns if c not in keys]
     grouped = glyphs.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("runs"), F.sort_array(F.collect_set(F.col("y").cast("double")), asc=False).alias("ys"))
     tops = F.aggregate("ys", F.array().cast("array<double>"), lambda tops, y: F.when(F.coalesce(F.try_element_at(tops, F.lit(-1)) - y <= tolerance, F.lit(False)), tops).otherwise(F.concat(tops, F.array(y))))
-    runs = grouped.select(*keys, tops.alias("tops"), F.explode("runs").alias("run"))
+    # a generator of one row, so that the fold is done once for a group and not for each run
+    runs = grouped.select(*keys, "runs", F.explode(F.array(tops)).alias("tops")).select(*keys, "tops", F.explode("runs").alias("run"))
     line = F.size(F.filter("tops", lambda top: top >= F.col("run.y"))).cast("bigint")
     return runs.select(*keys, "run.*", line.alias("line"))
 

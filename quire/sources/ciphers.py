@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -115,6 +116,7 @@ def unpad(data: bytes) -> bytes:
     return data[:-n] if 1 <= n <= 16 and data.endswith(bytes([n]) * n) else data
 
 
+@lru_cache(256)  # copies of a file share their salts
 def hardened(password: bytes, salt: bytes, user: bytes = b"") -> bytes:
     """The hash of revision 6."""
     k, i, e = hashlib.sha256(password + salt + user).digest(), 0, b"\0"
