@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents; other columns, whatever their names, pass through.
 
 1. quality rules: documents that the base rule or the isolation forest rejects go.
-2. n-gram Jaccard join (4-word shingles, 0.85): of each group the document with the smallest id stays. Rows without an id
+2. n-gram Jaccard join (5-word shingles, 0.8): of each group the document with the smallest id stays. Rows without an id
    can't be a group's document by id and stay; rows that share an id stay or go together, equal ones as one.
 3. suffix-array dedup: bytes of repeated 400-byte strings go from the texts; n_chars is counted anew.
 4. benchmark decontamination: documents that hold a test item go.
@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = _plain(docs)
-    stay = ngramjoin.join(plain.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    stay = ngramjoin.join(plain.select("doc_id", "text"), k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     k1, k2 = text_key()
     # the ids grow with the corpus, so they are never broadcast, however few they are
     kept = plain.join(stay.hint("merge"), "doc_id", "left_semi").withColumns({"k1": k1, "k2": k2}).dropDuplicates(["doc_id", "k1", "k2"]).select(plain.columns)

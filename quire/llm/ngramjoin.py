@@ -1,6 +1,7 @@
 """N-gram Jaccard join: exact components of documents whose shingle sets have a Jaccard similarity of 0.85 or more.
 
-A document is the set of its 4-word shingles (64-bit hashes; with fewer words the whole sequence is one shingle).
+A document is the set of its 4-word shingles (64-bit hashes; with fewer words the whole sequence is one shingle). Shingle
+length and similarity are parameters of ``join``, from which all bounds follow; figures here are those of 4 words and 0.85.
 Documents with one set are one node. Two sets of sizes a and b that link differ in at most
 H = floor(15 (a + b) / 185) shingles.
 
@@ -44,23 +45,24 @@ from quire.llm.arrowtext import chunks, lower_ascii, mix, utf8, window_hashes, w
 from quire.llm.components import components
 from quire.llm.tables import release, remove, settle, text_key
 
-K, SMALL, SKETCH, PIECE = 4, 3, 1024, 1 << 20
+K, PERCENT, SMALL, SKETCH, PIECE = 4, 85, 3, 1024, 1 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def budget(a, b):
-    return 15 * (a + b) // 185
+def budget(a, b, percent: int = PERCENT):
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
 class Bands:
-    """Size bands: band k holds the sizes first[k] .. first[k + 1] - 1; a set of size n links with sizes up to n / 0.85."""
+    """Size bands: band k holds the sizes first[k] .. first[k + 1] - 1; a set of size n links with sizes up to n * 100 / percent."""
 
-    def __init__(self, largest: int = 1 << 40):
+    def __init__(self, percent: int = PERCENT, largest: int = 1 << 40):
+        self.percent = percent
         first = [1]
         while first[-1] <= largest:
-            first.append(first[-1] * 100 // 85 + 1)
-        self.first = np.array([*first, first[-1] * 100 // 85 + 1], np.int64)
-        errors = budget(self.first[1:] - 1, self.first[1:] - 1)
+            first.append(first[-1] * 100 // percent + 1)
+        self.first = np.array([*first, first[-1] * 100 // percent + 1], np.int64)
+        errors = budget(self.first[1:] - 1, self.first[1:] - 1, percent)
         # one-deletion segments have a share of 2; others need H + 1 and spare ones, as some are empty
         self.small = errors <= SMALL
         self.segments = np.where(self.small, errors // 2 + 1, errors + 1 + np.ceil(0.08 * (errors + 1)).astype(np.int64) + 2)
@@ -70,16 +72,16 @@ class Bands:
 BANDS = Bands()
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, sorted, and n + 1 offsets."""
     buf, off = utf8(texts)
     buf = lower_ascii(buf)
     w = words(buf, off)
     h = w.hashes(buf)
-    grams = window_hashes(h, K)
+    grams = window_hashes(h, k)
     sets = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        sets.append(np.unique(grams[a : b - K + 1]) if b - a >= K else window_hashes(h[a:b], b - a) if b > a else grams[:0])
+        sets.append(np.unique(grams[a : b - k + 1]) if b - a >= k else window_hashes(h[a:b], b - a) if b > a else grams[:0])
     first = np.zeros(len(sets) + 1, np.int64)
     np.cumsum([len(s) for s in sets], out=first[1:])
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), first
@@ -91,19 +93,19 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def signatures(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(flat: np.ndarray, first: np.ndarray, bands: Bands = BANDS) -> tuple[np.ndarray, np.ndarray]:
     """(document, signature) rows of the sets."""
     n = np.diff(first)
-    band = np.searchsorted(BANDS.first, n, side="right") - 1
+    band = np.searchsorted(bands.first, n, side="right") - 1
     docs, sigs = [], []
     value = mix(flat + _SALT)
     for up in (0, 1):
         scheme = np.maximum(band + up, 0)
-        top = np.minimum(BANDS.first[scheme + 1] - 1, n * 100 // 85)
-        use = (n > 0) & ~BANDS.silent[scheme]
+        top = np.minimum(bands.first[scheme + 1] - 1, n * 100 // bands.percent)
+        use = (n > 0) & ~bands.silent[scheme]
         if up:
-            use &= n * 100 // 85 >= BANDS.first[scheme]
-        m = np.where(use, BANDS.segments[scheme], 0)
+            use &= n * 100 // bands.percent >= bands.first[scheme]
+        m = np.where(use, bands.segments[scheme], 0)
         base = np.zeros(len(n) + 1, np.int64)
         np.cumsum(m, out=base[1:])
         if not base[-1]:
@@ -119,9 +121,9 @@ def signatures(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
         content = np.zeros(base[-1], np.uint64)
         np.add.at(content, which, v)
         filled = np.bincount(which, minlength=base[-1]) > 0
-        need = budget(n, top) + 1
+        need = budget(n, top, bands.percent) + 1
         enough = np.bincount(owner[filled], minlength=len(n)) >= need
-        small = BANDS.small[scheme]
+        small = bands.small[scheme]
         keep = filled | small[owner] | ~enough[owner]
         docs.append(owner[keep])
         sigs.append(mix(content + name)[keep])
@@ -142,14 +144,14 @@ def sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, sketch, signatures); a node's sketch and signatures stand once in a task."""
     done: set = set()
     for part in chunks(batches, "text", PIECE):
-        flat, first = shingles(part.column(3))
+        flat, first = shingles(part.column(3), k)
         n = np.diff(first)
         node = mix(sums(mix(flat), first) + n.astype(np.uint64)).view(np.int64)
-        docs, sigs = signatures(flat, first)
+        docs, sigs = signatures(flat, first, bands)
         fresh = np.zeros(len(n), bool)
         for d, x in enumerate(node.tolist()):
             if n[d] and x not in done:
@@ -167,45 +169,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(node), odd, lists], ["doc_id", "k1", "k2", "n", "node", "odd", "sigs"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(node, text) to (shingle, node)."""
     for part in chunks(batches, "text", PIECE):
-        flat, first = shingles(part.column(1))
+        flat, first = shingles(part.column(1), k)
         node = part.column(0).to_numpy()
         yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(node, np.diff(first)))], ["shingle", "node"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to the pairs (a, b) that link."""
     for part in chunks(batches, "text_a", PIECE):
         for one in chunks([part], "text_b", PIECE):
-            fa, oa = shingles(one.column(2))
+            fa, oa = shingles(one.column(2), k)
             # the same text often stands in many rows, one after the other
             coded = one.column(3).dictionary_encode()
-            fb, ob = shingles(coded.dictionary)
+            fb, ob = shingles(coded.dictionary, k)
             keep = []
             for i, j in enumerate(coded.indices.to_pylist()):
                 x, y = fa[oa[i] : oa[i + 1]], fb[ob[j] : ob[j + 1]]
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= 85 * (len(both) - common))
+                keep.append(100 * common >= percent * (len(both) - common))
             mask = pa.array(keep)
             yield pa.record_batch([one.column(0).filter(mask), one.column(1).filter(mask)], ["a", "b"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     left = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = left.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _compare(batches, k, percent), "a bigint, b bigint")
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text)."""
+def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text): k-word shingles, a Jaccard similarity of ``percent`` / 100."""
+    bands = Bands(percent)
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select("doc_id", *text_key(), F.coalesce("text", F.lit("")).alias("text"))
-    sets = settle(keyed.mapInArrow(_sets, f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, odd array<bigint>, sigs array<bigint>"))
+    sets = settle(keyed.mapInArrow(lambda batches: _sets(batches, k, bands), f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, odd array<bigint>, sigs array<bigint>"))
     docs = settle(sets.select("doc_id", "k1", "k2", "n", "node"))
 
     # buckets with two nodes or more
@@ -226,11 +229,11 @@ def join(documents: DataFrame) -> DataFrame:
     release(spark)
 
     # u: the shingles of a node that no other candidate has
-    held = texts.mapInArrow(_rows, "shingle bigint, node bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    held = texts.mapInArrow(lambda batches: _rows(batches, k), "shingle bigint, node bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     alone = held.where("node = other").groupBy("node").agg(F.count("*").alias("u"))
     sized = found.select("node", "n").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    # the largest partner: 185 (n - u) >= 85 (n + m)
-    sized = sized.select("node", "n", F.floor((185 * (F.col("n") - F.col("u")) - 85 * F.col("n")) / 85).alias("most")).where(F.col("most") >= F.ceil(F.col("n") * 0.85 - 1e-9))
+    # the largest partner: (100 + percent) (n - u) >= percent (n + m)
+    sized = sized.select("node", "n", F.floor(((100 + percent) * (F.col("n") - F.col("u")) - percent * F.col("n")) / percent).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     sized = settle(sized)
     met2 = met.join(sized, "node").withColumn("size", F.count("*").over(bucket)).where("size > 1")
     met2 = settle(met2)
@@ -243,7 +246,7 @@ def join(documents: DataFrame) -> DataFrame:
     heads = weighed.groupBy("sig").agg(F.max(F.struct("weight", "node", "n", "most")).alias("h"))
     star = weighed.join(heads, "sig").where("node <> h.node and n <= h.most and h.n <= most")
     star = star.groupBy("node").agg(F.max("h").alias("h")).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
-    edges = settle(_verify(star, texts))
+    edges = settle(_verify(star, texts, k, percent))
     release(spark)
 
     labels = components(edges)
@@ -255,9 +258,9 @@ def join(documents: DataFrame) -> DataFrame:
     other = known.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
     differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("oa")[0].bitwiseXOR(F.col("ob")[0])))
     # of two rows outside the main label one order is enough
-    near = F.expr("la <> lb and na <= mb and nb <= ma and (lb = main or a < b)") & (185 * differ <= 15 * (F.col("na") + F.col("nb")))
+    near = F.expr("la <> lb and na <= mb and nb <= ma and (lb = main or a < b)") & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
     rest = minor.join(other, "sig").where(near).select("a", "b").distinct()
-    edges = settle(edges.unionByName(_verify(rest, texts)))
+    edges = settle(edges.unionByName(_verify(rest, texts, k, percent)))
     labels = components(edges)
 
     out = docs.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))

@@ -86,3 +86,27 @@ def test_every_linked_pair_shares_a_signature():
             docs, sigs = ngramjoin.signatures(np.concatenate([a, b]), np.array([0, n, n + len(b)]))
             same = set(sigs[docs == 0].tolist()) & set(sigs[docs == 1].tolist())
             assert same or set(a.tolist()) == set(b.tolist())
+
+
+def test_other_shingles_and_similarity_match_brute_force(spark):
+    rows = corpus(3)
+    for k, percent in ((5, 80), (3, 60)):
+        got = ngramjoin.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), k=k, percent=percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_of(rows, k, percent)
+
+
+def brute_of(rows, k, percent):
+    """As ``brute``, for shingles of k words and a similarity of ``percent`` / 100."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for w in words]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if x and sets[j] and 100 * common >= percent * (len(x) + len(sets[j]) - common) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    out = []
+    for i, (doc, _) in enumerate(rows):
+        ids = [d for (d, _), g in zip(rows, group, strict=True) if g == group[i] and d is not None]
+        out.append((doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc))
+    return sorted(out, key=str)

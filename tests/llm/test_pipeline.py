@@ -62,3 +62,13 @@ def test_empty_tables(spark, tmp_path):
         docs = stage(spark, docs, sf)
         assert docs.columns == [*spark.createDataFrame([], SCHEMA).columns]
     assert corpus_pipeline.run(spark, sf).withColumn("n", F.size("token_ids")).count() == 0
+
+
+def test_near_duplicates_take_five_words_and_080(spark):
+    # one word of 50 differs: 41 of 51 shingles of five words are common (0.804), 43 of 51 of four (0.843)
+    words = [f"w{i}" for i in range(50)]
+    near = [*words[:25], "other", *words[26:]]
+    far = [*near[:40], "more", *near[41:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far[::-1]))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
