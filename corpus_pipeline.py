@@ -6,7 +6,8 @@ All but the last return the columns of documents; other columns, whatever their
 1. quality rules: documents that the base rule or the isolation forest rejects go.
 2. n-gram Jaccard join (5-word shingles, 0.8): of each group the document with the smallest id stays. Rows without an id
    can't be a group's document by id and stay; rows that share an id stay or go together, equal ones as one.
-3. suffix-array dedup: bytes of repeated 400-byte strings go from the texts; n_chars is counted anew.
+3. suffix-array dedup: bytes of repeated 400-byte strings and repeated passages of over 50 words go from the texts; n_chars is
+   counted anew.
 4. benchmark decontamination: documents that hold a test item go.
 5. SentencePiece: the token ids of each text (token_ids replaces a column of that name).
 
@@ -44,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = _plain(docs)
-    out = repeats.strip(plain).toDF(*docs.columns)
+    out = repeats.strip(plain, least_words=51).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -9,7 +9,7 @@ suffixes alone that can matter:
 2. Refinement. The contexts of the anchors that are left (the bytes of the windows that belong to an anchor) are dealt by bucket.
    In a bucket, each window start has the identifier of its Q-gram; it is refined by the identifiers at later offsets:
    Q to 2Q by the one at +Q, then 2Q to LENGTH by the 2Q identifier at +2Q, which the first step has just
-   made. After each step only starts whose bucket has two members or more go on.
+   made (the last step overlaps where the length isn't Q times a power of two). After each step only starts whose bucket has two members or more go on.
 3. The starts that remain are repeats; their windows are joined to spans and cut out of each text.
 
 Identifiers are 64-bit hashes; two different strings would have to share one within one bucket to be taken for equal.
@@ -17,6 +17,9 @@ Exact copies of whole texts are held once (a text is known by two independent 64
 A bucket of more than HOT anchors isn't gathered in a task: each of its windows becomes a row, counted by a
 pre-aggregated group-by.
 
+Lengths are counted in symbols, and LENGTH bytes are the default. ``word_spans`` takes words (runs of bytes other than ASCII white
+space, each by a 64-bit hash) as the symbols, so that a repeat of so many words is found however short they are.
+
 Edge cases: null text: empty; texts of fewer than LENGTH bytes keep all bytes; repeated rows are copies of each other; with
 no repeats nothing is removed; an empty table gives an empty result; other columns pass or are ignored.
 """
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrowtext import chunks, mix, utf8
+from quire.llm.arrowtext import binary_array, chunks, mix, utf8, words
 from quire.llm.tables import release, remove, settle, text_key
 
 LENGTH, Q, HOT = 400, 100, 50_000
@@ -40,6 +43,8 @@ LENGTH, Q, HOT = 400, 100, 50_000
 PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+#: Bytes of a symbol that stands for a word.
+WORD = 8
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -53,10 +58,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def symbols(column: pa.Array, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a column and n + 1 offsets: bytes (unit 1) or words of ``unit`` bytes."""
+    buf, off = utf8(column)
+    return (buf, off) if unit == 1 else (np.frombuffer(buf.tobytes(), np.uint64), off // unit)
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     up, _ = _power(len(buf) + 1)
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * up[:-1], out=out[1:])
+    np.cumsum((_BYTES[buf] if buf.dtype == np.uint8 else mix(buf)) * up[:-1], out=out[1:])
     return out
 
 
@@ -93,68 +104,78 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q)
     return doc, h[own[first]], own[first] - base, starts[first] - base, starts[last] - base
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, text) to the same with the hashes of its words as the text."""
     for part in chunks(batches, "text", PIECE):
-        doc, h, at, lo, hi = anchors(*utf8(part.column(2)))
+        buf, off = utf8(part.column(2))
+        w = words(buf, off)
+        own = binary_array(w.hashes(buf).view(np.uint8), np.diff(w.first) * WORD)
+        yield pa.record_batch([part.column(0), part.column(1), own.cast(pa.binary())], ["k1", "k2", "text"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int) -> Iterator[pa.RecordBatch]:
+    for part in chunks(batches, "text", PIECE):
+        doc, h, at, lo, hi = anchors(*symbols(part.column(2), unit), length, q)
         k1, k2 = (part.column(i).to_numpy()[doc] for i in (0, 1))
         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at), pa.array(lo), pa.array(hi)], ["bucket", "k1", "k2", "at", "lo", "hi"])
 
 
-def _pick(part: pa.RecordBatch):
+def _pick(part: pa.RecordBatch, unit: int):
     """Rows of joined texts and anchors as flat arrays: text, offsets, row of each anchor, and its columns."""
-    buf, off = utf8(part.column(2))
+    buf, off = symbols(part.column(2), unit)
     lists = part.column(3)
     flat = lists.flatten()
     row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
     return buf, off, row, *(flat.field(i).to_numpy() for i in range(3))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", PIECE):
-        buf, off, row, bucket, lo, hi = _pick(part)
+        buf, off, row, bucket, lo, hi = _pick(part, unit)
         k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
         data = buf.tobytes()
         for a in range(0, len(row), 8192):
             s = slice(a, a + 8192)
-            texts = [data[x:y] for x, y in zip((off[row[s]] + lo[s]).tolist(), (off[row[s]] + hi[s] + LENGTH).tolist(), strict=True)]
+            texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + length) * unit).tolist(), strict=True)]
             yield pa.record_batch([pa.array(bucket[s]), pa.array(k1[s]), pa.array(k2[s]), pa.array(lo[s]), pa.array(texts, pa.binary())], ["bucket", "k1", "k2", "lo", "context"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", 256 << 10):
-        buf, off, row, _, lo, hi = _pick(part)
+        buf, off, row, _, lo, hi = _pick(part, unit)
         if not len(row):
             continue
         size = hi - lo + 1
         which = np.repeat(row, size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        h = grams(prefix(buf), off[which] + at, LENGTH)
+        h = grams(prefix(buf), off[which] + at, length)
         k1, k2 = (part.column(i).to_numpy()[which] for i in (0, 1))
         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at)], ["window", "k1", "k2", "lo"])
 
 
-def refine(contexts: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def refine(contexts: pa.Array, bucket: np.ndarray, length: int = LENGTH, q: int = Q, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, first and last repeated window start (within the context), for contexts that have one.
 
     ``bucket``: the initial bucket of each context's anchor; all contexts of a bucket are given together.
     """
-    buf, off = utf8(contexts)
-    count = np.diff(off) - LENGTH + 1
+    buf, off = symbols(contexts, unit)
+    count = np.diff(off) - length + 1
     which = np.repeat(np.arange(len(count)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + off[which]
     sums = prefix(buf)
     ids = np.zeros(len(buf), np.uint64)
-    ids[: len(buf) - Q + 1] = grams(sums, np.arange(len(buf) - Q + 1), Q)  # across contexts some have no meaning and no reader
+    ids[: len(buf) - q + 1] = grams(sums, np.arange(len(buf) - q + 1), q)  # across contexts some have no meaning and no reader
     seed = mix(bucket.view(np.uint64))
-    step = Q
+    step = q
     own = mix(ids[at] ^ seed[which])
     alive = pd.Series(own).duplicated(keep=False).to_numpy()
-    while alive.any() and step < LENGTH:
+    while alive.any() and step < length:
         which, at = which[alive], at[alive]
-        # identifiers of strings of 2 * step bytes, for the starts and for all places that later steps read
+        # identifiers of strings of step + gap symbols, for the starts and for all places that later steps read
+        gap = min(step, length - step)
         later = np.zeros(len(buf), np.uint64)
-        later[: len(buf) - step] = mix(ids[:-step] * np.uint64(_P) + ids[step:])
-        ids, step = later, 2 * step
+        later[: len(buf) - gap] = mix(ids[:-gap] * np.uint64(_P) + ids[gap:])
+        ids, step = later, step + gap
         alive = pd.Series(ids[at] ^ seed[which]).duplicated(keep=False).to_numpy()
     which, at = which[alive], at[alive]
     if not len(which):
@@ -168,15 +189,15 @@ def refine(contexts: pa.Array, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows, at[first] - off[rows], at[last] - off[rows]
 
 
-def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int) -> Iterator[pa.RecordBatch]:
     """Whole buckets, some megabytes at a time; rows come sorted by bucket."""
 
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         column = lambda i: t.column(i).to_numpy()
-        rows, first, last = refine(t.column(4), column(0))
+        rows, first, last = refine(t.column(4), column(0), length, q, unit)
         lo = column(3)[rows]
-        return pa.record_batch([pa.array(column(1)[rows]), pa.array(column(2)[rows]), pa.array(lo + first), pa.array(lo + last + LENGTH)], ["k1", "k2", "a", "b"])
+        return pa.record_batch([pa.array(column(1)[rows]), pa.array(column(2)[rows]), pa.array(lo + first), pa.array(lo + last + length)], ["k1", "k2", "a", "b"])
 
     held, size = [], 0
     for batch in batches:
@@ -197,12 +218,24 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(held)
 
 
-def spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
+def spans(documents: DataFrame, hot: int = HOT, length: int = LENGTH, q: int = Q) -> DataFrame:
     """k1, k2 (the text's key), spans array<struct<a, b>>: stretches of bytes to remove, by distinct text; they may overlap."""
-    spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(*text_key(), text.alias("text")).where(F.octet_length("text") >= LENGTH)
-    found = rows.mapInArrow(_anchors, "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, hi bigint")
+    return _spans(documents.select(*text_key(), text.alias("text")), hot, length, q, 1)
+
+
+def word_spans(documents: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+    """As ``spans``, of every ``least`` words that also start elsewhere, whatever white space is between them; stretches of words."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(*text_key(), text.alias("text")).mapInArrow(_word_symbols, "k1 bigint, k2 bigint, text binary")
+    return _spans(rows, hot, least, max(1, least // 4 + (least % 4 > 0)), WORD)
+
+
+def _spans(rows: DataFrame, hot: int, length: int, q: int, unit: int) -> DataFrame:
+    """``rows``: k1, k2 and the text in symbols of ``unit`` bytes."""
+    spark = rows.sparkSession
+    rows = rows.where(F.octet_length("text") >= length * unit)
+    found = rows.mapInArrow(lambda batches: _anchors(batches, length, q, unit), "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, hi bigint")
     found = settle(found)
     # copies of a text repeat its anchors, so they are counted too; beyond this each (bucket, text, place) is held once
     places = found.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -215,15 +248,15 @@ def spans(documents: DataFrame, hot: int = HOT) -> DataFrame:
         lists = part.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "lo", "hi")).alias("anchors"))  # of one text
         return texts.join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
 
-    contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(_contexts, "bucket bigint, k1 bigint, k2 bigint, lo bigint, context binary")
-    out = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined, "k1 bigint, k2 bigint, a bigint, b bigint")
+    contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(lambda batches: _contexts(batches, length, unit), "bucket bigint, k1 bigint, k2 bigint, lo bigint, context binary")
+    out = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _refined(batches, length, q, unit), "k1 bigint, k2 bigint, a bigint, b bigint")
     out = settle(out)
     if not shared.where(F.col("n") > hot).isEmpty():
-        windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(_windows, "window bigint, k1 bigint, k2 bigint, lo bigint"))
+        windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(lambda batches: _windows(batches, length, unit), "window bigint, k1 bigint, k2 bigint, lo bigint"))
         twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
         # settled before the next grouping, so that Spark may split a very common window's rows
-        out = out.unionByName(settle(windows.join(twice, "window").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + LENGTH).alias("b"))))
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("bigint").alias("b")).where("n > 1")
+        out = out.unionByName(settle(windows.join(twice, "window").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))))
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.expr(f"octet_length(text) div {unit}")).cast("bigint").alias("b")).where("n > 1")
     out = out.unionByName(copies.select("k1", "k2", F.lit(0).cast("bigint").alias("a"), "b"))
     out = settle(out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     remove(spark, shared)
@@ -250,11 +283,15 @@ def cut(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _with_spans(documents: DataFrame, hot: int) -> DataFrame:
-    found = spans(documents, hot)
-    keyed = documents.withColumns({"_k1": text_key()[0], "_k2": text_key()[1]})
-    found = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    return keyed.join(found.hint("merge"), ["_k1", "_k2"], "left")
+def _with_spans(documents: DataFrame, hot: int, length: int = LENGTH, q: int = Q, least_words: int | None = None) -> DataFrame:
+    found = {"_spans": spans(documents, hot, length, q)}
+    if least_words:
+        found["_words"] = word_spans(documents, least_words, hot)
+    out = documents.withColumns({"_k1": text_key()[0], "_k2": text_key()[1]})
+    for name, part in found.items():
+        part = part.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias(name))
+        out = out.join(part.hint("merge"), ["_k1", "_k2"], "left")
+    return out
 
 
 def digests(documents: DataFrame, hot: int = HOT) -> DataFrame:
@@ -275,18 +312,28 @@ def digests(documents: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def strip(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """``documents`` with repeats cut out of ``text``; parts of characters at the edges of a cut go too."""
-    rows = _with_spans(documents, hot).select(*[F.col(f"`{c}`") for c in documents.columns], "_spans")
+def strip(documents: DataFrame, hot: int = HOT, length: int = LENGTH, q: int = Q, least_words: int | None = None) -> DataFrame:
+    """``documents`` with repeats cut out of ``text``; parts of characters at the edges of a cut go too.
+
+    With ``least_words`` repeats of so many words go as well, from the first byte of their first word to the last of their last.
+    """
+    found = ["_spans", "_words"] if least_words else ["_spans"]
+    rows = _with_spans(documents, hot, length, q, least_words).select(*[F.col(f"`{c}`") for c in documents.columns], *found)
     at = documents.columns.index("text")
     last = len(documents.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", PIECE):
             texts = []
-            for text, pairs in zip(part.column(at).to_pylist(), part.column(last).to_pylist(), strict=True):
-                if pairs:
-                    text = cut(text.encode(), union([(p["a"], p["b"]) for p in pairs])).decode("utf-8", "ignore")
+            by_word = part.column(last + 1).to_pylist() if least_words else [None] * part.num_rows
+            for text, pairs, more in zip(part.column(at).to_pylist(), part.column(last).to_pylist(), by_word, strict=True):
+                if pairs or more:
+                    data = text.encode()
+                    removed = [(p["a"], p["b"]) for p in pairs or ()]
+                    if more:
+                        w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                        removed += [(int(w.starts[p["a"]]), int(w.ends[p["b"] - 1])) for p in more]
+                    text = cut(data, union(removed)).decode("utf-8", "ignore")
                 texts.append(text)
             columns = part.columns[:last]
             columns[at] = pa.array(texts, part.schema.field(at).type)

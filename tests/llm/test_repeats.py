@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -51,3 +52,44 @@ def test_empty_table_and_other_columns(spark):
     rows = [(1, "é" * 300, 7), (2, "é" * 300, 8), (3, None, 9)]
     got = repeats.strip(spark.createDataFrame(rows, "doc_id bigint, text string, k1 int")).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "", 7), (2, "", 8), (3, None, 9)]
+
+
+def brute_words(rows, least):
+    """Texts without the repeats of LENGTH bytes and of ``least`` words."""
+    gone = [bytearray(len((t or "").encode())) for _, t in rows]
+    texts = [(t or "").encode() for _, t in rows]
+    runs = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)] for x in texts]
+    for parts in (
+        [[(x[p : p + repeats.LENGTH], p, p + repeats.LENGTH) for p in range(len(x) - repeats.LENGTH + 1)] for x in texts],
+        [[(tuple(x[a:b] for a, b in w[p : p + least]), w[p][0], w[p + least - 1][1]) for p in range(len(w) - least + 1)] for x, w in zip(texts, runs, strict=True)],
+    ):
+        seen = Counter(key for part in parts for key, _, _ in part)
+        for own, part in zip(gone, parts, strict=True):
+            for key, a, b in part:
+                if seen[key] > 1:
+                    own[a:b] = b"\1" * (b - a)
+    return [(i, bytes(c for c, g in zip(x, own, strict=True) if not g).decode("utf-8", "ignore") if t is not None else None) for (i, t), x, own in zip(rows, texts, gone, strict=True)]
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_passages_of_over_50_words_match_brute_force(spark, hot):
+    rng = random.Random(8)
+    word = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(n))
+    passage, short = word(51), word(50)
+    assert len(passage) < 250
+    rows = corpus() + [(60 + i, word(30) + " " + passage + "\n" + word(20)) for i in range(3)]
+    rows += [(70, word(30) + " " + passage.replace(" ", "\n ") + " end"), (71, word(9) + " " + short + " x"), (72, word(9) + " " + short + " y")]
+    rows += [(73, word(55)), (74, "a " * 60), (75, passage), (76, passage)]
+    got = repeats.strip(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot, least_words=51)
+    want = brute_words(rows, 51)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    left = dict(want)
+    assert passage.split()[9] + " " + passage.split()[10] not in left[61] and short in left[71]
+
+
+def test_lengths_that_are_no_power_of_two_times_q(spark):
+    rng = random.Random(9)
+    piece = "".join(rng.choice("abcdef") for _ in range(90))
+    rows = [(1, "x" + piece + "yz"), (2, "uv" + piece + "w"), (3, "r" + piece[:89] + "s")]
+    got = repeats.strip(spark.createDataFrame(rows, "doc_id bigint, text string"), length=90, q=25).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["xyz", "uvw", rows[2][1]]
