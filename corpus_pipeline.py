@@ -9,7 +9,8 @@ All but the last return the columns of documents; other columns, whatever their
 3. suffix-array dedup: bytes of repeated 400-byte strings and repeated passages of over 50 words go from the texts; n_chars is
    counted anew.
 4. benchmark decontamination: documents that hold a test item go.
-5. SentencePiece: the token ids of each text (token_ids replaces a column of that name).
+5. SentencePiece: the token ids of each text, and decoded_exact: decoding them gives the text again (columns of these names are
+   replaced).
 
 Null and empty texts fail the base rule of stage 1; an empty table passes through every stage.
 """
@@ -56,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    return pieces.encode(docs, exact="decoded_exact")
 
 
 STAGES = [

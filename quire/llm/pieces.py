@@ -363,19 +363,24 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def encode(documents: DataFrame, model: str = MODEL, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``documents`` with the column ``ids`` (array<int>); a column of that name is replaced."""
-    own = [f for f in documents.schema if f.name != ids]
-    rest = documents.drop(ids)
+def encode(documents: DataFrame, model: str = MODEL, text: str = "text", ids: str = "token_ids", exact: str | None = None) -> DataFrame:
+    """``documents`` with the column ``ids`` (array<int>) and, if named, ``exact``: decoding gives the text again. Columns of these names are replaced."""
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(exact, T.BooleanType())] if exact else [])]
+    names = [f.name for f in new]
+    own = [f for f in documents.schema if f.name not in names]
+    rest = documents.drop(*names)
     at = [f.name for f in own].index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for part in chunks(batches, text):
-            got = m.encode(part.column(at)).cast(pa.list_(pa.int32()))
-            yield pa.record_batch([*part.columns, got], [*part.schema.names, ids])
+            got = m.encode(part.column(at))
+            columns = [got.cast(pa.list_(pa.int32()))]
+            if exact:
+                columns.append(pa.array([x == (t or "").replace(SPACE, " ") for x, t in zip(m.decode(got), part.column(at).to_pylist(), strict=True)], pa.bool_()))
+            yield pa.record_batch([*part.columns, *columns], [*part.schema.names, *names])
 
-    return rest.mapInArrow(work, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return rest.mapInArrow(work, T.StructType([*rest.schema.fields, *new]))
 
 
 def digests(documents: DataFrame, model: str = MODEL) -> DataFrame:

@@ -72,3 +72,9 @@ def test_near_duplicates_take_five_words_and_080(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far[::-1]))]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_last_stage_decodes_its_ids(spark):
+    rows = [(1, "plain words", "x"), (2, "été  #\n▁ 漢字", "y"), (3, "", "z")]
+    got = corpus_pipeline.sentencepiece(spark, spark.createDataFrame(rows, "doc_id bigint, text string, decoded_exact string"), "").collect()
+    assert all(r.decoded_exact is True for r in got) and {r.doc_id for r in got if r.token_ids} == {1, 2}
