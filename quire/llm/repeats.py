@@ -5,32 +5,38 @@ suffixes alone that can matter:
 
 1. Initial buckets. For each window of LENGTH bytes, the q-gram (Q bytes) with the least hash inside it is its
    anchor (winnowing). Equal windows have equal anchors at equal places, and a text has about 2 / (LENGTH - Q) anchors
-   a byte. Only anchors leave the task; buckets (anchor hash) with one member can hold no repeat and end here.
+   a byte. Only anchors leave the task, once for all copies of a text; buckets (anchor hash) with one member can hold no
+   repeat and end here.
 2. Refinement. The contexts of the anchors that are left (the bytes of the windows that belong to an anchor) are dealt by bucket.
-   In a bucket, each window start has the identifier of its Q-gram; it is refined by the identifiers at later offsets:
-   Q to 2Q by the one at +Q, then 2Q to LENGTH by the 2Q identifier at +2Q, which the first step has just
-   made (the last step overlaps where the length isn't Q times a power of two). After each step only starts whose bucket has two members or more go on.
+   Each window start gets the rank of its Q-gram among all Q-grams as its bucket's identifier. Buckets are then refined by
+   sorting on pairs of identifiers: a start's own and that at a later offset (Q to 2Q by the one at +Q, then 2Q to LENGTH by
+   the 2Q identifier at +2Q, which the step before has just made; the last step overlaps where the length isn't Q times a
+   power of two). The rank of the pair is the new identifier. Starts that are alone in their bucket end at once.
 3. The starts that remain are repeats; their windows are joined to spans and cut out of each text.
 
-Identifiers are 64-bit hashes; two different strings would have to share one within one bucket to be taken for equal.
-Exact copies of whole texts are held once (a text is known by two independent 64-bit hashes) and are repeats throughout.
-A bucket of more than HOT anchors isn't gathered in a task: each of its windows becomes a row, counted by a
-pre-aggregated group-by.
+Identifiers after the first are ranks and so exact; the first is a 64-bit hash of Q symbols, so two different strings would have
+to share that hash at each of their places to be taken for equal. Exact copies of whole texts are held once (a text is known by
+two independent 64-bit hashes) and are repeats throughout.
+
+Memory. A task refines some PIECE bytes of buckets at a time; a larger bucket of up to HOT_BYTES is refined by blocks of offsets
+from the anchor, STARTS window starts at a time. A bucket beyond HOT_BYTES isn't gathered: each of its windows becomes a row,
+counted by a pre-aggregated group-by. All three give the same result.
 
 Lengths are counted in symbols, and LENGTH bytes are the default. ``word_spans`` takes words (runs of bytes other than ASCII white
 space, each by a 64-bit hash) as the symbols, so that a repeat of so many words is found however short they are.
 
-Edge cases: null text: empty; texts of fewer than LENGTH bytes keep all bytes; repeated rows are copies of each other; with
-no repeats nothing is removed; an empty table gives an empty result; other columns pass or are ignored.
+Edge cases: null text: empty; texts of fewer than LENGTH bytes keep all bytes; very long texts are hashed whole, in one piece;
+repeated rows are copies of each other (ties of ids don't matter, as texts are known by their content); with no repeats nothing is
+removed; an empty table gives an empty result; other columns pass (``strip``) or are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +44,13 @@ from pyspark.sql import functions as F
 from quire.llm.arrowtext import binary_array, chunks, mix, utf8, words
 from quire.llm.tables import release, remove, settle, text_key
 
-LENGTH, Q, HOT = 400, 100, 50_000
-#: Bytes hashed at a time; temporaries take about a hundred times that.
+LENGTH, Q = 400, 100
+#: Words of a passage that is one by its words.
+PASSAGE = 51
+#: Bytes hashed at a time; temporaries take some fifty times that.
 PIECE = 1 << 20
+#: Contexts of one bucket that a task may gather, in bytes; and the window starts it refines at a time.
+HOT_BYTES, STARTS = 16 << 20, 1 << 18
 _P = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 #: Bytes of a symbol that stands for a word.
@@ -59,7 +69,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def symbols(column: pa.Array, unit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of a column and n + 1 offsets: bytes (unit 1) or words of ``unit`` bytes."""
+    """The symbols of a column of texts and n + 1 offsets: bytes (unit 1) or hashes of words (unit WORD)."""
+    buf, off = utf8(column)
+    if unit == 1:
+        return buf, off
+    w = words(buf, off)
+    return w.hashes(buf), w.first
+
+
+def stored(column: pa.Array, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a column that holds symbols already."""
     buf, off = utf8(column)
     return (buf, off) if unit == 1 else (np.frombuffer(buf.tobytes(), np.uint64), off // unit)
 
@@ -104,15 +123,6 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = Q)
     return doc, h[own[first]], own[first] - base, starts[first] - base, starts[last] - base
 
 
-def _word_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text) to the same with the hashes of its words as the text."""
-    for part in chunks(batches, "text", PIECE):
-        buf, off = utf8(part.column(2))
-        w = words(buf, off)
-        own = binary_array(w.hashes(buf).view(np.uint8), np.diff(w.first) * WORD)
-        yield pa.record_batch([part.column(0), part.column(1), own.cast(pa.binary())], ["k1", "k2", "text"])
-
-
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", PIECE):
         doc, h, at, lo, hi = anchors(*symbols(part.column(2), unit), length, q)
@@ -126,23 +136,23 @@ def _pick(part: pa.RecordBatch, unit: int):
     lists = part.column(3)
     flat = lists.flatten()
     row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-    return buf, off, row, *(flat.field(i).to_numpy() for i in range(3))
+    return buf, off, row, *(flat.field(i).to_numpy() for i in range(4))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", PIECE):
-        buf, off, row, bucket, lo, hi = _pick(part, unit)
+        buf, off, row, bucket, at, lo, hi = _pick(part, unit)
         k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
         data = buf.tobytes()
-        for a in range(0, len(row), 8192):
-            s = slice(a, a + 8192)
+        for a in range(0, len(row), 2048):
+            s = slice(a, a + 2048)
             texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + length) * unit).tolist(), strict=True)]
-            yield pa.record_batch([pa.array(bucket[s]), pa.array(k1[s]), pa.array(k2[s]), pa.array(lo[s]), pa.array(texts, pa.binary())], ["bucket", "k1", "k2", "lo", "context"])
+            yield pa.record_batch([pa.array(bucket[s]), pa.array(k1[s]), pa.array(k2[s]), pa.array(at[s]), pa.array(lo[s]), pa.array(texts, pa.binary())], ["bucket", "k1", "k2", "at", "lo", "context"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text", 256 << 10):
-        buf, off, row, _, lo, hi = _pick(part, unit)
+        buf, off, row, bucket, _, lo, hi = _pick(part, unit)
         if not len(row):
             continue
         size = hi - lo + 1
@@ -150,43 +160,74 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Itera
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         h = grams(prefix(buf), off[which] + at, length)
         k1, k2 = (part.column(i).to_numpy()[which] for i in (0, 1))
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at)], ["window", "k1", "k2", "lo"])
+        yield pa.record_batch([pa.array(np.repeat(bucket, size)), pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at)], ["bucket", "window", "k1", "k2", "lo"])
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    return np.unique(values.ravel(), return_inverse=True)[1].reshape(values.shape).astype(np.uint64)
+
+
+def _offsets(length: int, q: int) -> list[int]:
+    """Where the q-grams of a string lie that its identifiers are made from; neighbours are joined first, then neighbours of those."""
+    out, size = [0], q
+    while size < length:
+        gap = min(size, length - size)
+        out, size = [*out, *(o + gap for o in out)], size + gap
+    return out
 
 
-def refine(contexts: pa.Array, bucket: np.ndarray, length: int = LENGTH, q: int = Q, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _repeated(buf: np.ndarray, off: np.ndarray, which: np.ndarray, at: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Which of the window starts (context, place in it; ordered by context) have an equal window among them."""
+
+    def hashes(own: np.ndarray, places: list[int]) -> np.ndarray:
+        out = np.empty((len(places), len(own)), np.uint64)
+        held = which[own]
+        c = 0
+        while c < len(off) - 1:
+            d = max(c + 1, int(np.searchsorted(off, off[c] + PIECE, "right")) - 1)
+            a, b = np.searchsorted(held, [c, d])
+            if a < b:
+                sums = prefix(buf[off[c] : off[d]])
+                base = off[held[a:b]] - off[c] + at[own[a:b]]
+                for j, p in enumerate(places):
+                    out[j, a:b] = grams(sums, base + p, q)
+            c = d
+        return out
+
+    own = np.arange(len(which))
+    first = _ranks(hashes(own, [0]))[0]
+    own = own[np.bincount(first.astype(np.int64))[first.astype(np.int64)] > 1]
+    if not len(own):
+        return own
+    ids = _ranks(hashes(own, _offsets(length, q)))
+    while len(ids) > 1:
+        ids = _ranks((ids[::2] << np.uint64(32)) | ids[1::2])
+    last = ids[0].astype(np.int64)
+    return own[np.bincount(last)[last] > 1]
+
+
+def refine(contexts: pa.Array, bucket: np.ndarray, back: np.ndarray, length: int = LENGTH, q: int = Q, unit: int = 1, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, first and last repeated window start (within the context), for contexts that have one.
 
-    ``bucket``: the initial bucket of each context's anchor; all contexts of a bucket are given together.
+    ``bucket``: the initial bucket of each context's anchor; all contexts of a bucket are given together. ``back``: the place of
+    the anchor in the context. Equal windows lie equally far from their anchors, so blocks of that distance are refined apart.
     """
-    buf, off = symbols(contexts, unit)
+    buf, off = stored(contexts, unit)
     count = np.diff(off) - length + 1
-    which = np.repeat(np.arange(len(count)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + off[which]
-    sums = prefix(buf)
-    ids = np.zeros(len(buf), np.uint64)
-    ids[: len(buf) - q + 1] = grams(sums, np.arange(len(buf) - q + 1), q)  # across contexts some have no meaning and no reader
-    seed = mix(bucket.view(np.uint64))
-    step = q
-    own = mix(ids[at] ^ seed[which])
-    alive = pd.Series(own).duplicated(keep=False).to_numpy()
-    while alive.any() and step < length:
-        which, at = which[alive], at[alive]
-        # identifiers of strings of step + gap symbols, for the starts and for all places that later steps read
-        gap = min(step, length - step)
-        later = np.zeros(len(buf), np.uint64)
-        later[: len(buf) - gap] = mix(ids[:-gap] * np.uint64(_P) + ids[gap:])
-        ids, step = later, step + gap
-        alive = pd.Series(ids[at] ^ seed[which]).duplicated(keep=False).to_numpy()
-    which, at = which[alive], at[alive]
-    if not len(which):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    new = np.ones(len(which), bool)
-    new[1:] = which[1:] != which[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(which)) - 1
-    rows = which[first]
-    return rows, at[first] - off[rows], at[last] - off[rows]
+    n, width = len(count), length - q + 1
+    step = width if count.sum() <= starts else max(1, starts // max(n, 1))
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    for r in range(0, width, step):
+        # starts whose distance to the anchor is r .. r + step - 1
+        a, b = np.maximum(0, back - r - step + 1), np.minimum(count - 1, back - r)
+        size = np.maximum(b - a + 1, 0)
+        which = np.repeat(np.arange(n), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+        alive = _repeated(buf, off, which, at, length, q)
+        np.minimum.at(low, which[alive], at[alive])
+        np.maximum.at(high, which[alive], at[alive])
+    rows = np.flatnonzero(high >= 0)
+    return rows, low[rows], high[rows]
 
 
 def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int) -> Iterator[pa.RecordBatch]:
@@ -195,8 +236,9 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int)
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         column = lambda i: t.column(i).to_numpy()
-        rows, first, last = refine(t.column(4), column(0), length, q, unit)
-        lo = column(3)[rows]
+        lo = column(4)
+        rows, first, last = refine(t.column(5), column(0), column(3) - lo, length, q, unit)
+        lo = lo[rows]
         return pa.record_batch([pa.array(column(1)[rows]), pa.array(column(2)[rows]), pa.array(lo + first), pa.array(lo + last + length)], ["k1", "k2", "a", "b"])
 
     held, size = [], 0
@@ -218,49 +260,60 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int)
         yield work(held)
 
 
-def spans(documents: DataFrame, hot: int = HOT, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """k1, k2 (the text's key), spans array<struct<a, b>>: stretches of bytes to remove, by distinct text; they may overlap."""
+def _hot(length: int, q: int, unit: int) -> int:
+    """Anchors whose contexts fit in HOT_BYTES."""
+    return max(1, HOT_BYTES // ((2 * length - q) * unit))
+
+
+def spans(documents: DataFrame, hot: int | None = None, length: int = LENGTH, q: int = Q) -> DataFrame:
+    """k1, k2 (the text's key), spans array<struct<a, b>>: stretches of bytes to remove, by distinct text; they may overlap.
+
+    A stretch may end beyond the text (copies); it is cut there.
+    """
     text = F.coalesce("text", F.lit(""))
     return _spans(documents.select(*text_key(), text.alias("text")), hot, length, q, 1)
 
 
-def word_spans(documents: DataFrame, least: int, hot: int = HOT) -> DataFrame:
+def word_spans(documents: DataFrame, least: int = PASSAGE, hot: int | None = None) -> DataFrame:
     """As ``spans``, of every ``least`` words that also start elsewhere, whatever white space is between them; stretches of words."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(*text_key(), text.alias("text")).mapInArrow(_word_symbols, "k1 bigint, k2 bigint, text binary")
-    return _spans(rows, hot, least, max(1, least // 4 + (least % 4 > 0)), WORD)
+    return _spans(documents.select(*text_key(), text.alias("text")), hot, least, max(1, least // 4 + (least % 4 > 0)), WORD)
 
 
-def _spans(rows: DataFrame, hot: int, length: int, q: int, unit: int) -> DataFrame:
-    """``rows``: k1, k2 and the text in symbols of ``unit`` bytes."""
+def _spans(rows: DataFrame, hot: int | None, length: int, q: int, unit: int) -> DataFrame:
+    """``rows``: k1, k2 and the text, whose symbols are of ``unit`` bytes."""
     spark = rows.sparkSession
-    rows = rows.where(F.octet_length("text") >= length * unit)
+    hot = hot or _hot(length, q, unit)
+    rows = rows.where(F.octet_length("text") >= (length if unit == 1 else 2 * length - 1))
     found = rows.mapInArrow(lambda batches: _anchors(batches, length, q, unit), "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, hi bigint")
-    found = settle(found)
-    # copies of a text repeat its anchors, so they are counted too; beyond this each (bucket, text, place) is held once
-    places = found.groupBy("bucket").agg(F.count("*").alias("n"))
-    shared = settle(found.join(places.where("n > 1"), "bucket").dropDuplicates(["bucket", "k1", "k2", "at"]).select("bucket", "k1", "k2", "lo", "hi", "n"))
-    remove(spark, found)
+    # copies of a text have the same anchors, which are held once from here on
+    found = settle(found.distinct())
+    # both sides are read anew for the join, so Spark may split a very common bucket's rows
+    places = settle(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = settle(found.join(places.hint("merge"), "bucket"))
+    remove(spark, found, places)
     release(spark)
     texts = rows.dropDuplicates(["k1", "k2"])
 
     def joined(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "lo", "hi")).alias("anchors"))  # of one text
+        lists = part.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "at", "lo", "hi")).alias("anchors"))  # of one text
         return texts.join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
 
-    contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(lambda batches: _contexts(batches, length, unit), "bucket bigint, k1 bigint, k2 bigint, lo bigint, context binary")
+    contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(lambda batches: _contexts(batches, length, unit), "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, context binary")
     out = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _refined(batches, length, q, unit), "k1 bigint, k2 bigint, a bigint, b bigint")
-    out = settle(out)
+    made = [settle(out)]
     if not shared.where(F.col("n") > hot).isEmpty():
-        windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(lambda batches: _windows(batches, length, unit), "window bigint, k1 bigint, k2 bigint, lo bigint"))
-        twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-        # settled before the next grouping, so that Spark may split a very common window's rows
-        out = out.unionByName(settle(windows.join(twice, "window").select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))))
-    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.expr(f"octet_length(text) div {unit}")).cast("bigint").alias("b")).where("n > 1")
-    out = out.unionByName(copies.select("k1", "k2", F.lit(0).cast("bigint").alias("a"), "b"))
-    out = settle(out.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+        windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(lambda batches: _windows(batches, length, unit), "bucket bigint, window bigint, k1 bigint, k2 bigint, lo bigint"))
+        twice = settle(windows.groupBy("bucket", "window").agg(F.count("*").alias("n")).where("n > 1"))
+        made.append(settle(windows.join(twice.hint("merge"), ["bucket", "window"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))))
+        remove(spark, windows, twice)
     remove(spark, shared)
     release(spark)
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    found = reduce(DataFrame.unionByName, [*made, copies.select("k1", "k2", F.lit(0).cast("bigint").alias("a"), F.lit(1 << 40).cast("bigint").alias("b"))])
+    out = settle(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    remove(spark, *made)
+    release(spark)
     return out
 
 
@@ -283,7 +336,7 @@ def cut(data: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _with_spans(documents: DataFrame, hot: int, length: int = LENGTH, q: int = Q, least_words: int | None = None) -> DataFrame:
+def _with_spans(documents: DataFrame, hot: int | None, length: int, q: int, least_words: int | None) -> DataFrame:
     found = {"_spans": spans(documents, hot, length, q)}
     if least_words:
         found["_words"] = word_spans(documents, least_words, hot)
@@ -294,33 +347,48 @@ def _with_spans(documents: DataFrame, hot: int, length: int = LENGTH, q: int = Q
     return out
 
 
-def digests(documents: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``documents`` (doc_id, text)."""
-    rows = _with_spans(documents.select("doc_id", "text"), hot).select("doc_id", "text", "_spans")
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+def _words_in(data: bytes, pairs: list | None, least: int) -> tuple[list[tuple[int, int]], int]:
+    """Stretches of bytes and number of words of stretches of words; none in a text of fewer than ``least`` words."""
+    if not pairs:
+        return [], 0
+    w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    n = len(w.starts)
+    if n < least:
+        return [], 0
+    runs = union([(p["a"], min(p["b"], n)) for p in pairs])
+    return [(int(w.starts[a]), int(w.ends[b - 1])) for a, b in runs], sum(b - a for a, b in runs)
+
+
+def digests(documents: DataFrame, hot: int | None = None, least_words: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``documents`` (doc_id, text), and n_passage_words: its words in
+    passages of ``least_words`` words that also start elsewhere, whatever their bytes and white space."""
+    rows = _with_spans(documents.select("doc_id", "text"), hot, LENGTH, Q, least_words).select("doc_id", "text", "_spans", "_words")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", PIECE):
             out = []
-            for text, pairs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for text, pairs, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = (text or "").encode()
-                removed = union([(p["a"], p["b"]) for p in pairs or ()])
-                out.append((len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(cut(data, removed)).hexdigest()))
+                removed = union([(p["a"], min(p["b"], len(data))) for p in pairs or ()])
+                out.append((len(data), sum(b - a for a, b in removed), len(removed), hashlib.sha256(cut(data, removed)).hexdigest(), _words_in(data, more, least_words)[1]))
             columns = list(zip(*out, strict=True))
-            yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.record_batch([part.column(0), *(pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(columns))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
     return rows.mapInArrow(work, schema)
 
 
-def strip(documents: DataFrame, hot: int = HOT, length: int = LENGTH, q: int = Q, least_words: int | None = None) -> DataFrame:
+def strip(documents: DataFrame, hot: int | None = None, length: int = LENGTH, q: int = Q, least_words: int | None = None) -> DataFrame:
     """``documents`` with repeats cut out of ``text``; parts of characters at the edges of a cut go too.
 
     With ``least_words`` repeats of so many words go as well, from the first byte of their first word to the last of their last.
     """
+    # names that no column of the caller can clash with
+    plain = documents.toDF(*("text" if c == "text" else f"_c{i}" for i, c in enumerate(documents.columns)))
     found = ["_spans", "_words"] if least_words else ["_spans"]
-    rows = _with_spans(documents, hot, length, q, least_words).select(*[F.col(f"`{c}`") for c in documents.columns], *found)
-    at = documents.columns.index("text")
-    last = len(documents.columns)
+    rows = _with_spans(plain, hot, length, q, least_words).select(*plain.columns, *found)
+    at = plain.columns.index("text")
+    last = len(plain.columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", PIECE):
@@ -329,14 +397,12 @@ def strip(documents: DataFrame, hot: int = HOT, length: int = LENGTH, q: int = Q
             for text, pairs, more in zip(part.column(at).to_pylist(), part.column(last).to_pylist(), by_word, strict=True):
                 if pairs or more:
                     data = text.encode()
-                    removed = [(p["a"], p["b"]) for p in pairs or ()]
-                    if more:
-                        w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                        removed += [(int(w.starts[p["a"]]), int(w.ends[p["b"] - 1])) for p in more]
+                    removed = [(p["a"], min(p["b"], len(data))) for p in pairs or ()]
+                    removed += _words_in(data, more, least_words or 0)[0]
                     text = cut(data, union(removed)).decode("utf-8", "ignore")
                 texts.append(text)
             columns = part.columns[:last]
             columns[at] = pa.array(texts, part.schema.field(at).type)
             yield pa.record_batch(columns, part.schema.names[:last])
 
-    return rows.mapInArrow(work, documents.schema)
+    return rows.mapInArrow(work, plain.schema).toDF(*documents.columns)
