@@ -23,12 +23,16 @@ passage, and copies with too many edits, before any pair is formed. And each set
 whether it has an odd number of the shingles that hash to i. Two sets differ in at least as many shingles as their sketches
 in bits, so a pair whose sketches differ in more than H bits isn't formed.
 
+Identity. A node is known by a 64-bit hash of its set, beside which each row carries a second one. Hashes that two different sets
+share are looked for in all rows and remade from both (``_sets``), so a node is never two sets, as far as 128 bits tell.
+
 Verification. Each node is first compared with the most central member it meets (the one that meets most others), so
 groups of near copies fall together in a star. Then only pairs are left that share a segment, are within each other's
-bounds and aren't connected yet; all of them are compared by their whole sets. No pair is formed within what is connected.
+bounds and aren't connected yet; all of them are compared by their whole sets, word by word and not by hash. No pair is formed
+within what is connected.
 
-Edge cases: null and empty texts, and texts without a word, have no shingles and link with nothing; repeated rows are
-connected; a null doc_id is never a component's id (unless all ids of the component are null) but connects others; an empty
+Edge cases: null and empty texts, and texts without a word, have no shingles and link with nothing; repeated rows and ties are
+connected; a very long text is one set and is compared whole; a null doc_id is never a component's id (unless all ids of the component are null) but connects others; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -144,13 +148,42 @@ def sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, sketch, signatures); a node's sketch and signatures stand once in a task."""
+def exact_shingles(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, but by numbers that are equal only for equal words; they hold within one call.
+
+    Numbers of 2^j words come from sorting pairs of numbers of half as many; k words are two such runs that overlap.
+    """
+    buf, off = utf8(texts)
+    buf = lower_ascii(buf)
+    w = words(buf, off)
+    own = w.codes(buf)[0].astype(np.uint64)
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique((a << np.uint64(32)) | b, return_inverse=True)[1].astype(np.uint64)
+
+    size = 1
+    while size < k and len(own):
+        step = min(size, k - size)
+        own = paired(own[:-step], own[step:]) if len(own) > step else own[:0]
+        size += step
+    sets = [np.unique(own[a : b - k + 1]) if b - a >= k else own[:0] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+    first = np.zeros(len(sets) + 1, np.int64)
+    np.cumsum([len(x) for x in sets], out=first[1:])
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), first
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, twins: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, second, sketch, signatures); a node's sketch and signatures stand once
+    in a task. ``twins``: hashes that different sets share."""
     done: set = set()
     for part in chunks(batches, "text", PIECE):
         flat, first = shingles(part.column(3), k)
         n = np.diff(first)
-        node = mix(sums(mix(flat), first) + n.astype(np.uint64)).view(np.int64)
+        node = mix(sums(mix(flat), first) + n.astype(np.uint64))
+        second = mix(sums(mix(flat ^ _SALT), first) + n.astype(np.uint64))
+        if twins:
+            node = np.where(np.isin(node.view(np.int64), twins), mix(node ^ mix(second)), node)
+        node, second = node.view(np.int64), second.view(np.int64)
         docs, sigs = signatures(flat, first, bands)
         fresh = np.zeros(len(n), bool)
         for d, x in enumerate(node.tolist()):
@@ -166,7 +199,26 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
         each = SKETCH // 64
         odd = sketches(flat, first)[off[1:] > off[:-1]]
         odd = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(off[1:] > off[:-1])]).astype(np.int32) * np.int32(each)), pa.array(odd.ravel()))
-        yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(node), odd, lists], ["doc_id", "k1", "k2", "n", "node", "odd", "sigs"])
+        yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(node), pa.array(second), odd, lists], ["doc_id", "k1", "k2", "n", "node", "second", "odd", "sigs"])
+
+
+def _all_sets(keyed: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """The settled sets, no two of which share a node's hash.
+
+    Of N different sets some N^2 / 2^65 pairs share one by chance: below one for 5 billion, and some hundred for 60 billion.
+    """
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, second bigint, odd array<bigint>, sigs array<bigint>"
+    twins: list[int] = []
+    while True:
+        known = list(twins)
+        sets = settle(keyed.mapInArrow(lambda batches, known=known: _sets(batches, k, bands, known), schema))
+        shared = sets.where("n > 0").groupBy("node").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x < y")
+        more = [r.node for r in shared.select("node").collect()]
+        if not more:
+            return sets
+        remove(keyed.sparkSession, sets)
+        twins += more
 
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -178,21 +230,21 @@ def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to the pairs (a, b) that link."""
-    for part in chunks(batches, "text_a", PIECE):
-        for one in chunks([part], "text_b", PIECE):
-            fa, oa = shingles(one.column(2), k)
+    """(a, b, text_a, text_b) to the pairs (a, b) that link. Texts of fewer than k words link with equal ones alone, which are one node."""
+    for part in chunks(batches, "text_a", PIECE // 2):
+        for one in chunks([part], "text_b", PIECE // 2):
             # the same text often stands in many rows, one after the other
-            coded = one.column(3).dictionary_encode()
-            fb, ob = shingles(coded.dictionary, k)
+            coded = pa.chunked_array([one.column(2), one.column(3)]).combine_chunks().dictionary_encode()
+            flat, off = exact_shingles(coded.dictionary, k)
+            at = coded.indices.to_numpy()
             keep = []
-            for i, j in enumerate(coded.indices.to_pylist()):
-                x, y = fa[oa[i] : oa[i + 1]], fb[ob[j] : ob[j + 1]]
+            for i, j in zip(at[: one.num_rows].tolist(), at[one.num_rows :].tolist(), strict=True):
+                x, y = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep)
+                keep.append(common > 0 and 100 * common >= percent * (len(both) - common))
+            mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([one.column(0).filter(mask), one.column(1).filter(mask)], ["a", "b"])
 
 
@@ -206,9 +258,8 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``documents`` (doc_id, text): k-word shingles, a Jaccard similarity of ``percent`` / 100."""
     bands = Bands(percent)
     spark = documents.sparkSession
-    kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select("doc_id", *text_key(), F.coalesce("text", F.lit("")).alias("text"))
-    sets = settle(keyed.mapInArrow(lambda batches: _sets(batches, k, bands), f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, node bigint, odd array<bigint>, sigs array<bigint>"))
+    sets = _all_sets(keyed, k, bands)
     docs = settle(sets.select("doc_id", "k1", "k2", "n", "node"))
 
     # buckets with two nodes or more
@@ -237,7 +288,7 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     sized = settle(sized)
     met2 = met.join(sized, "node").withColumn("size", F.count("*").over(bucket)).where("size > 1")
     met2 = settle(met2)
-    remove(spark, met)
+    remove(spark, met, sized)
     release(spark)
 
     # the most central member of each bucket; each node meets the most central of those
@@ -247,12 +298,15 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     star = weighed.join(heads, "sig").where("node <> h.node and n <= h.most and h.n <= most")
     star = star.groupBy("node").agg(F.max("h").alias("h")).select(F.col("node").alias("a"), F.col("h.node").alias("b"))
     edges = settle(_verify(star, texts, k, percent))
+    remove(spark, met2)
     release(spark)
 
     labels = components(edges)
-    known = settle(weighed.join(labels, "node", "left").select("sig", "node", "n", "most", F.coalesce("label", "node").alias("label")))
-    mixed = known.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-    known = settle(known.join(mixed, "sig").join(odd, "node"))
+    named = settle(weighed.join(labels, "node", "left").select("sig", "node", "n", "most", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    known = settle(named.join(mixed.hint("merge"), "sig").join(odd.hint("merge"), "node"))
+    remove(spark, weighed, named, odd)
+    release(spark)
     counts = known.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
     minor = known.join(counts, "sig").select("sig", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("label").alias("la"), F.col("odd").alias("oa")).where("la <> main")
     other = known.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
@@ -260,8 +314,10 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     # of two rows outside the main label one order is enough
     near = F.expr("la <> lb and na <= mb and nb <= ma and (lb = main or a < b)") & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
     rest = minor.join(other, "sig").where(near).select("a", "b").distinct()
-    edges = settle(edges.unionByName(_verify(rest, texts, k, percent)))
-    labels = components(edges)
+    more = settle(_verify(rest, texts, k, percent))
+    labels = components(edges.unionByName(more))
+    remove(spark, known, texts, edges, more)
+    release(spark)
 
     out = docs.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     some = out.where("n > 0")

@@ -110,3 +110,29 @@ def brute_of(rows, k, percent):
         ids = [d for (d, _), g in zip(rows, group, strict=True) if g == group[i] and d is not None]
         out.append((doc, len(sets[i]), (min(ids) if ids else None) if sets[i] else doc))
     return sorted(out, key=str)
+
+
+def test_shared_hashes_are_remade_and_shingles_compared_by_words():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([1, 2, 1]), pa.array(["a b c d e", "a b c d f", "a b c d e"])], ["doc_id", "k1", "k2", "text"])
+    run = lambda twins: next(ngramjoin._sets(iter([batch]), 4, ngramjoin.BANDS, twins)).to_pydict()
+    plain = run([])
+    assert plain["node"][0] == plain["node"][2] != plain["node"][1]
+    again = run([plain["node"][0]])
+    assert again["node"][0] == again["node"][2] != plain["node"][0] and again["node"][1] == plain["node"][1] and again["second"] == plain["second"]
+    texts = pa.array(["A b c d e f g", "x a b c d e", "a b", None, "", "a B", "a  b c d\ne f g"])
+    for k in (1, 2, 3, 4, 5, 7):
+        flat, off = ngramjoin.exact_shingles(texts, k)
+        sets = [set(flat[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
+        words = [(t or "").lower().split() for t in texts.to_pylist()]
+        want = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in words]
+        assert [[len(x & y) for y in sets] for x in sets] == [[len(x & y) for y in want] for x in want]
+
+
+def test_long_texts_other_columns_and_repeated_rows(spark):
+    rng = random.Random(9)
+    words = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(words), "x", 1), (2, " ".join([*words[:15_000], "other", *words[15_001:]]), "y", 2), (3, " ".join(words[:15_000]), "z", 3), (3, " ".join(words[:15_000]), "z", 3)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, node string, component_id int")
+    assert sorted((r.doc_id, r.component_id) for r in ngramjoin.join(table).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3)]
