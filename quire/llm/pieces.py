@@ -11,7 +11,8 @@ Two kinds of model are read from a ``.model`` file (a protobuf, parsed here):
 
 Texts are cut before each run of spaces (no piece goes on across one, which is checked when a model is loaded),
 each distinct part of a batch is encoded once, and documents are put together from the parts. Characters without a
-piece become byte pieces, or the unknown id if the model has none.
+piece become byte pieces, or the unknown id if the model has none (one for a run of them). Models that normalise characters or white
+space, or have pieces defined by users, are refused.
 
 Edge cases: null and empty texts have no ids; U+2581 counts as a space, as in the library; ties go to the leftmost merge;
 very long parts are encoded with a heap in O(n log n) instead of a matrix; repeated rows give repeated results.
@@ -77,12 +78,26 @@ class Model:
                 scores.append(np.frombuffer(f[2], "<f4")[0] if 2 in f else 0.0)
                 kinds.append(f.get(3, 1))
             elif number == 2:
-                self.unigram = dict(_fields(value)).get(3, 1) == 1
+                trainer = dict(_fields(value))
+                if trainer.get(3, 1) not in (1, 2):
+                    raise ValueError("only unigram and BPE models are read")
+                if trainer.get(24, 0):
+                    raise ValueError("white space as a suffix isn't supported")
+                self.unigram = trainer.get(3, 1) == 1
             elif number == 3:
-                self.prefix = bool(dict(_fields(value)).get(3, 1))
+                rules = dict(_fields(value))
+                if rules.get(2):
+                    raise ValueError("the model changes characters by a map, which isn't supported")
+                if rules.get(4, 1):
+                    raise ValueError("the model removes extra white space, which isn't supported")
+                if not rules.get(5, 1):
+                    raise ValueError("the model keeps spaces as they are, which isn't supported")
+                self.prefix = bool(rules.get(3, 1))
         self.scores, self.kinds = np.array(scores, np.float64), np.array(kinds)
         self.unknown = int(np.flatnonzero(self.kinds == 2)[0])
-        self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (1, 4)}
+        if (self.kinds == 4).any():
+            raise ValueError("pieces defined by users go before all others, which isn't supported")
+        self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == 1}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on across a space")
         self.byte_ids = np.full(256, -1, np.int64)
@@ -333,7 +348,14 @@ class Model:
         found = self.encode_parts(coded.dictionary.to_pylist()).take(coded.indices)
         first = np.searchsorted(starts, off)  # the first part of each text
         ends = found.offsets.to_numpy()
-        return pa.LargeListArray.from_arrays(pa.array(ends[first] - ends[0]), found.flatten())
+        flat, ends = found.flatten(), ends[first] - ends[0]
+        if self.byte_ids[0] < 0:  # neighbouring unknown characters of a text are one unknown id
+            values = flat.to_numpy(zero_copy_only=False)
+            again = np.zeros(len(values) + 1, bool)
+            again[1:-1] = (values[1:] == self.unknown) & (values[:-1] == self.unknown)
+            again[ends] = False
+            flat, ends = pa.array(values[~again[:-1]]), ends - np.concatenate([[0], np.cumsum(again)])[ends]
+        return pa.LargeListArray.from_arrays(pa.array(ends), flat)
 
     def decode(self, ids: pa.LargeListArray) -> list[str]:
         """Texts of lists of ids."""

@@ -9,7 +9,7 @@ For every length L that occurs: n_docs, docs_at_least (documents of L tokens or
 tokens), truncated_total (tokens kept when each document is cut at L: the sum of min(length, L)) and
 quantile (share of documents with at most L tokens). ``totals`` answers any other context limit from these rows.
 
-Edge cases: null and empty texts have zero tokens and count as documents; strings of special tokens inside a text are
+Edge cases: null and empty texts have zero tokens and count as documents; very long texts are encoded whole; strings of special tokens inside a text are
 ordinary text; repeated rows count each time; an empty table gives an empty histogram; other columns are ignored.
 """
 
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrowtext import chunks
+from quire.llm.tables import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Byte-level BPE's split of a text into words, as the vocabulary's publisher states it (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Texts longer than this many characters are encoded on a path that has no recursion over the whole text.
+#: Lengths in a block: suffix sums are made within blocks and then over blocks.
 BLOCK = 1024
 
 
@@ -54,7 +55,8 @@ def lengths(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def histogram(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    counts = lengths(documents, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
+    # written, as it is read twice below and the texts are to be encoded once
+    counts = settle(lengths(documents, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs")))
     counts = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     within = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
@@ -74,10 +76,14 @@ def histogram(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def totals(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """For each ``context`` of ``limits``: documents that exceed it and tokens kept when texts are cut there.
 
-    ``limits`` is a stated list of context sizes; the histogram row that answers one is the smallest length above it.
+    The histogram row that answers a limit is that of the smallest length above it: the last one before the limit if both stand in one
+    falling order. One task sorts them; there are no more rows than lengths (the longest document's at most) and limits.
     """
-    pairs = limits.select("context").distinct().join(F.broadcast(histogram), F.col("length") > F.col("context"), "left")
-    above = pairs.groupBy("context").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("x"))
-    everything = histogram.agg(F.sum(F.col("length") * F.col("n_docs")).alias("t"))
-    over = F.coalesce("x.docs_at_least", F.lit(0))
-    return above.crossJoin(F.broadcast(everything)).select("context", over.alias("docs_cut"), (F.coalesce("t", F.lit(0)) - F.coalesce("x.tokens_at_least", F.lit(0)) + F.col("context") * over).alias("tokens_kept"))
+    none = F.lit(None).cast("bigint")
+    rows = histogram.select(F.col("length").alias("at"), F.lit(1).alias("kind"), none.alias("context"), "docs_at_least", "tokens_at_least")
+    asked = limits.select("context").distinct().select(F.col("context").alias("at"), F.lit(0).alias("kind"), "context", none.alias("docs_at_least"), none.alias("tokens_at_least"))
+    falling = Window.orderBy(F.desc("at"), "kind")
+    before, everything = falling.rowsBetween(Window.unboundedPreceding, 0), falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = lambda c, w: F.coalesce(F.max(c).over(w), F.lit(0))  # noqa: E731  they rise as lengths fall
+    out = rows.unionByName(asked).select("kind", "context", last("docs_at_least", before).alias("over"), last("tokens_at_least", before).alias("above"), last("tokens_at_least", everything).alias("t"))
+    return out.where("kind = 0").select("context", F.col("over").alias("docs_cut"), F.expr("t - above + context * over").alias("tokens_kept"))

@@ -8,16 +8,22 @@ level 1 takes for listed; level 3 the listed keys that level 2 takes for those;
 false positive among the keys it must tell apart. Over the key universe of the corpus it was built on, the
 answer is exact, and a lookup needs no join: the filters are literals in the expression.
 
+Two cascades answer a key: one tells listed keys from all others of the corpus, and one, built on the list alone, tells those that
+block from those that allow. The corpus's keys are made and written once; each level reads only the keys that the level before
+got wrong, written as well.
+
 Size: level 1 gets a false-positive rate of 0.7 * listed / universe, so every level holds no more keys than
 about the list has, whatever the corpus; the whole takes about 1.5 * log2(universe / listed) bits a listed key.
-Only those bits reach the driver and the tasks, never the corpus's keys. Only DataFrame functions are used.
+Only those bits reach the driver and the tasks, never the corpus's keys, and a level beyond ``MOST_BYTES`` (some tens of millions
+of rules) is an error and not a plan that no driver holds. Only DataFrame functions are used.
 
 Of the keys that match, the longest wins (of equal ones, that with the longer host). With no match the verdict
 is the method's: a url none of whose keys is listed isn't blocked, so ``allow``.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and matches nothing; an empty host
-has no keys; repeated urls and null page ids give a row each; rules with a null host are ignored and a null path counts
-as empty; of several rules with one key a block wins; with no rules every url is allowed.
+has no keys; a very long url is judged whole; repeated urls and null page ids give a row each; rules with a null host are ignored and a null path counts
+as empty; of several rules with one key a block wins (ties of length: see above); with no rules every url is allowed; an empty
+table gives an empty result; other columns of pages and rules are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +35,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.tables import remove, settle
+
+#: Bytes of one level.
+MOST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,6 +89,8 @@ def level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     """A Bloom filter of the column ``key`` (n distinct values) as 64-bit words; sized by n alone."""
     bits = max(64, math.ceil(1.4427 * n * math.log2(1 / rate) / 64) * 64)
     hashes = max(1, round(math.log2(1 / rate)))
+    if bits > 8 * MOST_BYTES:
+        raise ValueError(f"a filter of {n} keys takes {bits // 8} bytes; the bound is {MOST_BYTES}")
     at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, salt))).alias("p"))
     got = at.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("v")).collect()
     words = [0] * (bits // 64)
@@ -101,21 +113,23 @@ class Cascade:
 
 def build(listed: DataFrame, universe: DataFrame, most_levels: int = 60) -> Cascade:
     """The cascade that tells the keys of ``listed`` from all others of ``universe`` (both: column ``key``)."""
-    listed = listed.select("key").distinct()
-    universe = universe.select("key").distinct()
+    spark = listed.sparkSession
+    listed = settle(listed.select("key").where("key is not null").distinct())
     n = listed.count()
     if not n:
         return Cascade([])
-    others = universe.join(listed, "key", "left_anti")
+    others = settle(universe.select("key").distinct().join(listed, "key", "left_anti"))
     total = max(n, others.count())
     rate = min(0.5, 0.7071 * n / total)
     levels: list[Level] = []
     held, against = listed, others
     while True:
         levels.append(level(held, n, rate, len(levels)))
-        wrong = against.where(levels[-1].holds(F.col("key")))
+        wrong = settle(against.where(levels[-1].holds(F.col("key"))))
         n = wrong.count()
+        remove(spark, against)  # its keys that this level tells are told for good
         if not n:
+            remove(spark, held, wrong)
             return Cascade(levels)
         if len(levels) == most_levels:
             raise RuntimeError(f"no cascade within {most_levels} levels")
@@ -126,19 +140,18 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule and verdict by ``rules`` (host, path, action)."""
     rules = rules.where(F.col("host").isNotNull()).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     rules = rules.groupBy("host", "path").agg(F.max("action").alias("action"))  # block sorts after allow
-    rules = rules.withColumn("key", F.concat("host", F.lit("\n"), "path"))
+    rules = settle(rules.where("action in ('allow', 'block')").withColumn("key", F.concat("host", F.lit("\n"), "path")))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     universe = parts.select("host", "path").distinct().select(F.explode(keys(F.col("host"), F.col("path"), lengths)["key"]).alias("key"))
-    blocked = build(rules.where("action = 'block'"), universe)
-    allowed = build(rules.where("action = 'allow'"), universe)
-    found = F.filter(
-        F.transform(keys(F.col("host"), F.col("path"), lengths), lambda k: F.struct(k["key"].alias("key"), F.when(blocked.holds(k["key"]), "block").when(allowed.holds(k["key"]), "allow").alias("action"))),
-        lambda k: k["action"].isNotNull(),
-    )
-    out = parts.withColumn("found", F.get(found, F.lit(0)))
-    return out.select("page_id", "host", "path", F.replace(F.col("found.key"), F.lit("\n"), F.lit("")).alias("rule"), F.coalesce("found.action", F.lit("allow")).alias("verdict"))
+    listed = build(rules, universe)
+    blocked = build(rules.where("action = 'block'"), rules)
+    remove(pages.sparkSession, rules)
+    own = keys(F.col("host"), F.col("path"), lengths)
+    found = parts.withColumn("found", F.get(F.filter(own, lambda k: listed.holds(k["key"])), F.lit(0)))
+    verdict = F.when(F.col("found").isNotNull() & blocked.holds(F.col("found.key")), "block").otherwise("allow")
+    return found.select("page_id", "host", "path", F.replace(F.col("found.key"), F.lit("\n"), F.lit("")).alias("rule"), verdict.alias("verdict"))
 
 
 def rules_table(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:

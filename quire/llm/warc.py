@@ -6,16 +6,17 @@ tasks that end well reach the index, so what a lost executor or a second attempt
 what a record is (response or revisit) is decided on rows without payloads and sent to the same place ahead of it.
 
 Revisits. Of the records whose payload has the same digest and length, those with the smallest page_id are
-responses and the others revisits of it. The smallest id of each digest is a pre-aggregated group-by that is
-joined back, so one very common payload does not gather in a task.
+responses and the others revisits of it. The smallest id of each digest that occurs twice is a pre-aggregated group-by, written and
+joined back, so Spark can split the rows of one very common payload.
 
-Reading. Selected index rows are dealt by path and sorted by offset; ranges that lie close together are read
-in one request, up to a bound, and each record is unpacked and parsed from its bytes. The payload digest of a response is
-computed anew from the bytes.
+Reading. Selected index rows are dealt by ranges of (path, offset), as many as their bytes need at ``TASK_BYTES`` a task, so a task
+reads one stretch of an archive or of several; ranges that lie close together are read in one request, up to a bound, and each
+record is unpacked and parsed from its bytes. The payload digest of a response is computed anew from the bytes.
 
 Edge cases: a null html is an empty payload; a null url is written as an empty one, line ends in a url are
-percent-encoded; repeated rows with the smallest id are all responses; with no ids at all every record is a
-response; an empty table gives an empty archive and index; other columns are ignored.
+percent-encoded; very long payloads are one record each; repeated rows with the smallest id are all responses; with no ids at all every record is a
+response; an empty table gives an empty archive and index; other columns are ignored, whatever their names. Archives and index
+are results and stay; what only leads to them is deleted.
 """
 
 from __future__ import annotations
@@ -33,21 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrowtext import chunks
-from quire.llm.tables import scratch, settle
+from quire.llm.tables import remove, scratch, settle
 
 END = b"\r\n\r\n"
 ARCHIVE_BYTES = 64 << 20
+#: Packed bytes that a reading task gets.
+TASK_BYTES = 8 << 20
 INDEX = "path string, offset bigint, length bigint, url string, digest string, page_id bigint"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def kinds(pages: DataFrame) -> DataFrame:
-    """page_id, url, key (of the payload), sha1, bytes and refers_to (null: a response), without payloads."""
+def kinds(pages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """page_id, url, key (of the payload), sha1, bytes and refers_to (null: a response), without payloads; and the tables to delete later."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", F.xxhash64(html).alias("key"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("bigint").alias("bytes")).distinct()
-    firsts = rows.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"))
-    repeats = (F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
-    return rows.join(firsts, ["sha1", "bytes"]).select("page_id", "url", "key", "sha1", "bytes", F.when(repeats, F.col("first")).alias("refers_to"))
+    rows = pages.select("page_id", "url", F.xxhash64(html).alias("key"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("bigint").alias("bytes"))
+    rows = settle(rows.distinct())
+    firsts = settle(rows.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "bytes", "first"))
+    repeats = F.col("first").isNotNull() & ((F.col("page_id") != F.col("first")) | F.col("page_id").isNull())
+    out = rows.join(firsts.hint("merge"), ["sha1", "bytes"], "left").select("page_id", "url", "key", "sha1", "bytes", F.when(repeats, F.col("first")).alias("refers_to"))
+    return out, [rows, firsts]
 
 
 def record(page_id: int | None, url: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
@@ -71,9 +76,10 @@ def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIV
     system.create_dir(at, recursive=True)
     html = F.coalesce("html", F.lit(""))
     bodies = pages.select("page_id", "url", F.xxhash64(html).alias("key"), html.alias("html"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("bigint").alias("refers_to"))
-    ahead = kinds(pages).select("page_id", "url", "key", F.lit(None).cast("string").alias("html"), "sha1", "bytes", "refers_to")
+    known, held = kinds(pages)
+    ahead = known.select("page_id", "url", "key", F.lit(None).cast("string").alias("html"), "sha1", "bytes", "refers_to")
     both = ahead.unionByName(bodies).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "key"), F.lit(n)).cast("int"))
-    both = both.repartition(n, "archive").sortWithinPartitions("archive", "page_id", "url", "key", F.col("html").isNotNull())
+    both = both.repartitionById(n, F.col("archive")).sortWithinPartitions("archive", "page_id", "url", "key", F.col("html").isNotNull())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -100,7 +106,9 @@ def write(pages: DataFrame, path: str | None = None, archive_bytes: int = ARCHIV
         if out:
             out.close()
 
-    return path, settle(both.mapInArrow(pack, INDEX))
+    index = settle(both.mapInArrow(pack, INDEX))
+    remove(spark, *held)
+    return path, index
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -159,7 +167,9 @@ def read(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFram
         if source:
             source.close()
 
-    picked = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    picked = index.select("path", "offset", "length")
+    n = max(1, -(-(picked.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    picked = picked.repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
     return picked.mapInArrow(load, schema)
 
 

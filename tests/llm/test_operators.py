@@ -40,6 +40,28 @@ def edits(item, text):
     return min(row)
 
 
+def whole_edits(item, text):
+    row = list(range(len(text) + 1))
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != t)))
+        row = new
+    return row[-1]
+
+
+def test_decontamination_ids_places_and_scripts(spark):
+    item = [f"w{i}" for i in range(14)]
+    more = "答案是四十二号房间里的红色盒子"
+    items = [("a", " ".join(item)), (None, " ".join(item)), ("b", more), ("c", "one two three"), ("d", None)]
+    rows = [(1, "x y " + " ".join([*item[:7], "new", *item[7:]]) + " z"), (2, "问：他说“" + more[:8] + "的" + more[8:] + "”。"), (3, "he said “one two three”—and"), (4, " ".join(f"v{i}" for i in range(40_000)) + " " + " ".join(item))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    table = spark.createDataFrame([(d, t, "old") for d, t in rows], "doc_id bigint, text string, found string")
+    for limit in (decontaminate.BLOCK_BYTES, 100):
+        got = {r.doc_id: [tuple(x) for x in r.found] for r in decontaminate.flag(table, bench, block_bytes=limit).collect()}
+        assert got == {1: [(None, 1, 2), ("a", 1, 2)], 2: [("b", 1, 3)], 3: [("c", 0, 2)], 4: [(None, 0, 40_000), ("a", 0, 40_000)]}
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefghij") + str(rng.randrange(20))
@@ -56,11 +78,12 @@ def test_decontamination_matches_brute_force(spark):
         rows.append((100 + d, " ".join([*lead, *(w.upper() for w in own), word()])))
     rows += [(None, None), (200, ""), (201, items[0][1] + ", " + items[1][1])]
     want = set()
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())  # noqa: E731  a tokeniser of the test's own
     for d, t in rows:
-        words = decontaminate.text_words(t)
+        words = plain(t)
         for i, x in items:
-            own = decontaminate.text_words(x)
-            limit = int(decontaminate.BUDGET * len(own)) if len(own) >= decontaminate.SHORTEST else 0
+            own = plain(x)
+            limit = int(decontaminate.BUDGET * len(own))
             if own and (e := edits(own, words)) <= limit:
                 want.add((d, i, e))
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
@@ -68,6 +91,10 @@ def test_decontamination_matches_brute_force(spark):
     for limit in (decontaminate.BLOCK_BYTES, 500):  # one block of items, several blocks
         out = decontaminate.flag(table, bench, block_bytes=limit).select("doc_id", F.explode("found").alias("f"))
         assert {(r.doc_id, r.f.item_id, r.f.distance) for r in out.collect()} == want
+        places = {(r.doc_id, r.f.item_id): (r.f.first_word, r.f.distance) for r in out.collect()}
+        for (d, i), (first, distance) in places.items():
+            own, words = plain(dict(items)[i]), plain(dict(rows)[d])
+            assert any(whole_edits(own, words[first:end]) == distance for end in range(first, min(len(words), first + 2 * len(own)) + 1))
     assert decontaminate.findings(table, bench.limit(0)).count() == 0
     assert decontaminate.findings(table.limit(0), bench).count() == 0
 
@@ -185,9 +212,21 @@ def test_unigram_models_use_viterbi():
     library = sentencepiece.SentencePieceProcessor(model_proto=data)
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdé z") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
-    texts = [t for t in texts if "zz" not in t]
+    texts += ["azzb", "zz z zz", "z", "a zz", "ab" * 23, "ab" * 24 + "c", "zab" * 40]
     got = pieces.Model(data).encode(pa.array(texts)).to_pylist()
     assert got == [library.encode(t) for t in texts]
+    for bad in (bytes([24, 1, 32, 1]), bytes([24, 1, 32, 0]) + string(2, b"map"), bytes([24, 1])):
+        with pytest.raises(ValueError):
+            pieces.Model(data + string(3, bad))
+    with pytest.raises(ValueError):
+        pieces.Model(data + string(1, string(1, b"<own>") + bytes([24, 4])))
+
+
+def test_parts_on_both_sides_of_the_heap(spark):
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeinorst") for _ in range(n)) for n in (46, 47, 48, 49, 50, 51, 200) for _ in range(20)] + [c * n for c in "a=é" for n in (46, 47, 48, 49, 50, 300)]
+    assert pieces.load(pieces.MODEL).encode(pa.array(texts)).to_pylist() == [library.encode(t) for t in texts]
 
 
 # -- 10 URL filter
