@@ -71,20 +71,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_decontaminate, op3_chat_format, op4_suffix_dedup, op5_warc, op6_token_counts, op7_quality_rules, op8_ngram_join, op9_sentencepiece, op10_url_filter)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '#', '\h'), '</turn>', '<\sturn>')"
-_NAMED = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{g}'" for g in licences.plain_bigrams(t))) for n, t in licences.TEMPLATES)
+_KINDS = licences.sequences(licences.TEMPLATES)
+_quoted = lambda grams: "[" + ", ".join(f"'{g}'" for g in grams) + "]"
+_NAMED = ", ".join(f"('{name}', {t}, {len(seq)}, {_quoted(sorted(set(seq)))})" for t, (name, seq) in enumerate(_KINDS))
+_SIGNS = ", ".join(f"('{g}', {t}, {o})" for g, at in licences.places(_KINDS, 0.8).items() for t, o in at)
 
 ORACLE = {
     "op1_licence_scan": rf"""
-WITH lines AS (
-  SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no, unnest(string_split(text, chr(10))) AS segment FROM documents
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
-worded AS (SELECT doc_id, line_no, string_split(trim(regexp_replace(lower(segment), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM lines),
-near AS (SELECT * FROM worded WHERE len(list_distinct(w)) <= 40 AND w[1] <> ''),
-grams AS (SELECT doc_id, line_no, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM near),
-templates(licence, t) AS (VALUES {_NAMED}),
-scored AS (SELECT doc_id, line_no, licence, len(g) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM grams, templates)
-SELECT doc_id, line_no, licence, CAST(n_bigrams AS BIGINT) AS n_bigrams, round(dice, 6) AS dice FROM scored WHERE dice >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, licence) = 1""",
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT r, doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no, unnest(string_split(text, chr(10))) AS segment FROM docs
+  UNION ALL SELECT r, doc_id, 0, text FROM docs WHERE contains(text, chr(10))),
+worded AS (SELECT r, doc_id, line_no, string_split(trim(regexp_replace(lower(segment), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM lines),
+near AS (SELECT * FROM worded WHERE len(list_distinct(w)) <= 1000 AND w[1] <> ''),
+grams AS (SELECT r, doc_id, line_no, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS g FROM near),
+templates(licence, t, size, grams) AS (VALUES {_NAMED}),
+signs(g, t, o) AS (VALUES {_SIGNS}),
+sized AS (SELECT grams.*, licence, t, templates.grams AS tg FROM grams JOIN templates ON len(g) * 0.6 <= len(templates.grams) AND len(templates.grams) * 0.6 <= len(g)),
+scored AS (SELECT r, doc_id, line_no, licence, len(g) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM sized),
+whole AS (SELECT r, doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM docs),
+seqs AS (SELECT r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS s FROM whole WHERE len(w) > 1),
+spots AS (SELECT r, unnest(range(0, len(s))) AS i, unnest(s) AS g FROM seqs),
+starts AS (SELECT DISTINCT r, t, i - o AS start FROM spots JOIN signs USING (g)),
+cuts AS (SELECT r, doc_id, t, licence, start, start + size AS stop, templates.grams AS tg, list_distinct(s[greatest(start, 0) + 1 : start + size]) AS g FROM starts JOIN seqs USING (r) JOIN templates USING (t)),
+windows AS (SELECT r, doc_id, t, licence, start, stop, len(g) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM cuts WHERE 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) >= 0.8)
+SELECT doc_id, line_no, NULL::BIGINT AS first_word, licence, CAST(n_bigrams AS BIGINT) AS n_bigrams, round(dice, 6) AS dice FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, line_no ORDER BY dice DESC, licence) = 1
+UNION ALL SELECT doc_id, NULL, greatest(start, 0), licence, CAST(n_bigrams AS BIGINT), round(dice, 6) FROM windows x
+WHERE NOT EXISTS (SELECT 1 FROM windows y WHERE y.r = x.r AND y.start <= x.stop AND x.start <= y.stop
+  AND (y.dice > x.dice OR y.dice = x.dice AND (y.licence < x.licence OR y.licence = x.licence AND (y.start < x.start OR y.start = x.start AND y.t < x.t))))""",
     "op3_chat_format": rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

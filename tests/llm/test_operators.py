@@ -23,10 +23,27 @@ def docs(spark, rows=ODD, schema=DOCS):
 # -- 1 licences
 def test_licences(spark):
     rows = [(1, "Intro.\nReleased under the MIT License.\nmore", ""), (2, "licensed UNDER the apache license; version 2.0", ""), (3, "Licensed under CC BY-NC 4.0.", ""), (4, "nothing of the kind " * 40, "")]
-    got = sorted(map(tuple, licences.scan(docs(spark, rows + ODD)).select("doc_id", "line_no", "licence", "dice").collect()))
+    found = licences.scan(docs(spark, rows + ODD)).collect()
+    got = sorted((r.doc_id, r.line_no, r.licence, r.dice) for r in found if r.line_no is not None)
     assert got == [(1, 0, "MIT", 0.8), (1, 2, "MIT", 1.0), (2, 1, "Apache-2.0", 1.0), (3, 1, "CC-BY-NC-4.0", 1.0)]
+    got = sorted((r.doc_id, r.first_word, r.licence, r.dice) for r in found if r.line_no is None)
+    assert got == [(1, 1, "MIT", 1.0), (2, 0, "Apache-2.0", 1.0), (3, 0, "CC-BY-NC-4.0", 1.0)]
     assert licences.scan(docs(spark, [])).collect() == []
-    assert licences.scan(docs(spark), []).collect() == []
+    assert licences.scan(docs(spark, []), []).collect() == []
+    assert licences.scan(docs(spark, rows), [("x", None), ("y", "")]).collect() == []
+
+
+def test_licences_within_lines_and_files(spark):
+    rng = random.Random(1)
+    mit = max((t for n, t in licences.TEMPLATES if n == "MIT"), key=len).split()
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(n))
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    edited = [w if i % 40 else "other" for i, w in enumerate(mit)]
+    rows = [(1, prose(300) + "\n\n" + wrapped + "\n\n" + prose(4000), "MIT"), (2, prose(20) + " Released under the MIT License. " + prose(30), "MIT"), (3, prose(5) + " " + " ".join(edited), "MIT")]
+    rows += [(4, "Permission is hereby granted " + prose(50), ""), (5, prose(30_000) + " Licensed under\n the Apache License,\nVersion 2.0. " + prose(9), "Apache-2.0"), (6, " ".join(mit[3:]), "MIT"), (6, " ".join(mit[3:]), "MIT")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, licence string")
+    got = sorted((r.doc_id, r.first_word, r.licence) for r in licences.scan(table).collect() if r.line_no is None)
+    assert got == [(1, 300, "MIT"), (2, 20, "MIT"), (3, 5, "MIT"), (5, 30_000, "Apache-2.0"), (6, 0, "MIT"), (6, 0, "MIT")]
 
 
 # -- 2 decontamination
