@@ -39,6 +39,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ from quire.llm.components import components
 from quire.llm.tables import release, remove, settle, text_key
 
 K, PERCENT, SMALL, SKETCH, PIECE = 4, 85, 3, 1024, 1 << 20
+#: Parts that the shingles of the candidates are counted in, one after the other, so that the disk holds one of them.
+TURNS = 2
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -176,7 +179,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, twins: list[i
     """Rows (doc_id, k1, k2, text) to (doc_id, k1, k2, n, node, second, sketch, signatures); a node's sketch and signatures stand once
     in a task. ``twins``: hashes that different sets share."""
     done: set = set()
-    for part in chunks(batches, "text", PIECE):
+    for part in chunks(batches, "text", PIECE // 2):
         flat, first = shingles(part.column(3), k)
         n = np.diff(first)
         node = mix(sums(mix(flat), first) + n.astype(np.uint64))
@@ -221,12 +224,13 @@ def _all_sets(keyed: DataFrame, k: int, bands: Bands) -> DataFrame:
         twins += more
 
 
-def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (shingle, node)."""
-    for part in chunks(batches, "text", PIECE):
+def _rows(batches: Iterator[pa.RecordBatch], k: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (shingle, node), of the shingles whose turn it is."""
+    for part in chunks(batches, "text", PIECE // 2):
         flat, first = shingles(part.column(1), k)
-        node = part.column(0).to_numpy()
-        yield pa.record_batch([pa.array(flat.view(np.int64)), pa.array(np.repeat(node, np.diff(first)))], ["shingle", "node"])
+        node = np.repeat(part.column(0).to_numpy(), np.diff(first))
+        own = flat % np.uint64(TURNS) == turn
+        yield pa.record_batch([pa.array(flat[own].view(np.int64)), pa.array(node[own])], ["shingle", "node"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -280,15 +284,19 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     release(spark)
 
     # u: the shingles of a node that no other candidate has
-    held = texts.mapInArrow(lambda batches: _rows(batches, k), "shingle bigint, node bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-    alone = held.where("node = other").groupBy("node").agg(F.count("*").alias("u"))
+    parts = []
+    for turn in range(TURNS):
+        held = texts.mapInArrow(lambda batches, turn=turn: _rows(batches, k, turn), "shingle bigint, node bigint").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        parts.append(settle(held.where("node = other").groupBy("node").agg(F.count("*").alias("u"))))
+        release(spark)
+    alone = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("u").alias("u"))
     sized = found.select("node", "n").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     # the largest partner: (100 + percent) (n - u) >= percent (n + m)
     sized = sized.select("node", "n", F.floor(((100 + percent) * (F.col("n") - F.col("u")) - percent * F.col("n")) / percent).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     sized = settle(sized)
     met2 = met.join(sized, "node").withColumn("size", F.count("*").over(bucket)).where("size > 1")
     met2 = settle(met2)
-    remove(spark, met, sized)
+    remove(spark, met, sized, *parts)
     release(spark)
 
     # the most central member of each bucket; each node meets the most central of those
