@@ -23,7 +23,8 @@ from the anchor, STARTS window starts at a time. A bucket beyond HOT_BYTES isn't
 counted by a pre-aggregated group-by. All three give the same result.
 
 Lengths are counted in symbols, and LENGTH bytes are the default. ``word_spans`` takes words (runs of bytes other than ASCII white
-space, each by a 64-bit hash) as the symbols, so that a repeat of so many words is found however short they are.
+space, each by a 64-bit hash) as the symbols, so that a repeat of so many words is found however short they are. An anchor there has
+few windows, of which each is many bytes of symbols; so their 64-bit identifiers are dealt by bucket in place of the context.
 
 Edge cases: null text: empty; texts of fewer than LENGTH bytes keep all bytes; very long texts are hashed whole, in one piece;
 repeated rows are copies of each other (ties of ids don't matter, as texts are known by their content); with no repeats nothing is
@@ -143,10 +144,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iter
     for part in chunks(batches, "text", PIECE):
         buf, off, row, bucket, at, lo, hi = _pick(part, unit)
         k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
-        data = buf.tobytes()
+        data, more = buf.tobytes(), length
+        if unit == WORD and len(row):  # a window's identifier in place of its symbols
+            data, more = grams(prefix(buf), np.arange(len(buf) - length + 1), length).tobytes(), 1
         for a in range(0, len(row), 2048):
             s = slice(a, a + 2048)
-            texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + length) * unit).tolist(), strict=True)]
+            texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + more) * unit).tolist(), strict=True)]
             yield pa.record_batch([pa.array(bucket[s]), pa.array(k1[s]), pa.array(k2[s]), pa.array(at[s]), pa.array(lo[s]), pa.array(texts, pa.binary())], ["bucket", "k1", "k2", "at", "lo", "context"])
 
 
@@ -206,15 +209,16 @@ def _repeated(buf: np.ndarray, off: np.ndarray, which: np.ndarray, at: np.ndarra
     return own[np.bincount(last)[last] > 1]
 
 
-def refine(contexts: pa.Array, bucket: np.ndarray, back: np.ndarray, length: int = LENGTH, q: int = Q, unit: int = 1, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def refine(contexts: pa.Array, bucket: np.ndarray, back: np.ndarray, length: int = LENGTH, q: int = Q, unit: int = 1, starts: int = STARTS, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, first and last repeated window start (within the context), for contexts that have one.
 
     ``bucket``: the initial bucket of each context's anchor; all contexts of a bucket are given together. ``back``: the place of
-    the anchor in the context. Equal windows lie equally far from their anchors, so blocks of that distance are refined apart.
+    the anchor in the context. Equal windows lie equally far from their anchors, so blocks of that distance (below ``reach``) are
+    refined apart.
     """
     buf, off = stored(contexts, unit)
     count = np.diff(off) - length + 1
-    n, width = len(count), length - q + 1
+    n, width = len(count), reach or length - q + 1
     step = width if count.sum() <= starts else max(1, starts // max(n, 1))
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     for r in range(0, width, step):
@@ -237,7 +241,8 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int)
         t = pa.Table.from_batches(held).combine_chunks()
         column = lambda i: t.column(i).to_numpy()
         lo = column(4)
-        rows, first, last = refine(t.column(5), column(0), column(3) - lo, length, q, unit)
+        size = (length, q) if unit == 1 else (1, 1)
+        rows, first, last = refine(t.column(5), column(0), column(3) - lo, *size, unit, reach=length - q + 1)
         lo = lo[rows]
         return pa.record_batch([pa.array(column(1)[rows]), pa.array(column(2)[rows]), pa.array(lo + first), pa.array(lo + last + length)], ["k1", "k2", "a", "b"])
 
@@ -261,8 +266,8 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int, q: int, unit: int)
 
 
 def _hot(length: int, q: int, unit: int) -> int:
-    """Anchors whose contexts fit in HOT_BYTES."""
-    return max(1, HOT_BYTES // ((2 * length - q) * unit))
+    """Anchors whose contexts, or identifiers of windows, fit in HOT_BYTES."""
+    return max(1, HOT_BYTES // (2 * length - q if unit == 1 else (length - q + 1) * unit))
 
 
 def spans(documents: DataFrame, hot: int | None = None, length: int = LENGTH, q: int = Q) -> DataFrame:
