@@ -137,33 +137,36 @@ def _pick(part: pa.RecordBatch, unit: int):
     lists = part.column(3)
     flat = lists.flatten()
     row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-    return buf, off, row, *(flat.field(i).to_numpy() for i in range(4))
+    return buf, off, row, *(flat.field(i).to_numpy() for i in range(5))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text", PIECE):
-        buf, off, row, bucket, at, lo, hi = _pick(part, unit)
-        k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
-        data, more = buf.tobytes(), length
-        if unit == WORD and len(row):  # a window's identifier in place of its symbols
-            data, more = grams(prefix(buf), np.arange(len(buf) - length + 1), length).tobytes(), 1
-        for a in range(0, len(row), 2048):
-            s = slice(a, a + 2048)
-            texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + more) * unit).tolist(), strict=True)]
-            yield pa.record_batch([pa.array(bucket[s]), pa.array(k1[s]), pa.array(k2[s]), pa.array(at[s]), pa.array(lo[s]), pa.array(texts, pa.binary())], ["bucket", "k1", "k2", "at", "lo", "context"])
+_CONTEXTS = "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, context binary, window bigint"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches, "text", 256 << 10):
-        buf, off, row, bucket, _, lo, hi = _pick(part, unit)
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, unit: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """A row with the context of each anchor, or, where its bucket is beyond ``hot``, a row with the identifier of each window."""
+    names = [x.split()[0] for x in _CONTEXTS.split(", ")]
+    for part in chunks(batches, "text", PIECE):
+        buf, off, row, bucket, at, lo, hi, n = _pick(part, unit)
         if not len(row):
             continue
-        size = hi - lo + 1
-        which = np.repeat(row, size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        h = grams(prefix(buf), off[which] + at, length)
-        k1, k2 = (part.column(i).to_numpy()[which] for i in (0, 1))
-        yield pa.record_batch([pa.array(np.repeat(bucket, size)), pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array(at)], ["bucket", "window", "k1", "k2", "lo"])
+        k1, k2 = (part.column(i).to_numpy()[row] for i in (0, 1))
+        ids = grams(prefix(buf), np.arange(len(buf) - length + 1), length) if unit == WORD or (n > hot).any() else None
+        # of words a window's identifier stands in place of its symbols
+        data, more = (buf.tobytes(), length) if unit == 1 else (ids.tobytes(), 1)
+        few = np.flatnonzero(n <= hot)
+        for a in range(0, len(few), 2048):
+            s = few[a : a + 2048]
+            texts = [data[x:y] for x, y in zip(((off[row[s]] + lo[s]) * unit).tolist(), ((off[row[s]] + hi[s] + more) * unit).tolist(), strict=True)]
+            yield pa.record_batch([*(pa.array(c[s]) for c in (bucket, k1, k2, at, lo)), pa.array(texts, pa.binary()), pa.nulls(len(s), pa.int64())], names)
+        many = np.flatnonzero(n > hot)
+        for a in range(0, len(many), 512):
+            s = many[a : a + 512]
+            size = hi[s] - lo[s] + 1
+            which = np.repeat(s, size)
+            start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[s], size)
+            h = ids[off[row[which]] + start]
+            yield pa.record_batch([*(pa.array(c[which]) for c in (bucket, k1, k2, at)), pa.array(start), pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64))], names)
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -300,18 +303,19 @@ def _spans(rows: DataFrame, hot: int | None, length: int, q: int, unit: int) ->
     release(spark)
     texts = rows.dropDuplicates(["k1", "k2"])
 
-    def joined(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "at", "lo", "hi")).alias("anchors"))  # of one text
-        return texts.join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
-
-    contexts = joined(shared.where(F.col("n") <= hot)).mapInArrow(lambda batches: _contexts(batches, length, unit), "bucket bigint, k1 bigint, k2 bigint, at bigint, lo bigint, context binary")
+    lists = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "at", "lo", "hi", "n")).alias("anchors"))  # of one text
+    texts = texts.join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "anchors")
+    met = settle(texts.mapInArrow(lambda batches: _contexts(batches, length, unit, hot), _CONTEXTS))
+    release(spark)
+    contexts = met.where("context is not null").select("bucket", "k1", "k2", "at", "lo", "context")
     out = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _refined(batches, length, q, unit), "k1 bigint, k2 bigint, a bigint, b bigint")
     made = [settle(out)]
-    if not shared.where(F.col("n") > hot).isEmpty():
-        windows = settle(joined(shared.where(F.col("n") > hot)).mapInArrow(lambda batches: _windows(batches, length, unit), "bucket bigint, window bigint, k1 bigint, k2 bigint, lo bigint"))
+    windows = met.where("context is null").select("bucket", "window", "k1", "k2", "lo")
+    if not windows.isEmpty():
         twice = settle(windows.groupBy("bucket", "window").agg(F.count("*").alias("n")).where("n > 1"))
         made.append(settle(windows.join(twice.hint("merge"), ["bucket", "window"]).select("k1", "k2", F.col("lo").alias("a"), (F.col("lo") + length).alias("b"))))
-        remove(spark, windows, twice)
+        remove(spark, twice)
+    remove(spark, met)
     remove(spark, shared)
     release(spark)
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
