@@ -29,6 +29,23 @@ def is_cjk_font(name: Column) -> Column:
     return F.lower(name).rlike("|".join(CJK_FONTS))
 
 
+#: Parts of font names that tell a character collection, tried in this order.
+ORDERINGS = {
+    "GB1": ["simsun", "simhei", "simkai", "fangsong", "stxihei", "stheiti", "stfangsong", "stkaiti", "stsong", "songti", "heiti", "adobesong", "adobeheiti", "adobekaiti", "adobefangsong", "sourcehansanssc", "sourcehanserifsc", "notosanssc", "notoserifsc"],
+    "CNS1": ["mingliu", "pminglu", "dfkai", "dflihei", "mshei", "msson", "sourcehansanstc", "sourcehanseriftc", "notosanstc", "notoseriftc"],
+    "Japan1": ["hiragi", "mincho", "gothic", "kozuka", "kozgo", "kozmn", "msmincho", "msgothic", "meiryo", "sourcehansansjp", "sourcehanserifserijp", "notosansjp", "notoserifjp"],
+    "Korea1": ["batang", "dotum", "gulim", "gungsuh", "malgun", "sourcehansanskr", "sourcehanserifkr", "notosanskr", "notoserifkr"],
+}
+
+
+def cjk_ordering(name: Column) -> Column:
+    """The character collection that a font's name tells; empty if none."""
+    out = F.lit("")
+    for ordering in reversed(ORDERINGS):
+        out = F.when(F.lower(name).rlike("|".join(ORDERINGS[ordering])), ordering).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
 def is_cjk_cmap(name: Column) -> Column:
     return name.rlike(f"^({'|'.join(CJK_CMAPS)})")
 

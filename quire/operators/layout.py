@@ -1,8 +1,9 @@
 """Layout operators over positioned text runs (glyphs) and blocks.
 
 glyphs: doc_id, page_num, seq, font, font_size, x, y, w, s, bold. All operators keep to the partitioning by doc_id that
-``synthetic`` makes: a page never leaves the task that holds its document, so windows and groups on
-(doc_id, page_num, ...) add no shuffle. Every order ends with seq, so results are deterministic.
+``synthetic`` makes: a page never leaves the task that holds its document, so windows, groups and joins on
+(doc_id, page_num, ...) add no shuffle (joins by ``plans.spread.colocated``). Sides of joins grow with the corpus, so they carry a
+merge hint and are never broadcast. Every order ends with seq, so results are deterministic.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.spread import colocated
+
 PAGE = ["doc_id", "page_num"]
 WIDTH, HEIGHT = 612, 792
 
 
 def synthetic(documents: DataFrame) -> DataFrame:
     """Text set on pages: 90 characters a line, 35 lines a page, a gap after each 5 lines; integers throughout."""
+    colocated(documents.sparkSession)
     rows = documents.where("text is not null").select("doc_id", "text").repartition("doc_id")
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,13 +55,42 @@ def columns(glyphs: DataFrame) -> DataFrame:
     return rows(glyphs, by="x")
 
 
-def smart_text(glyphs: DataFrame) -> DataFrame:
+def smart_text(glyphs: DataFrame, order: str = "seq") -> DataFrame:
     """Page text of ordered runs: a new line where y moves by more than 3, a space where the gap exceeds 0.3 of the font size."""
-    w = Window.partitionBy(*PAGE).orderBy("seq")
+    w = Window.partitionBy(*PAGE).orderBy(order)
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
     lead = F.when(F.abs(F.col("y") - F.lag("y").over(w)) > 3, "\n").when(gap > 0.3 * F.col("font_size"), " ").otherwise("")
-    parts = glyphs.select(*PAGE, "seq", F.concat(F.coalesce(lead, F.lit("")), "s").alias("part"))
-    return parts.groupBy(*PAGE).agg(joined([F.col("seq")], F.col("part")).alias("text"))
+    parts = glyphs.select(*PAGE, order, F.concat(F.coalesce(lead, F.lit("")), "s").alias("part"))
+    return parts.groupBy(*PAGE).agg(joined([F.col(order)], F.col("part")).alias("text"))
+
+
+def smart_order(glyphs: DataFrame) -> DataFrame:
+    """The runs with ``place`` on their page: runs are clustered, clusters put in reading order, and their runs in lines within each."""
+    found = clusters(glyphs)
+    order = reading_order(cluster_blocks(glyphs, found)).select(*PAGE, F.col("block_id").alias("cluster"), F.col("place").alias("at"))
+    runs = glyphs.join(found.hint("merge"), [*PAGE, "seq"]).join(order.hint("merge"), [*PAGE, "cluster"])
+    inner = within_blocks(runs, "cluster").select(*PAGE, "seq", F.col("place").alias("inner"))
+    w = Window.partitionBy(*PAGE).orderBy("at", "inner")
+    return runs.join(inner.hint("merge"), [*PAGE, "seq"]).withColumn("place", F.row_number().over(w)).drop("at", "inner")
+
+
+def smart_reading_text(glyphs: DataFrame) -> DataFrame:
+    """Page text in smart order: cluster, order, flatten, build."""
+    return smart_text(smart_order(glyphs), "place")
+
+
+def cluster_text_blocks(glyphs: DataFrame) -> DataFrame:
+    """Clusters as blocks with their text, as ``classify`` takes them."""
+    ordered = smart_order(glyphs)
+    return ordered.groupBy(*PAGE, F.col("cluster").alias("block_id")).agg(
+        F.min("x").alias("min_x"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("font_size")).alias("max_y"),
+        F.avg("font_size").alias("font"), F.max("bold").alias("bold"), joined([F.col("place")], F.col("s"), " ").alias("text"), F.min(F.struct("place", "s"))["s"].alias("first"),
+    )
+
+
+def page_map(texts: DataFrame) -> DataFrame:
+    """doc_id and a map from page number to text."""
+    return texts.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_num", "text")))).alias("pages"))
 
 
 def line_text(glyphs: DataFrame, gap: float = 5.0) -> DataFrame:
@@ -143,7 +176,7 @@ def merge_edges(glyphs: DataFrame, sized: bool = False) -> DataFrame:
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = boxes.withColumn("d", F.explode(near)).select(*PAGE, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("font_size").alias("af"), "t", "n")
     b = boxes.select(*PAGE, "cx", "cy", F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("font_size").alias("bf"))
-    return a.join(b, [*PAGE, "cx", "cy"]).where("a < b").where(F.expr(MERGE_SIZED if sized else MERGE)).select(*PAGE, "a", "b")
+    return a.join(b.hint("merge"), [*PAGE, "cx", "cy"]).where("a < b").where(F.expr(MERGE_SIZED if sized else MERGE)).select(*PAGE, "a", "b")
 
 
 #: Vertical overlap above 0.3 of either font and a horizontal gap below t; or 0.6 of the narrower width in common and a vertical gap below 1.5 t.
@@ -195,14 +228,14 @@ def range_join(boxes: DataFrame, glyphs: DataFrame, cell: int = 64) -> DataFrame
 
     a = boxes.withColumn("cx", F.explode(cells("min_x", "max_x"))).withColumn("cy", F.explode(cells("min_y", "max_y")))
     b = glyphs.withColumn("cx", F.explode(cells("x", "x + w"))).withColumn("cy", F.explode(cells("y", "y + font_size")))
-    both = a.join(b, [*PAGE, "cx", "cy"]).where("x <= max_x and x + w >= min_x and y <= max_y and y + font_size >= min_y")
+    both = a.join(b.hint("merge"), [*PAGE, "cx", "cy"]).where("x <= max_x and x + w >= min_x and y <= max_y and y + font_size >= min_y")
     return both.where(F.expr(f"cx = greatest(floor(min_x / {cell}), floor(x / {cell})) and cy = greatest(floor(min_y / {cell}), floor(y / {cell}))")).drop("cx", "cy")
 
 
-def classify(blocks: DataFrame, glyphs: DataFrame) -> DataFrame:
+def classify(blocks: DataFrame, glyphs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Type of each block by its place, fonts, text and the runs around it (its box grown by three times its font size).
 
-    The first rule that fits decides: Unknown, Header, Footer, Caption, List, Footnote, Title, Paragraph.
+    ``pages`` (doc_id, page_num, height) are the pages' heights (MediaBox); without a row a page is ``HEIGHT`` high. The first rule that fits decides: Unknown, Header, Footer, Caption, List, Footnote, Title, Paragraph.
     """
     grown = blocks.select(*PAGE, F.col("block_id").alias("box_id"), (F.col("min_x") - 3 * F.col("font")).alias("min_x"), (F.col("max_x") + 3 * F.col("font")).alias("max_x"), (F.col("min_y") - 3 * F.col("font")).alias("min_y"), (F.col("max_y") + 3 * F.col("font")).alias("max_y"))
     context = range_join(grown, glyphs.select(*PAGE, "x", "y", "w", "font_size", "s"))
@@ -211,18 +244,21 @@ def classify(blocks: DataFrame, glyphs: DataFrame) -> DataFrame:
         F.max(F.col("s").rlike(r"\[\d+\]|[⁰¹²³⁴-⁹₀-₉]")).alias("near_note"), F.avg("font_size").alias("near_font"),
     )
     page = glyphs.groupBy(*PAGE).agg(F.avg("font_size").alias("page_font"), F.max("font_size").alias("page_max"))
-    out = blocks.join(context, [*PAGE, "block_id"], "left").join(page, PAGE)
+    out = blocks.join(context.hint("merge"), [*PAGE, "block_id"], "left").join(page.hint("merge"), PAGE)
+    if pages is not None:
+        out = out.join(pages.select(*PAGE, F.col("height").alias("page_height")).hint("merge"), PAGE, "left")
+    height = F.coalesce("page_height", F.lit(HEIGHT)) if pages is not None else F.lit(HEIGHT)
     cy = (F.col("min_y") + F.col("max_y")) / 2
     first_words = F.filter(F.split("first", r"\s+"), lambda x: x != "")
     capital = F.size(F.filter(first_words, lambda x: x.rlike(r"^[A-Z\x{80}-\x{5BF}\x{600}-\x{7BF}]"))) > 0.6 * F.size(first_words)
     title = ((F.col("font") > 1.2 * F.col("page_font")) | F.col("bold")) & (F.octet_length("first") <= 100) & (F.size(first_words) >= 1) & (capital | F.col("bold"))
     kind = (
         F.when(F.trim("text") == "", "Unknown")
-        .when(cy > 0.9 * HEIGHT, "Header")
-        .when(cy < 0.1 * HEIGHT, "Footer")
+        .when(cy > 0.9 * height, "Header")
+        .when(cy < 0.1 * height, "Footer")
         .when(F.col("text").rlike(r"^(Figure|Table|Fig\.|Tab\.)\s+\d+") | F.coalesce("near_caption", F.lit(False)), "Caption")
         .when(F.col("text").rlike(LIST) | F.coalesce("near_list", F.lit(False)), "List")
-        .when(((F.col("font") < 0.8 * F.col("page_font")) & (cy < 0.3 * HEIGHT)) | F.coalesce("near_note", F.lit(False)), "Footnote")
+        .when(((F.col("font") < 0.8 * F.col("page_font")) & (cy < 0.3 * height)) | F.coalesce("near_note", F.lit(False)), "Footnote")
         .when(title | (F.col("font") > 1.2 * F.col("near_font")), "Title")
         .otherwise("Paragraph")
     )
@@ -245,7 +281,7 @@ def within(blocks: DataFrame, radius: float) -> DataFrame:
     c = geometry(blocks).select(*PAGE, "block_id", "cx", "cy", F.floor(F.col("cx") / radius).alias("gx"), F.floor(F.col("cy") / radius).alias("gy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = c.withColumn("d", F.explode(steps)).select(*PAGE, F.col("block_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
-    both = a.join(c.withColumnRenamed("block_id", "b"), [*PAGE, "gx", "gy"])
+    both = a.join(c.withColumnRenamed("block_id", "b").hint("merge"), [*PAGE, "gx", "gy"])
     return both.where((F.col("a") != F.col("b")) & (F.pow(F.col("ax") - F.col("cx"), 2) + F.pow(F.col("ay") - F.col("cy"), 2) <= radius * radius)).select(*PAGE, "a", "b")
 
 
@@ -302,7 +338,7 @@ def styled_sentences(glyphs: DataFrame) -> DataFrame:
 
 def cluster_blocks(glyphs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Bounds, mean font size and number of runs of each cluster."""
-    runs = glyphs.join(clusters, [*PAGE, "seq"])
+    runs = glyphs.join(clusters.hint("merge"), [*PAGE, "seq"])
     return runs.groupBy(*PAGE, F.col("cluster").alias("block_id")).agg(
         F.min("x").alias("min_x"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("font_size")).alias("max_y"), F.avg("font_size").alias("font"), F.count("*").alias("n")
     )

@@ -202,7 +202,17 @@ def merge_edges_sized(spark, sf_dir):
     return layout.merge_edges(glyphs(spark, sf_dir), sized=True)
 
 
-@query()
+def _clusters(rule: str, cell: str) -> str:
+    return f"""WITH RECURSIVE ed AS MATERIALIZED ({_edges(rule, cell)}), runs AS MATERIALIZED ({_G} SELECT doc_id, page_num, seq FROM g),
+both_ways AS MATERIALIZED (SELECT doc_id, page_num, a, b FROM ed UNION ALL SELECT doc_id, page_num, b, a FROM ed),
+cc(doc_id, page_num, seq, cluster) USING KEY (doc_id, page_num, seq) AS (
+  SELECT doc_id, page_num, seq, seq FROM runs
+  UNION SELECT n.doc_id, n.page_num, n.b, min(c.cluster) FROM cc c JOIN both_ways n ON n.doc_id = c.doc_id AND n.page_num = c.page_num AND n.a = c.seq
+    JOIN recurring.cc r ON r.doc_id = n.doc_id AND r.page_num = n.page_num AND r.seq = n.b WHERE c.cluster < r.cluster GROUP BY ALL)
+SELECT doc_id, page_num, seq, cluster FROM cc"""
+
+
+@query(_clusters(layout.MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
 def clusters_sized(spark, sf_dir):
     return layout.clusters(glyphs(spark, sf_dir), sized=True)
 
@@ -242,11 +252,22 @@ def merge_edges(spark, sf_dir):
     return layout.merge_edges(glyphs(spark, sf_dir))
 
 
-@query()
+@query(_clusters(layout.MERGE, "t"))
 def clusters(spark, sf_dir):
     return layout.clusters(glyphs(spark, sf_dir))
 
 
+@query()
+def smart_reading_text(spark, sf_dir):
+    return layout.smart_reading_text(glyphs(spark, sf_dir))
+
+
+@query()
+def classify_clusters(spark, sf_dir):
+    g = glyphs(spark, sf_dir)
+    return layout.classify(layout.cluster_text_blocks(g), g)
+
+
 @query(_G + " SELECT doc_id, page_num, seq FROM g WHERE x <= 250 AND x + w >= 100 AND y <= 700 AND y + font_size >= 500")
 def spatial_range_query(spark, sf_dir):
     g = glyphs(spark, sf_dir)
@@ -360,7 +381,14 @@ def plain_text_running_mean(spark, sf_dir):
     return layout.plain_text(glyphs(spark, sf_dir))
 
 
-@query()
+# lines of the generated pages lie farther apart than a sentence reaches, so its first run and the last one have one baseline
+@query(
+    _G
+    + """, e AS (SELECT *, CASE WHEN lag(font) OVER o IS DISTINCT FROM font OR abs(font_size - lag(font_size) OVER o) > 0.1 OR abs(y - lag(y) OVER o) > 5 THEN 1 ELSE 0 END AS fresh
+  FROM g WINDOW o AS (PARTITION BY doc_id, page_num ORDER BY seq)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_num ORDER BY seq) AS k FROM e)
+SELECT doc_id, page_num, min(seq) AS seq, first(font) AS font, CAST(first(font_size) AS DOUBLE) AS font_size, CAST(first(y) AS DOUBLE) AS y, string_agg(s, '' ORDER BY seq) AS s FROM k GROUP BY doc_id, page_num, k"""
+)
 def styled_sentences(spark, sf_dir):
     return layout.styled_sentences(glyphs(spark, sf_dir))
 
@@ -468,3 +496,20 @@ def pdf_objects(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_stats(spark, sf_dir)
+
+
+# -- fonts ---------------------------------------------------------------------------------------------------------
+_FONT_NAMES = ["ABC+SimSun", "Helvetica", "MS-Gothic", "MingLiU", "BatangChe", "NotoSansSC", "Hiragino Mincho", ""]
+
+
+@query(
+    "WITH n AS (SELECT p_partkey, ["
+    + ", ".join(f"'{n}'" for n in _FONT_NAMES)
+    + f"][1 + CAST(p_partkey % {len(_FONT_NAMES)} AS BIGINT)] AS n FROM part) SELECT p_partkey, n, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(n), '{'|'.join(parts)}') THEN '{name}'" for name, parts in strings.ORDERINGS.items())
+    + " ELSE '' END AS ordering FROM n"
+)
+def cjk_ordering(spark, sf_dir):
+    names = F.array(*map(F.lit, _FONT_NAMES))
+    named = read(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (1 + F.col("p_partkey") % len(_FONT_NAMES)).cast("int")).alias("n"))
+    return named.select("p_partkey", "n", strings.cjk_ordering(F.col("n")).alias("ordering"))

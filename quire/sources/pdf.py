@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.layout import joined
+from quire.operators.layout import anchored, joined
 from quire.sources.pdfkernel import Document, Ref, page_glyphs, shown
 
 GLYPHS = "path string, page_num bigint, seq bigint, font string, font_size double, x double, y double, w double, s string, error string"
@@ -49,15 +49,19 @@ def _read(path: str, content: bytes, passwords: tuple[str, ...]) -> Iterator[tup
     try:
         doc = Document.open(content, passwords)
         pages = doc.pages()
-    except (ValueError, RecursionError) as e:
-        yield path, None, None, None, None, None, None, None, None, str(e)
+    except Exception as e:  # whatever a damaged file leads to is that file's error
+        yield path, None, None, None, None, None, None, None, None, _said(e)
         return
     for number, page in enumerate(pages, 1):
         try:
             for seq, (font, size, x, y, w, s) in enumerate(page_glyphs(doc, page)):
                 yield path, number, seq, font, float(size), float(x), float(y), float(w), s, None
-        except (ValueError, TypeError, KeyError, RecursionError) as e:
-            yield path, number, None, None, None, None, None, None, None, str(e)
+        except Exception as e:
+            yield path, number, None, None, None, None, None, None, None, _said(e)
+
+
+def _said(error: Exception) -> str:
+    return str(error) if isinstance(error, ValueError) else f"{type(error).__name__}: {error}"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -73,10 +77,11 @@ def for_layout(glyphs: DataFrame) -> DataFrame:
     return shown.select(F.xxhash64("path").alias("doc_id"), "page_num", "seq", "font", "font_size", "x", "y", "w", "s", F.lower("font").rlike("bold|black").alias("bold"), F.floor("y").alias("phys"))
 
 
-def page_text(glyphs: DataFrame) -> DataFrame:
-    """Characters of a page by baselines from the top, each from left to right."""
-    shown = glyphs.where("s is not null and s <> '\n'").withColumn("line", -F.round("y").cast("bigint"))
-    lines = shown.groupBy("path", "page_num", "line").agg(joined([F.col("x"), F.col("seq")], F.col("s")).alias("t"))
+def page_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Characters of a page by lines from the top, each from left to right; a line holds what is at most ``tolerance`` below its first."""
+    shown = glyphs.where("s is not null and s <> '\n'").select("path", "page_num", "x", "y", "seq", "s")
+    lined = anchored(shown, ["path", "page_num"], tolerance)
+    lines = lined.groupBy("path", "page_num", "line").agg(joined([F.col("x"), F.col("seq")], F.col("s")).alias("t"))
     return lines.groupBy("path", "page_num").agg(joined([F.col("line")], F.col("t"), "\n").alias("text"))
 
 
@@ -91,8 +96,8 @@ def metadata(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame
                 try:
                     doc = Document.open(content, passwords)
                     rows.append((path, version, len(doc.pages()), list(doc.info().items()), doc.recovered, None))
-                except (ValueError, RecursionError) as e:
-                    rows.append((path, version, None, None, None, str(e)))
+                except Exception as e:
+                    rows.append((path, version, None, None, None, _said(e)))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "version", "pages", "info", "recovered", "error"])
@@ -129,8 +134,8 @@ def part(documents: DataFrame, name: str, passwords: tuple[str, ...] = ()) -> Da
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = [(path, *r, None) for r in rows_of(Document.open(content or b"", passwords))]
-                except (ValueError, TypeError, KeyError, RecursionError) as e:
-                    rows = [(path, *[None] * len(fields), str(e))]
+                except Exception as e:
+                    rows = [(path, *[None] * len(fields), _said(e))]
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.record_batch([pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 

@@ -198,16 +198,22 @@ def run_length(data: bytes) -> bytes:
         n = data[at]
         out += data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n)
         at += n + 2 if n < 128 else 2
+        if len(out) > STREAM_BYTES:
+            raise PdfError("a stream is too long")
     return bytes(out)
 
 
 def lzw(data: bytes, early: int = 1) -> bytes:
-    bits = "".join(f"{b:08b}" for b in data)
+    held, bits, size = 0, 0, 0  # bits that are read but not used yet
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     table, width, at, last, out = list(first), 9, 0, b"", []
-    while at + width <= len(bits):
-        code = int(bits[at : at + width], 2)
-        at += width
+    while True:
+        while bits < width and at < len(data):
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFF, bits + 8, at + 1
+        if bits < width:
+            break
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
         if code == 257:
             break
         if code == 256:
@@ -217,6 +223,9 @@ def lzw(data: bytes, early: int = 1) -> bytes:
             break
         entry = table[code] if code < len(table) else last + last[:1]
         out.append(entry)
+        size += len(entry)
+        if size > STREAM_BYTES:
+            raise PdfError("a stream is too long")
         if last:
             table.append(last + entry[:1])
         last = entry

@@ -55,13 +55,21 @@ def test_sentences_compare_with_their_first_run(spark):
     assert [r.s for r in layout.styled_sentences(g).orderBy("seq").collect()] == ["ab", "c"]
 
 
-def test_extractor(spark):
+def test_extractor(spark, tmp_path):
     g = line(spark, (1, 0, 700, 10, "one"), (1, 20, 700, 10, "two"), (2, 0, 500, 10, "three"))
     texts = lambda e: [r.text for r in e.extract().orderBy("page_num").collect()]
     assert texts(Extractor(g)) == texts(Extractor(g).smart_ordering()) == ["one two", "three"]
     assert texts(Extractor(g).pages(2)) == ["three"]
     assert Extractor(g).mode("document").separator("|").extract().first().text == "one two|three"
     assert Extractor(g).mode("structured").extract().count() == 2
+    assert Extractor(g).mode("structured").smart_ordering().extract().count() == 2
+    assert Extractor(g).mode("map").extract().first().pages == {1: "one two", 2: "three"}
+    heights = spark.createDataFrame([(1, 1, 100.0)], "doc_id bigint, page_num bigint, height double")
+    assert {r.page_num: r.type for r in Extractor(g).mode("structured").page_heights(heights).extract().collect()}[1] == "Header"
+    upper = lambda frames: (f.assign(text=f["text"].str.upper()) for f in frames)
+    assert [r.text for r in Extractor(g).pages(2).apply(upper, "doc_id bigint, page_num bigint, text string").extract().collect()] == ["THREE"]
+    Extractor(g).save(str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["one two", "three"]
     assert Extractor(g).mode("styled").extract().count() == 2
     with pytest.raises(ValueError, match="unknown mode"):
         Extractor(g).mode("other")

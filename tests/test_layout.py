@@ -69,3 +69,19 @@ def test_edges_by_the_size_of_the_page(spark):
         page = [(doc, 1, i, float(rng.randrange(int(wide))), float(rng.randrange(int(wide))), float(rng.randrange(0, 30)), float(rng.choice((8, 12, 30))), "x") for i in range(n)]
         got = {(r.a, r.b) for r in layout.merge_edges(spark.createDataFrame(page, GLYPH), sized=True).collect()}
         assert got == brute(page, n) and got
+
+
+def test_smart_order_goes_through_columns(spark):
+    # two columns of two lines each, emitted line by line across both; the left column is read first
+    rows, at = [], 0
+    for line in range(2):
+        for column, x in (("L", 50.0), ("R", 400.0)):
+            rows.append((1, 1, at, x, 700.0 - 14 * line, 60.0, 12.0, f"{column}{line}"))
+            at += 1
+    rows.append((1, 2, 0, 50.0, 700.0, 60.0, 12.0, "alone"))
+    table = spark.createDataFrame(rows, GLYPH).selectExpr("*", "'F' as font", "false as bold")
+    got = {r.page_num: r.text for r in layout.smart_reading_text(table).collect()}
+    assert got == {1: "L0\nL1\nR0\nR1", 2: "alone"}
+    blocks = {(r.page_num, r.block_id): r.text for r in layout.classify(layout.cluster_text_blocks(table), table).collect()}
+    assert blocks == {(1, 0): "L0 L1", (1, 1): "R0 R1", (2, 0): "alone"}
+    assert layout.smart_reading_text(table.limit(0)).count() == 0

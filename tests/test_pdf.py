@@ -2,6 +2,7 @@
 
 import base64
 import json
+import re
 import zlib
 
 import pytest
@@ -189,3 +190,21 @@ def test_limits(monkeypatch):
 def test_metadata_as_lines(spark):
     info = spark.createDataFrame([({"Zed": "z", "_HasXMP": "true", "Author": "me", "Title": "T", "Subject": ""},), ({},)], "info map<string,string>")
     assert [r[0] for r in info.select(documents.printed(F.col("info"))).collect()] == ["Title: T\nAuthor: me\nZed: z", ""]
+
+
+def test_any_damage_is_an_error_of_its_file(spark):
+    good = pdfsample.make("One line", "t")
+    bad = re.sub(rb"/Resources\s*<<", b"/Resources [ 1 ] /Other <<", good)
+    assert bad != good
+    rows = spark.createDataFrame([("good", bytearray(good)), ("bad", bytearray(bad))], "path string, content binary")
+    got = pdf.glyphs(rows).collect()
+    assert any(r.path == "good" and r.s == "O" for r in got) and all(r.error for r in got if r.path == "bad")
+
+
+def test_filters_have_a_limit(monkeypatch):
+    assert pdfkernel.run_length(b"\x02abc\xfed\x80zz") == b"abcddd"
+    assert pdfkernel.lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    monkeypatch.setattr(pdfkernel, "STREAM_BYTES", 5)
+    for unpack, data in ((pdfkernel.run_length, b"\xfed" * 9), (pdfkernel.lzw, bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]))):
+        with pytest.raises(pdfkernel.PdfError, match="too long"):
+            unpack(data)
