@@ -9,9 +9,12 @@ Template: ``### role: text</turn>`` and a newline for each message. Inside roles
 backslash becomes ``\\b``, ``#`` becomes ``\\h``, ``</turn>`` becomes ``<\\sturn>`` and, in roles, a
 colon becomes ``\\c``; so no marker can occur in them and the change can be undone.
 
-Edge cases: a null text or role counts as empty; a null conv_id is a conversation of its own; repeated rows are
+A conversation is one row of the result, so its log is sorted and folded by one task: that is the bound on a conversation's size (a
+row of 2 GB). Conversations are dealt by id, and no two need to meet.
+
+Edge cases: a very long text is escaped and rendered whole; a null text or role counts as empty; a null conv_id is a conversation of its own; repeated rows are
 repeated turns; a delta, edit or regeneration before any message opens a message of its own role;
-an unknown or null kind counts as ``message``; an empty log gives an empty table; other columns are ignored.
+an unknown or null kind counts as ``message``; an empty log gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -127,7 +127,25 @@ def test_chat_round_trip_and_folding(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, seq bigint, kind string, role string, text string")).count() == 0
 
 
+def test_chat_other_columns_and_long_texts(spark):
+    long = "a#\\</turn>" * 50_000
+    log = [(1, 0, "message", "user", "hi", "x", 1), (1, 1, "message", "assistant", long, "y", 2)]
+    out = chat.format_chats(spark.createDataFrame(log, "conv_id bigint, seq bigint, kind string, role string, text string, formatted string, message int"))
+    assert [tuple(t) for t in out.select(chat.parse(F.col("formatted")).alias("t")).first().t] == [("user", "hi"), ("assistant", long)]
+
+
 # -- 5 WARC
+def test_warc_reads_by_ranges_whatever_the_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 4_000)
+    rng = random.Random(4)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2000))), "own", 7) for i in range(60)]
+    _, index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string, path string, offset int"), archive_bytes=1 << 20)
+    assert index.select("path").distinct().count() == 1
+    back = warc.read(index)
+    assert back.rdd.getNumPartitions() >= 4  # one archive, several tasks
+    assert {(r.page_id, bytes(r.payload).decode()) for r in back.collect()} == {(r[0], r[2]) for r in rows}
+
+
 def test_warc(spark):
     rows = [(5, "http://a/\r\nX: y", "same"), (3, None, "same"), (7, "http://b/", None), (8, "http://c/", ""), (None, "http://d/", "same"), (9, "http://e/", "\r\n\r\nWARC/1.1 " + "ü" * 70_000), (3, None, "same")]
     _, index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), archive_bytes=60_000)
