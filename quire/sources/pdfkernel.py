@@ -541,7 +541,8 @@ class Font:
     """Codes of a font as (text, width in thousandths).
 
     A ToUnicode map comes first. Then composite fonts go by their character map, simple ones by a named encoding and else
-    by WinAnsi; a table of differences counts only for fonts other than Type 1 and TrueType.
+    by WinAnsi. Codespace ranges of a map tell the lengths of a composite font's codes; codes that neither such a map nor the one
+    it uses (usecmap) holds, and bytes outside all ranges, are replacement characters; a table of differences counts only for fonts other than Type 1 and TrueType.
     """
 
     def __init__(self, doc: Document, head: dict):
@@ -551,6 +552,8 @@ class Font:
         self.wide = kind == "Type0"
         self.first, self.widths = get(head.get("FirstChar")) or 0, [get(w) for w in get(head.get("Widths")) or []]
         self.map: dict[bytes, str] = {}
+        self.spaces: list[tuple[bytes, bytes]] = []
+        self.used: str | None = None
         encoding = get(head.get("Encoding"))
         below = (get(get(x) if isinstance(x := head.get("DescendantFonts"), Ref) else x) or [None])[0] if self.wide else None
         below = get(below) if isinstance(get(below), dict) else {}
@@ -576,7 +579,11 @@ class Font:
             if not isinstance(t, Word):
                 held.append(t)
                 continue
-            if t == "endbfchar":
+            if t == "endcodespacerange":
+                self.spaces += [(a, b) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes) and 0 < len(a) == len(b)]
+            elif t == "usecmap" and held and isinstance(held[-1], (Name, bytes)):
+                self.used = codec_of(text(held[-1]) if isinstance(held[-1], bytes) else str(held[-1]))
+            elif t == "endbfchar":
                 for a, b in zip(held[::2], held[1::2], strict=False):
                     if isinstance(a, bytes) and isinstance(b, bytes):
                         self.map[a] = b.decode("utf-16-be", "replace")
@@ -598,12 +605,23 @@ class Font:
             at += size
             n = int.from_bytes(code, "big")
             width = self.widths[n - self.first] if 0 <= n - self.first < len(self.widths) else 0
-            yield self.map.get(code) or code.decode(self.codec, "replace"), width or 0
+            yield self._text(code), width or 0
+
+    def _text(self, code: bytes) -> str:
+        if self.wide and self.spaces and (self.map or self.used):
+            return self.map[code] if code in self.map else code.decode(self.used, "replace") if self.used and self._inside(code) else "\ufffd"
+        return self.map.get(code) or code.decode(self.codec, "replace")
+
+    def _inside(self, code: bytes) -> bool:
+        return any(len(a) == len(code) and a <= code <= b for a, b in self.spaces)
 
     def _size(self, raw: bytes, at: int) -> int:
-        """Bytes of the code at a position: one or two, by the lead byte in character maps of mixed lengths."""
+        """Bytes of the code at a position: by codespace ranges, the shortest first; without them one or two, by the lead byte in
+        character maps of mixed lengths."""
         if not self.wide:
             return 1
+        if self.spaces:
+            return next((n for n in range(1, 5) if at + n <= len(raw) and self._inside(raw[at : at + n])), 1)
         if self.codec == "utf-16-be" or raw[at : at + 2] in self.map:
             return 2
         lead = raw[at]

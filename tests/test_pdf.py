@@ -82,6 +82,23 @@ def test_lzw_and_cmaps():
     assert [g[0] for g in font.glyphs(b"\x00\x01\x00\x02\x00\x42")] == ["A", "中", "b"]
 
 
+def test_codespaces_and_used_maps():
+    def texts(cmap, raw, **more):
+        font = pdfkernel.Font(pdfkernel.Document(b""), {"Subtype": "Type0", "ToUnicode": pdfkernel.Stream({}, cmap)} | more)
+        return [g[0] for g in font.glyphs(raw)]
+
+    mixed = b"2 begincodespacerange <00> <7F> <8140> <9FFC> endcodespacerange 2 beginbfchar <41> <0061> <8140> <4E2D> endbfchar"
+    assert texts(mixed, b"\x41\x81\x40\x42\xff\x41") == ["a", "中", "\ufffd", "\ufffd", "a"]
+    used = b"/Identity-H usecmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0041> endbfchar"
+    assert texts(used, b"\x00\x01\x4e\x2d") == ["A", "中"]
+    assert texts(used.replace(b"Identity-H", b"90ms-RKSJ-H"), "中".encode("cp932")) == ["中"]
+    # a code cut off at the end, an empty text and a map without ranges
+    assert texts(used, b"\x00\x01\x4e") == ["A", "\ufffd"] and texts(used, b"") == []
+    assert texts(b"1 beginbfchar <0001> <0041> endbfchar", b"\x00\x01\x00\x42") == ["A", "B"]
+    # ranges count for composite fonts alone
+    assert texts(mixed, b"\x41\x42", Subtype="Type1") == ["a", "B"]
+
+
 @pytest.mark.parametrize(("source", "value"), [(b"(a\\(b\\)\\101(c)\\\n)", b"a(b)A(c)"), (b"<48 65 6C6>", b"Hel`"), (b"/A#20B", "A B"), (b"[1 2 0 R -.5]", [1, pdfkernel.Ref(2, 0), -0.5]), (b"<< /A << /B true >> /C null >>", {"A": {"B": True}, "C": None}), (b"% x\n7", 7)])
 def test_lexer(source, value):
     assert pdfkernel.Lexer(source).value() == value
