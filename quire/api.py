@@ -19,7 +19,7 @@ if TYPE_CHECKING:
 class Extractor:
     """``Extractor(glyphs).pages(1, 2).mode("plain").smart_ordering().extract()``; every call gives a new builder.
 
-    Modes: plain (page texts), document (one text per document), map (page number to text), styled (sentences of one style),
+    Modes: plain (page texts), document (one text per document, of chosen pages in the order they are given), map (page number to text), styled (sentences of one style),
     structured (classified blocks). With smart ordering runs are clustered, clusters put in reading order and blocks are clusters; else
     texts follow baselines and blocks are lines. ``heights`` (doc_id, page_num, height) are the pages' heights for structured ones.
     """
@@ -71,4 +71,4 @@ class Extractor:
         texts = layout.smart_reading_text(rows) if self.smart else layout.plain_text(rows)
         if self.kind == "map":
             return layout.page_map(texts)
-        return texts if self.kind == "plain" else layout.document_text(texts, self.between)
+        return texts if self.kind == "plain" else layout.document_text(texts, self.between, self.chosen)

@@ -106,8 +106,13 @@ def page_glyphs_text(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy(*PAGE).agg(joined([F.col("seq")], F.col("s"), " ").alias("text"))
 
 
-def document_text(pages: DataFrame, separator: str) -> DataFrame:
-    return pages.groupBy("doc_id").agg(joined([F.col("page_num")], F.col("text"), separator).alias("text"), F.count("*").alias("pages"))
+def document_text(pages: DataFrame, separator: str, order: tuple[int, ...] = ()) -> DataFrame:
+    """Page texts joined by page number, or in the given order of pages, where a page may come more than once."""
+    if not order:
+        return pages.groupBy("doc_id").agg(joined([F.col("page_num")], F.col("text"), separator).alias("text"), F.count("*").alias("pages"))
+    places = F.filter(F.transform(F.array(*map(F.lit, order)), lambda n, i: F.when(n == F.col("page_num"), i)), lambda i: i.isNotNull())
+    placed = pages.select("doc_id", "text", F.explode(places).alias("place"))
+    return placed.groupBy("doc_id").agg(joined([F.col("place")], F.col("text"), separator).alias("text"), F.count("*").alias("pages"))
 
 
 def font_stats(glyphs: DataFrame) -> DataFrame:
@@ -290,9 +295,12 @@ def memory_cost(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy(*PAGE).agg(F.sum(F.octet_length("s") + 128).cast("bigint").alias("cost"))
 
 
-def plain_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
+def plain_text(glyphs: DataFrame, tolerance: float = 2.0, trim: str = "blank") -> DataFrame:
     """Page text: from the top, a new line where a run is farther than ``tolerance`` from the mean of the line so far.
 
+    Where a column ``vertical`` is true, x stands for y and the way down for x; lines of vertical runs alone get no spaces. ``trim``:
+    blanks at both ends go (blank), or only line ends at the end (newline).
+
     The running mean is a fold over a page's runs, so each page is folded by one call; a page is bounded by its paper.
     """
     import pandas as pd
@@ -302,21 +310,29 @@ def plain_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
         lines: list[list] = []
         mean = 0.0
         for r in page.itertuples(index=False):
-            if not lines or abs(r.y - mean) > tolerance:
+            at = r.x if r.vertical else r.y
+            if not lines or abs(at - mean) > tolerance:
                 lines.append([])
                 mean = 0.0
             lines[-1].append(r)
-            mean += (r.y - mean) / len(lines[-1])
+            mean += (at - mean) / len(lines[-1])
         texts = []
         for line in lines:
             out, edge = "", None
-            for r in sorted(line, key=lambda r: (r.x, r.seq)):
-                out += (" " if edge is not None and r.x - edge > max(0.2 * r.font_size, 0.5) else "") + r.s
+            upright = all(r.vertical for r in line)
+            for r in sorted(line, key=lambda r: (-r.y if r.vertical else r.x, r.seq)):
+                out += (" " if edge is not None and not upright and r.x - edge > max(0.2 * r.font_size, 0.5) else "") + r.s
                 edge = r.x + r.w
             texts.append(out)
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[:1], "page_num": page["page_num"].iloc[:1], "text": ["\n".join(texts).strip(" \t\r\n")]})
-
-    return glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", "s").groupBy(*PAGE).applyInPandas(fold, "doc_id bigint, page_num bigint, text string")
+        text = "\n".join(texts)
+        text = text.rstrip("\n") if trim == "newline" else text.strip(" \t\r\n")
+        return pd.DataFrame({"doc_id": page["doc_id"].iloc[:1], "page_num": page["page_num"].iloc[:1], "text": [text]})
+
+    if trim not in ("blank", "newline"):
+        raise ValueError(f"unknown trim {trim!r}")
+    vertical = F.coalesce(F.col("vertical"), F.lit(False)) if "vertical" in glyphs.columns else F.lit(False)
+    runs = glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", "s", vertical.alias("vertical"))
+    return runs.groupBy(*PAGE).applyInPandas(fold, "doc_id bigint, page_num bigint, text string")
 
 
 def styled_sentences(glyphs: DataFrame) -> DataFrame:

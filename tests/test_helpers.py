@@ -61,6 +61,7 @@ def test_extractor(spark, tmp_path):
     assert texts(Extractor(g)) == texts(Extractor(g).smart_ordering()) == ["one two", "three"]
     assert texts(Extractor(g).pages(2)) == ["three"]
     assert Extractor(g).mode("document").separator("|").extract().first().text == "one two|three"
+    assert Extractor(g).mode("document").pages(2, 1, 2, 9).separator("|").extract().first().text == "three|one two|three"
     assert Extractor(g).mode("structured").extract().count() == 2
     assert Extractor(g).mode("structured").smart_ordering().extract().count() == 2
     assert Extractor(g).mode("map").extract().first().pages == {1: "one two", 2: "three"}

@@ -17,6 +17,19 @@ def test_lines_are_anchored_at_their_first_run(spark):
     assert layout.anchored(spark.createDataFrame([], GLYPH), layout.PAGE, 2.0).count() == 0
 
 
+def test_vertical_runs_and_trimming_of_plain_text(spark):
+    # two columns written downwards, then a line with one vertical run in it
+    down = [(1, 1, i, x, 100.0 - 30 * j, 10.0, 10.0, s, True) for i, (x, j, s) in enumerate([(50.0, 0, "a"), (50.5, 1, "b"), (50.0, 2, "c")])]
+    across = [(1, 2, 0, 10.0, 20.0, 5.0, 10.0, "x", None), (1, 2, 1, 30.0, 20.0, 5.0, 10.0, "y", False), (1, 2, 2, 30.0, 5.0, 5.0, 10.0, " ", False), (1, 2, 3, 30.0, 1.0, 5.0, 10.0, "\n", False)]
+    table = spark.createDataFrame(down + across, GLYPH + ", vertical boolean")
+    texts = lambda **more: {r.page_num: r.text for r in layout.plain_text(table, **more).collect()}
+    assert texts() == {1: "abc", 2: "x y"}
+    assert texts(trim="newline") == {1: "abc", 2: "x y\n "}
+    # without the column all runs are horizontal
+    assert {r.page_num: r.text for r in layout.plain_text(table.drop("vertical")).collect()}[1] == "a\nb\nc"
+    assert layout.plain_text(table.limit(0)).count() == 0
+
+
 def test_order_within_blocks(spark):
     rows = [(1, 1, 0, 50.0, 99.0, 4.0, 10.0, "c"), (1, 1, 1, 10.0, 100.0, 4.0, 10.0, "a"), (1, 1, 2, 30.0, 97.5, 4.0, 10.0, "b"), (1, 1, 3, 5.0, 96.0, 4.0, 10.0, "d")]
     table = spark.createDataFrame(rows, GLYPH).selectExpr("*", "7L as phys")
