@@ -257,17 +257,6 @@ def clusters(spark, sf_dir):
     return layout.clusters(glyphs(spark, sf_dir))
 
 
-@query()
-def smart_reading_text(spark, sf_dir):
-    return layout.smart_reading_text(glyphs(spark, sf_dir))
-
-
-@query()
-def classify_clusters(spark, sf_dir):
-    g = glyphs(spark, sf_dir)
-    return layout.classify(layout.cluster_text_blocks(g), g)
-
-
 @query(_G + " SELECT doc_id, page_num, seq FROM g WHERE x <= 250 AND x + w >= 100 AND y <= 700 AND y + font_size >= 500")
 def spatial_range_query(spark, sf_dir):
     g = glyphs(spark, sf_dir)
@@ -275,7 +264,7 @@ def spatial_range_query(spark, sf_dir):
     return layout.range_join(box, g).select(*layout.PAGE, "seq")
 
 
-_CTX = _B + """, h AS (SELECT b.doc_id, b.page_num, b.block_id, max(CASE WHEN regexp_matches(lower(g.s), 'figure|table|fig\\.') THEN 1 ELSE 0 END) = 1 AS near_caption,
+_CLASSIFIED = """, h AS (SELECT b.doc_id, b.page_num, b.block_id, max(CASE WHEN regexp_matches(lower(g.s), 'figure|table|fig\\.') THEN 1 ELSE 0 END) = 1 AS near_caption,
   max(CASE WHEN regexp_matches(g.s, '^(\\d+\\.|[•\\-\\*]|\\([a-z]\\)|\\([0-9]+\\))\\s') THEN 1 ELSE 0 END) = 1 AS near_list, max(CASE WHEN regexp_matches(g.s, '\\[\\d+\\]|[⁰¹²³⁴-⁹₀-₉]') THEN 1 ELSE 0 END) = 1 AS near_note, avg(g.font_size) AS near_font
   FROM b JOIN g ON b.doc_id = g.doc_id AND b.page_num = g.page_num AND g.x <= max_x + 3 * b.font AND g.x + g.w >= min_x - 3 * b.font AND g.y <= max_y + 3 * b.font AND g.y + g.font_size >= min_y - 3 * b.font GROUP BY ALL),
 pf AS (SELECT doc_id, page_num, avg(font_size) AS page_font, max(font_size) AS page_max FROM g GROUP BY ALL),
@@ -286,6 +275,40 @@ k AS (SELECT *, CASE WHEN trim(text) = '' THEN 'Unknown' WHEN cy > 0.9 * 792 THE
   WHEN ((font > 1.2 * page_font OR bold) AND strlen(first) <= 100 AND len(fw) >= 1 AND (len(list_filter(fw, lambda x: regexp_matches(x, '^[A-Z\\x{80}-\\x{5BF}\\x{600}-\\x{7BF}]'))) > 0.6 * len(fw) OR bold)) OR font > 1.2 * near_font THEN 'Title' ELSE 'Paragraph' END AS type,
   (font - page_font) / nullif(page_max - page_font, 0) AS ratio FROM j),
 classified AS (SELECT doc_id, page_num, block_id, type, CAST(CASE WHEN type <> 'Title' THEN 0 WHEN ratio IS NULL OR ratio > 0.8 THEN 1 WHEN ratio > 0.6 THEN 2 WHEN ratio > 0.4 THEN 3 WHEN ratio > 0.2 THEN 4 ELSE 5 END AS BIGINT) AS level, text FROM k)"""
+_CTX = _B + _CLASSIFIED
+
+
+# clusters as the query clusters finds them, their bands and order, and the order of their runs (baselines are 14 apart)
+_ORDERED = (
+    _clusters(layout.MERGE, "t").rsplit("\nSELECT doc_id, page_num, seq, cluster FROM cc", 1)[0]
+    + f""", g AS ({_G} SELECT * FROM g), r AS (SELECT g.*, cluster FROM g JOIN cc USING (doc_id, page_num, seq)),
+cb AS (SELECT doc_id, page_num, cluster AS block_id, min(x) AS min_x, max(x + w) AS max_x, min(y) AS min_y, max(y + font_size) AS max_y, avg(font_size) AS font, bool_or(bold) AS bold FROM r GROUP BY ALL),
+e AS (SELECT *, CASE WHEN max_y - min(min_y) OVER (PARTITION BY doc_id, page_num ORDER BY min_y + max_y DESC, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < -10 THEN 1 ELSE 0 END AS new FROM cb),
+bands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_num ORDER BY min_y + max_y DESC, block_id ROWS UNBOUNDED PRECEDING) AS band FROM e),
+tops AS (SELECT *, max(max_y) OVER (PARTITION BY doc_id, page_num, band) AS top FROM bands),
+placed AS (SELECT r.*, row_number() OVER (PARTITION BY r.doc_id, r.page_num ORDER BY top DESC, min_x, block_id, r.y DESC, r.x, r.seq) AS place
+  FROM r JOIN tops ON r.doc_id = tops.doc_id AND r.page_num = tops.page_num AND r.cluster = tops.block_id)"""
+)
+
+
+@query(
+    _ORDERED
+    + """, p AS (SELECT doc_id, page_num, place, CASE WHEN abs(y - lag(y) OVER o) > 3 THEN chr(10) WHEN x - lag(x + w) OVER o > 0.3 * font_size THEN ' ' ELSE '' END || s AS part FROM placed WINDOW o AS (PARTITION BY doc_id, page_num ORDER BY place))
+SELECT doc_id, page_num, string_agg(part, '' ORDER BY place) AS text FROM p GROUP BY ALL"""
+)
+def smart_reading_text(spark, sf_dir):
+    return layout.smart_reading_text(glyphs(spark, sf_dir))
+
+
+@query(
+    _ORDERED
+    + """, b AS (SELECT cb.*, t.text, t.first FROM cb JOIN (SELECT doc_id, page_num, cluster AS block_id, string_agg(s, ' ' ORDER BY place) AS text, arg_min(s, place) AS first FROM placed GROUP BY ALL) t USING (doc_id, page_num, block_id))"""
+    + _CLASSIFIED
+    + " SELECT * FROM classified"
+)
+def classify_clusters(spark, sf_dir):
+    g = glyphs(spark, sf_dir)
+    return layout.classify(layout.cluster_text_blocks(g), g)
 
 
 @query(_CTX + " SELECT * FROM classified")
@@ -494,6 +517,19 @@ def pdf_objects(spark, sf_dir):
     return out.agg(F.count("*").alias("objects"), F.count_if(F.contains("value", F.lit("/Type /Page>>"))).alias("pages"))
 
 
+# the first line of a page is placed by Td, which the simpler walk passes over
+@query(_PAGES + "SELECT doc_id, n // 35 + 1 AS page_num, CASE n % 35 WHEN 0 THEN 0 ELSE 760 - 20 * (n % 35) END AS position, line AS content, 1::BIGINT AS n FROM li WHERE line <> ''")
+def pdf_rows(spark, sf_dir):
+    out = pdf.lined(pdf.part(files(spark, sf_dir), "strings"))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "position", "content", "n")
+
+
+@query(_PAGES + "SELECT doc_id, n // 35 + 1 AS page_num, CAST(CASE n % 35 WHEN 0 THEN 0 ELSE 50 END AS BIGINT) AS position, string_agg(line, ' ' ORDER BY n) AS content, count(*) AS n FROM li WHERE line <> '' GROUP BY ALL")
+def pdf_columns(spark, sf_dir):
+    out = pdf.lined(pdf.part(files(spark, sf_dir), "strings"), "x")
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "page_num", "position", "content", "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_stats(spark, sf_dir)
 

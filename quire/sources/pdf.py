@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.layout import anchored, joined
-from quire.sources.pdfkernel import Document, Ref, page_glyphs, shown
+from quire.sources.pdfkernel import Document, Ref, page_glyphs, page_strings, shown
 
-GLYPHS = "path string, page_num bigint, seq bigint, font string, font_size double, x double, y double, w double, s string, error string"
+GLYPHS = "path string, page_num bigint, seq bigint, font string, font_size double, x double, y double, w double, s string, vertical boolean, error string"
 METADATA = "path string, version string, pages bigint, info map<string,string>, recovered boolean, error string"
 #: Glyph rows in a batch that a task hands over.
 BATCH = 50_000
@@ -25,17 +25,19 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
-def glyphs(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+def glyphs(documents: DataFrame, passwords: tuple[str, ...] = (), metrics: bool = False) -> DataFrame:
     """A row per character; for a page or document that can't be read a row with the error and no character.
 
-    ``passwords`` are tried on encrypted documents, after the empty one.
+    ``passwords`` are tried on encrypted documents, after the empty one. With ``metrics`` characters without an entry in Widths take
+    the width that a composite font's tables or an embedded Type 1 program give; else their width is 0. ``vertical`` marks
+    characters of fonts in vertical writing.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in _read(path, content or b"", passwords):
+                for row in _read(path, content or b"", passwords, metrics):
                     rows.append(row)
                     if len(rows) >= BATCH:
                         yield _batch(rows)
@@ -45,19 +47,19 @@ def glyphs(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
     return documents.select("path", "content").mapInArrow(work, GLYPHS)
 
 
-def _read(path: str, content: bytes, passwords: tuple[str, ...]) -> Iterator[tuple]:
+def _read(path: str, content: bytes, passwords: tuple[str, ...], metrics: bool) -> Iterator[tuple]:
     try:
         doc = Document.open(content, passwords)
         pages = doc.pages()
     except Exception as e:  # whatever a damaged file leads to is that file's error
-        yield path, None, None, None, None, None, None, None, None, _said(e)
+        yield path, *[None] * 9, _said(e)
         return
     for number, page in enumerate(pages, 1):
         try:
-            for seq, (font, size, x, y, w, s) in enumerate(page_glyphs(doc, page)):
-                yield path, number, seq, font, float(size), float(x), float(y), float(w), s, None
+            for seq, (font, size, x, y, w, s, vertical) in enumerate(page_glyphs(doc, page, metrics=metrics)):
+                yield path, number, seq, font, float(size), float(x), float(y), float(w), s, vertical, None
         except Exception as e:
-            yield path, number, None, None, None, None, None, None, None, _said(e)
+            yield path, number, *[None] * 8, _said(e)
 
 
 def _said(error: Exception) -> str:
@@ -65,7 +67,7 @@ def _said(error: Exception) -> str:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.string(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.string(), pa.bool_(), pa.string()]
     names = [f.split()[0] for f in GLYPHS.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -74,7 +76,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def for_layout(glyphs: DataFrame) -> DataFrame:
     """The characters as runs for the layout operators, with a hash of the path as doc_id; errors and line marks are left out."""
     shown = glyphs.where("error is null and s <> '\n'")
-    return shown.select(F.xxhash64("path").alias("doc_id"), "page_num", "seq", "font", "font_size", "x", "y", "w", "s", F.lower("font").rlike("bold|black").alias("bold"), F.floor("y").alias("phys"))
+    return shown.select(F.xxhash64("path").alias("doc_id"), "page_num", "seq", "font", "font_size", "x", "y", "w", "s", F.lower("font").rlike("bold|black").alias("bold"), F.floor("y").alias("phys"), "vertical")
 
 
 def page_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
@@ -85,6 +87,14 @@ def page_text(glyphs: DataFrame, tolerance: float = 2.0) -> DataFrame:
     return lines.groupBy("path", "page_num").agg(joined([F.col("line")], F.col("t"), "\n").alias("text"))
 
 
+def lined(strings: DataFrame, by: str = "y") -> DataFrame:
+    """The part ``strings`` by truncated coordinate: rows (by y, from left to right) or columns (by x, from the top); empty strings
+    are left out."""
+    shown = strings.where("s <> ''")
+    order = [F.col("x"), F.col("seq")] if by == "y" else [-F.col("y"), F.col("seq")]
+    return shown.groupBy("path", "page_num", F.col(by).cast("bigint").alias("position")).agg(joined(order, F.col("s"), " ").alias("content"), F.count("*").alias("n"))
+
+
 def metadata(documents: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +120,7 @@ _PARTS = {
     "outline": ({"seq": "bigint", "depth": "bigint", "title": "string"}, lambda doc: [(i, *e) for i, e in enumerate(doc.outline())]),
     "page_fonts": ({"page_num": "bigint", "name": "string", "base_font": "string", "subtype": "string"}, lambda doc: [(n, *f) for n, p in enumerate(doc.pages(), 1) for f in doc.page_fonts(p)]),
     "rects": ({"page_num": "bigint", "seq": "bigint", "min_x": "double", "min_y": "double", "max_x": "double", "max_y": "double"}, lambda doc: [(n, i, *map(float, r)) for n, p in enumerate(doc.pages(), 1) for i, r in enumerate(_rects(doc, p))]),
+    "strings": ({"page_num": "bigint", "seq": "bigint", "x": "double", "y": "double", "s": "string"}, lambda doc: [(n, i, float(x), float(y), s) for n, p in enumerate(doc.pages(), 1) for i, (x, y, s) in enumerate(page_strings(doc, p))]),
     "objects": ({"num": "bigint", "value": "string"}, lambda doc: [(n, shown(doc.resolve(Ref(n, 0)))) for n in sorted(doc.places) if doc.places[n]]),
     "linearization": ({"name": "string", "value": "string"}, lambda doc: sorted(doc.linearization().items())),
     "trailer": ({"name": "string", "value": "string"}, lambda doc: sorted((k, shown(v)) for k, v in doc.trailer.items())),
@@ -124,7 +135,7 @@ def _rects(doc: Document, page: dict) -> list:
 
 
 def part(documents: DataFrame, name: str, passwords: tuple[str, ...] = ()) -> DataFrame:
-    """A further table of the documents: outline, page_fonts, rects, objects, linearization or trailer; unreadable documents are
+    """A further table of the documents: outline, page_fonts, rects, strings (whole strings, placed by Tm alone), objects, linearization or trailer; unreadable documents are
     rows with an error."""
     fields, rows_of = _PARTS[name]
     kinds = {"path": "string", **fields, "error": "string"}

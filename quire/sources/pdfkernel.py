@@ -11,6 +11,7 @@ import math
 import re
 import time
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from quire.sources.ciphers import Handler
@@ -543,9 +544,12 @@ class Font:
     A ToUnicode map comes first. Then composite fonts go by their character map, simple ones by a named encoding and else
     by WinAnsi. Codespace ranges of a map tell the lengths of a composite font's codes; codes that neither such a map nor the one
     it uses (usecmap) holds, and bytes outside all ranges, are replacement characters; a table of differences counts only for fonts other than Type 1 and TrueType.
+    ``vertical`` is the writing mode of a composite font's descendant. Characters without an entry in Widths have no width; with
+    ``metrics`` composite fonts take DW and W, by the code where the character map is Identity and else DW, and fonts without Widths
+    those of an embedded Type 1 program, by the names of its encoding.
     """
 
-    def __init__(self, doc: Document, head: dict):
+    def __init__(self, doc: Document, head: dict, metrics: bool = False):
         get = doc.resolve
         kind = get(head.get("Subtype"))
         self.name = re.sub(r"^[A-Z]{6}\+", "", str(get(head.get("BaseFont")) or ""))
@@ -557,6 +561,8 @@ class Font:
         encoding = get(head.get("Encoding"))
         below = (get(get(x) if isinstance(x := head.get("DescendantFonts"), Ref) else x) or [None])[0] if self.wide else None
         below = get(below) if isinstance(get(below), dict) else {}
+        self.vertical = get(below.get("WMode")) == 1
+        self.measure = _measure(doc, head, below) if metrics else None
         for source in (head.get("ToUnicode"), encoding if self.wide else None, below.get("ToUnicode")):
             if isinstance(cmap := get(source), Stream) and not self.map:
                 self._read(decode(cmap, doc))
@@ -604,7 +610,10 @@ class Font:
             code = raw[at : at + size]
             at += size
             n = int.from_bytes(code, "big")
-            width = self.widths[n - self.first] if 0 <= n - self.first < len(self.widths) else 0
+            if 0 <= n - self.first < len(self.widths):
+                width = self.widths[n - self.first]
+            else:
+                width = self.measure(n) if self.measure else 0
             yield self._text(code), width or 0
 
     def _text(self, code: bytes) -> str:
@@ -628,6 +637,22 @@ class Font:
         return 1 if lead < 0x81 or (self.codec == "cp932" and 0xA0 <= lead <= 0xDF) else 2
 
 
+def _measure(doc: Document, head: dict, below: dict) -> Callable[[int], float] | None:
+    """Widths by code from a descendant's tables or an embedded Type 1 program; None where neither is there."""
+    from quire.sources.fontprograms import CidMetrics, Type1
+
+    get = doc.resolve
+    if below:
+        known = CidMetrics.read(doc, below)
+        return known.width if str(get(head.get("Encoding"))).startswith("Identity") else lambda code: known.default
+    about = get(head.get("FontDescriptor"))
+    program = get(about.get("FontFile")) if isinstance(about, dict) else None
+    if not isinstance(program, Stream):
+        return None
+    font = Type1.read(decode(program, doc))
+    return lambda code: font.width(font.encoding.get(code, ".notdef")) * font.matrix[0] * 1000
+
+
 def times(a: tuple, b: tuple) -> tuple:
     """Product of two affine matrices (a, b, c, d, e, f)."""
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
@@ -636,25 +661,110 @@ def times(a: tuple, b: tuple) -> tuple:
 UNIT = (1, 0, 0, 1, 0, 0)
 
 
-def page_glyphs(doc: Document, page: dict, rects: list | None = None, seconds: float = PAGE_SECONDS) -> list[tuple]:
-    """(font, font_size, x, y, w, s) of every character that a page shows, in order of emission.
+def _contents(doc: Document, page: dict) -> bytes:
+    contents = doc.resolve(page.get("Contents"))
+    parts = [doc.resolve(c) for c in contents] if isinstance(contents, list) else [contents]
+    return b"\n".join(decode(p, doc) for p in parts if isinstance(p, Stream))
+
+
+class Scope:
+    """Fonts by resource name: those of a form's own resources, then of the resources around it; an unknown name is a font
+    without entries."""
+
+    def __init__(self, doc: Document, resources: dict, around: Scope | None = None, metrics: bool = False):
+        self.doc, self.around, self.metrics = doc, around, metrics
+        heads = doc.resolve(resources.get("Font"))
+        self.heads, self.fonts = heads if isinstance(heads, dict) else {}, {}
+
+    def font(self, name) -> Font:
+        if name not in self.fonts:
+            if name not in self.heads and self.around:
+                return self.around.font(name)
+            head = self.doc.resolve(self.heads.get(name))
+            self.fonts[name] = Font(self.doc, head if isinstance(head, dict) else {}, self.metrics)
+        return self.fonts[name]
+
+
+def _form(doc: Document, resources: dict, name, forms: list) -> Stream | None:
+    """The form of a name; none beyond 50 levels or where it is open twice already."""
+    form = doc.resolve((doc.resolve(resources.get("XObject")) or {}).get(name))
+    inner = isinstance(form, Stream) and doc.resolve(form.head.get("Subtype")) == "Form"
+    return form if inner and len(forms) < 50 and forms.count(name) < 2 else None
+
+
+def page_strings(doc: Document, page: dict, seconds: float = PAGE_SECONDS) -> list[tuple]:
+    """(x, y, s) of every string that a page shows, whole, in order of emission.
+
+    A simpler walk than ``page_glyphs``: only Tm places text, each Td adds an empty string, and of the matrices only those of forms
+    count.
+    """
+    out: list[tuple] = []
+    resources = doc.resolve(page.get("Resources")) or {}
+    _walk(doc, _contents(doc, page), resources, Scope(doc, resources), UNIT, out, [], time.monotonic() + seconds)
+    return out
+
+
+def _walk(doc: Document, data: bytes, resources: dict, scope: Scope, ctm: tuple, out: list, forms: list, until: float) -> None:
+    font, at = scope.font(None), (0, 0)
+
+    def show(raw) -> None:
+        if isinstance(raw, bytes):
+            x, y = at[0] * ctm[0] + at[1] * ctm[2] + ctm[4], at[0] * ctm[1] + at[1] * ctm[3] + ctm[5]
+            out.append((x, y, "".join(s for s, _ in font.glyphs(raw))))
+
+    for turns, (op, args) in enumerate(_operations(data)):
+        if turns % 1000 == 0 and time.monotonic() > until:
+            raise Overdue("the page took too long")
+        try:
+            match op:
+                case "Tf":
+                    font = scope.font(args[-2])
+                case "Tj" | "'" | '"':
+                    show(args[-1])
+                case "TJ":
+                    for x in args[-1]:
+                        show(x)
+                case "Td":
+                    show(b"")
+                case "Tm":
+                    at = args[-2] + 0, args[-1] + 0
+                case "Do":
+                    if form := _form(doc, resources, args[-1], forms):
+                        own = doc.resolve(form.head.get("Resources")) or resources
+                        matrix = tuple(doc.resolve(form.head.get("Matrix")) or UNIT)
+                        _walk(doc, decode(form, doc), own, Scope(doc, own, scope), times(matrix, ctm), out, [*forms, args[-1]], until)
+        except (Overdue, PdfError):
+            raise
+        except (IndexError, TypeError, ValueError):
+            pass  # an operator with wrong operands is left out
+
+
+def _operations(data: bytes):
+    """(operator, operands) of a content stream."""
+    lex, args = Lexer(data), []
+    while (t := lex.value()) is not None or lex.at < len(data):
+        if isinstance(t, Word):
+            yield str(t), args
+            args = []
+        else:
+            args.append(t)
+
+
+def page_glyphs(doc: Document, page: dict, rects: list | None = None, seconds: float = PAGE_SECONDS, metrics: bool = False) -> list[tuple]:
+    """(font, font_size, x, y, w, s, vertical) of every character that a page shows, in order of emission; ``metrics`` as for ``Font``.
 
     ``rects`` takes the page's rectangles as (min_x, min_y, max_x, max_y), in the coordinates of their operands.
     A page that takes longer than ``seconds`` is an error.
     """
-    contents = doc.resolve(page.get("Contents"))
-    parts = [doc.resolve(c) for c in contents] if isinstance(contents, list) else [contents]
-    data = b"\n".join(decode(p, doc) for p in parts if isinstance(p, Stream))
     out: list[tuple] = []
-    _run(doc, data, doc.resolve(page.get("Resources")) or {}, UNIT, out, [], rects, time.monotonic() + seconds)
+    resources = doc.resolve(page.get("Resources")) or {}
+    _run(doc, _contents(doc, page), resources, Scope(doc, resources, metrics=metrics), UNIT, out, [], rects, time.monotonic() + seconds)
     return out
 
 
-def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, forms: list, rects: list | None = None, until: float = math.inf) -> None:
-    fonts: dict = {}
+def _run(doc: Document, data: bytes, resources: dict, scope: Scope, ctm: tuple, out: list, forms: list, rects: list | None = None, until: float = math.inf) -> None:
     fresh = {"ctm": ctm, "font": None, "size": 0.0, "Tc": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
     state, saved, tm, line = dict(fresh), [], UNIT, UNIT
-    lex, args = Lexer(data), []
 
     def show(raw) -> None:
         nonlocal tm
@@ -662,7 +772,7 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
             return
         for s, width in state["font"].glyphs(raw):
             at = times(times((state["size"] * state["Tz"], 0, 0, state["size"], 0, state["Ts"]), tm), state["ctm"])
-            out.append((state["font"].name, at[0], at[4], at[5], width / 1000 * at[0], s))
+            out.append((state["font"].name, at[0], at[4], at[5], width / 1000 * at[0], s, state["font"].vertical))
             tm = times((1, 0, 0, 1, (width / 1000 * state["size"] + state["Tc"]) * state["Tz"], 0), tm)
 
     def move(x, y) -> None:
@@ -670,16 +780,11 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
         line = times((1, 0, 0, 1, x, y), line)
         tm = line
 
-    turns = 0
-    while (t := lex.value()) is not None or lex.at < len(data):
-        turns += 1
-        if turns % 1000 == 1 and time.monotonic() > until:
+    for turns, (op, args) in enumerate(_operations(data)):
+        if turns % 1000 == 0 and time.monotonic() > until:
             raise Overdue("the page took too long")
-        if not isinstance(t, Word):
-            args.append(t)
-            continue
         try:
-            match str(t):
+            match op:
                 case "BT":
                     tm = line = UNIT
                 case "q":
@@ -693,13 +798,9 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                 case "cm":
                     state["ctm"] = times(tuple(args[-6:]), state["ctm"])
                 case "Tf":
-                    name = args[-2]
-                    if name not in fonts:
-                        head = doc.resolve((doc.resolve(resources.get("Font")) or {}).get(name))
-                        fonts[name] = Font(doc, head) if isinstance(head, dict) else Font(doc, {})
-                    state["font"], state["size"] = fonts[name], args[-1]
+                    state["font"], state["size"] = scope.font(args[-2]), args[-1]
                 case "Tc" | "TL" | "Ts":
-                    state[str(t)] = args[-1]
+                    state[op] = args[-1]
                 case "Tz":
                     state["Tz"] = args[-1] / 100
                 case "Td":
@@ -714,7 +815,7 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                 case "Tj":
                     show(args[-1])
                 case "'" | '"':
-                    if t == '"':
+                    if op == '"':
                         state["Tc"] = args[-2]
                     move(0, -state["TL"])
                     show(args[-1])
@@ -726,12 +827,11 @@ def _run(doc: Document, data: bytes, resources: dict, ctm: tuple, out: list, for
                             tm = times((1, 0, 0, 1, -x / 1000 * state["size"] * state["Tz"], 0), tm)
                     show(b"\n")
                 case "Do":
-                    form = doc.resolve((doc.resolve(resources.get("XObject")) or {}).get(args[-1]))
-                    if isinstance(form, Stream) and doc.resolve(form.head.get("Subtype")) == "Form" and len(forms) < 50 and forms.count(args[-1]) < 2:
+                    if form := _form(doc, resources, args[-1], forms):
+                        own = doc.resolve(form.head.get("Resources")) or resources
                         matrix = tuple(doc.resolve(form.head.get("Matrix")) or UNIT)
-                        _run(doc, decode(form, doc), doc.resolve(form.head.get("Resources")) or resources, times(matrix, state["ctm"]), out, [*forms, args[-1]], rects, until)
+                        _run(doc, decode(form, doc), own, Scope(doc, own, scope, scope.metrics), times(matrix, state["ctm"]), out, [*forms, args[-1]], rects, until)
         except (Overdue, PdfError):
             raise
         except (IndexError, TypeError, ValueError):
             pass  # an operator with wrong operands is left out
-        args = []

@@ -225,3 +225,41 @@ def test_filters_have_a_limit(monkeypatch):
     for unpack, data in ((pdfkernel.run_length, b"\xfed" * 9), (pdfkernel.lzw, bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]))):
         with pytest.raises(pdfkernel.PdfError, match="too long"):
             unpack(data)
+
+
+def test_strings_are_placed_by_tm_and_forms_alone():
+    form = pdfkernel.Stream({"Subtype": pdfkernel.Name("Form"), "Matrix": [1, 0, 0, 1, 5, 7]}, b"BT 1 0 0 1 10 20 Tm (inner) Tj ET")
+    body = b"2 0 0 2 0 0 cm BT /F1 12 Tf (at once) Tj 1 0 0 1 50 700 Tm [(a) -250 (b)] TJ 0 -20 Td (c) Tj T* (d) ' 1 2 (e) \" ET /Me Do"
+    page = {"Resources": {"XObject": {"Me": form}, "Font": {"F1": {}}}, "Contents": pdfkernel.Stream({}, body)}
+    got = pdfkernel.page_strings(pdfkernel.Document(b""), page)
+    assert got == [(0, 0, "at once"), (50, 700, "a"), (50, 700, "b"), (50, 700, ""), (50, 700, "c"), (50, 700, "d"), (50, 700, "e"), (15, 27, "inner")]
+    endless = pdfkernel.Stream({"Subtype": pdfkernel.Name("Form")}, b"(x) Tj /Me Do")
+    got = pdfkernel.page_strings(pdfkernel.Document(b""), {"Resources": {"XObject": {"Me": endless}}, "Contents": pdfkernel.Stream({}, b"(only 1 Tj /Me Do")})
+    assert got == []
+    got = pdfkernel.page_strings(pdfkernel.Document(b""), {"Resources": {"XObject": {"Me": endless}}, "Contents": pdfkernel.Stream({}, b"/Me Do 1 Tj")})
+    assert [s for *_, s in got] == ["x", "x"]
+
+
+def test_rows_and_columns_of_files(spark):
+    doc = build([b"BT /F1 12 Tf 1 0 0 1 50 700.9 Tm (b) Tj 1 0 0 1 20 700.1 Tm (a) Tj 1 0 0 1 20.5 -0.5 Tm (c) Tj 0 0 Td ET"])
+    strings = pdf.part(spark.createDataFrame([("p", doc), ("q", b"")], "path string, content binary"), "strings")
+    assert strings.where("error is not null").count() == 1
+    assert sorted((r.position, r.content, r.n) for r in pdf.lined(strings).collect()) == [(0, "c", 1), (700, "a b", 2)]
+    assert sorted((r.position, r.content, r.n) for r in pdf.lined(strings, "x").collect()) == [(20, "a c", 2), (50, "b", 1)]
+
+
+def test_forms_see_the_fonts_around_them():
+    deep = pdfkernel.Stream({"Subtype": pdfkernel.Name("Form"), "Resources": {"Font": {"F2": {"BaseFont": pdfkernel.Name("Two")}}}}, b"BT /F1 10 Tf (x) Tj /F2 10 Tf (y) Tj ET")
+    page = {"Resources": {"XObject": {"Me": deep}, "Font": {"F1": {"BaseFont": pdfkernel.Name("One")}}}, "Contents": pdfkernel.Stream({}, b"/Me Do")}
+    assert [(g[0], g[5]) for g in pdfkernel.page_glyphs(pdfkernel.Document(b""), page)] == [("One", "x"), ("Two", "y")]
+
+
+def test_vertical_marks_and_widths_of_composite_fonts(spark):
+    name = pdfkernel.Name
+    head = {"Subtype": name("Type0"), "Encoding": name("Identity-V"), "DescendantFonts": [{"WMode": 1, "DW": 800, "W": [65, [500]]}]}
+    page = {"Resources": {"Font": {"F1": head}}, "Contents": pdfkernel.Stream({}, b"BT /F1 10 Tf <00410042> Tj ET")}
+    doc = pdfkernel.Document(b"")
+    assert [g[2:] for g in pdfkernel.page_glyphs(doc, page)] == [(0, 0, 0, "A", True), (0, 0, 0, "B", True)]
+    assert [g[2:] for g in pdfkernel.page_glyphs(doc, page, metrics=True)] == [(0, 0, 5, "A", True), (5, 0, 8, "B", True)]
+    runs = pdf.for_layout(pdf.glyphs(spark.createDataFrame([("p", pdfsample.make("one", "t"))], "path string, content binary"), metrics=True))
+    assert [r.vertical for r in runs.collect()] == [False] * 3
