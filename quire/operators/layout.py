@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.plans.spread import colocated
 
@@ -22,7 +25,9 @@ WIDTH, HEIGHT = 612, 792
 def synthetic(documents: DataFrame) -> DataFrame:
     """Text set on pages: 90 characters a line, 35 lines a page, a gap after each 5 lines; integers throughout."""
     colocated(documents.sparkSession)
-    rows = documents.where("text is not null").select("doc_id", "text").repartition("doc_id")
+    # a stated number: texts grow manyfold as runs, so partitions must not be merged by the texts' size
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.where("text is not null").select("doc_id", "text").repartition(parts, "doc_id")
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("base", F.coalesce(F.sum(F.expr("length(line) div 90 + 1")).over(above), F.lit(0)))
@@ -65,13 +70,19 @@ def smart_text(glyphs: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def smart_order(glyphs: DataFrame) -> DataFrame:
-    """The runs with ``place`` on their page: runs are clustered, clusters put in reading order, and their runs in lines within each."""
-    found = clusters(glyphs)
-    order = reading_order(cluster_blocks(glyphs, found)).select(*PAGE, F.col("block_id").alias("cluster"), F.col("place").alias("at"))
-    runs = glyphs.join(found.hint("merge"), [*PAGE, "seq"]).join(order.hint("merge"), [*PAGE, "cluster"])
-    inner = within_blocks(runs, "cluster").select(*PAGE, "seq", F.col("place").alias("inner"))
-    w = Window.partitionBy(*PAGE).orderBy("at", "inner")
-    return runs.join(inner.hint("merge"), [*PAGE, "seq"]).withColumn("place", F.row_number().over(w)).drop("at", "inner")
+    """The runs with their cluster and ``place`` on their page: runs are clustered, clusters put in reading order, and their runs in
+    lines within each. One pass without joins: a cluster's runs travel with its block."""
+    own = [c for c in glyphs.columns if c not in PAGE]
+    runs = F.collect_list(F.struct(*own)).alias("runs")
+    blocks = _labelled(glyphs).groupBy(*PAGE, F.col("cluster").alias("block_id")).agg(*_bounds(), runs)
+    ordered = reading_order(blocks).select(*PAGE, F.col("block_id").alias("cluster"), F.col("place").alias("at"), F.explode("runs").alias("run"))
+    lined = anchored(ordered.select(*PAGE, "cluster", "at", "run.*"), [*PAGE, "cluster"], 3.0)
+    w = Window.partitionBy(*PAGE).orderBy("at", "line", "x", "seq")
+    return lined.withColumn("place", F.row_number().over(w)).drop("at", "line")
+
+
+def _bounds() -> list[Column]:
+    return [F.min("x").alias("min_x"), F.max(F.col("x") + F.col("w")).alias("max_x"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("font_size")).alias("max_y")]
 
 
 def smart_reading_text(glyphs: DataFrame) -> DataFrame:
@@ -200,26 +211,78 @@ MERGE_SIZED = f"case when n < 50 then ({MERGE}) when n < 1000 then {_COARSE.form
 
 def clusters(glyphs: DataFrame, sized: bool = False) -> DataFrame:
     """Connected components of ``merge_edges`` on each page: doc_id, page_num, seq, cluster (its least seq)."""
-    import pandas as pd
-
-    def components(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parent = {s: s for s in left["seq"]}
-
-        def root(v):
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        for a, b in zip(right["a"], right["b"], strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        return left.assign(cluster=[root(s) for s in left["seq"]])
-
-    own = glyphs.select(*PAGE, "seq")
-    edges = merge_edges(glyphs, sized).toDF("d", "p", "a", "b")  # other names, as both sides come from one table
-    return own.groupBy(*PAGE).cogroup(edges.groupBy("d", "p")).applyInPandas(components, "doc_id bigint, page_num bigint, seq bigint, cluster bigint")
+    return _labelled(glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size"), sized).select(*PAGE, "seq", "cluster")
+
+
+#: Pairs of runs that are compared at a time.
+PAIRS = 1 << 20
+
+
+def _labelled(glyphs: DataFrame, sized: bool = False) -> DataFrame:
+    """The runs with their ``cluster``. A page is labelled by one call that joins neighbouring grid cells in arrays, so the runs are
+    neither copied for their cells nor moved."""
+
+    def label(page: pa.Table) -> pa.Table:
+        seq = page["seq"].to_numpy()
+        order = np.argsort(seq, kind="stable")
+        cells = [page[c].cast(pa.float64()).to_numpy()[order] for c in ("x", "y", "w", "font_size")]
+        found = np.empty(len(seq), np.int64)
+        found[order] = seq[order][_components(*cells, sized)]
+        return page.append_column("cluster", pa.array(found))
+
+    schema = StructType([*glyphs.schema.fields, StructField("cluster", LongType())])
+    return glyphs.groupBy(*PAGE).applyInArrow(label, schema)
+
+
+def _components(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, sized: bool) -> np.ndarray:
+    """For each run the first one of its component."""
+    n, t, label = len(x), 2 * f.mean(), np.arange(len(x))
+    cell = 2 * t if sized and n >= 50 else t
+    cell = cell if cell > 0 else 1
+    cx, cy = (np.floor(np.nan_to_num(c / cell)).astype(np.int64) for c in (x + w / 2, y + f / 2))
+    wide = int(cy.max() - cy.min()) + 3
+    key = (cx - cx.min()) * wide + (cy - cy.min())
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    for step in (0, 1, wide - 1, wide, wide + 1):
+        first, past = np.searchsorted(held, key + step, "left"), np.searchsorted(held, key + step, "right")
+        done = np.concatenate([[0], np.cumsum(past - first)])
+        at = 0
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, "right")) - 1)
+            counts = past[at:stop] - first[at:stop]
+            a = np.repeat(np.arange(at, stop), counts)
+            b = order[np.repeat(first[at:stop] - (done[at:stop] - done[at]), counts) + np.arange(len(a))]
+            at = stop
+            belong = _belong(x, y, w, f, t, n if sized else 0, a, b) & (a != b)
+            a, b = a[belong], b[belong]
+            while len(a):
+                a, b = label[a], label[b]
+                apart = a != b
+                a, b = a[apart], b[apart]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
+    return label
+
+
+def _belong(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, t: float, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rules of ``merge_edges`` on arrays; n is 0 for the one rule of all pages."""
+    down = np.minimum(y[a] + f[a], y[b] + f[b]) - np.maximum(y[a], y[b])
+    along = np.minimum(x[a] + w[a], x[b] + w[b]) - np.maximum(x[a], x[b])
+    low, thin = np.minimum(f[a], f[b]), np.minimum(w[a], w[b])
+    merge = ((down > 0.3 * low) & (down > 0) & (-along < t)) | ((thin > 0) & (along > 0.6 * thin) & (-down >= 0) & (-down < 1.5 * t))
+    if n < 50:
+        return merge
+    dx, dy = np.abs((x[a] + w[a] / 2) - (x[b] + w[b] / 2)), np.abs((y[a] + f[a] / 2) - (y[b] + f[b] / 2))
+    gap_x, gap_y = dx - (w[a] + w[b]) / 2, dy - (f[a] + f[b]) / 2
+    reach = 1.1 if n < 1000 else 1.0
+    near = (-along <= t) & (-down <= reach * t) & (gap_x <= t) & (gap_y <= 1.5 * t) & ~((gap_x > 0.8 * t) & (gap_y > t))
+    if n < 1000:
+        return near & merge
+    like = (f[a] <= 3 * w[a]) & (f[b] <= 3 * w[b]) & (np.abs(f[a] - f[b]) <= 0.5 * np.maximum(f[a], f[b]))
+    close = (dx <= 2 * dy) & like & (np.maximum(gap_x, 0) < t) & (np.maximum(gap_y, 0) < 1.5 * t)
+    return near & (merge | close)
 
 
 def range_join(boxes: DataFrame, glyphs: DataFrame, cell: int = 64) -> DataFrame:
@@ -365,7 +428,6 @@ def capped_blocks(blocks: DataFrame, most: int) -> DataFrame:
 
     Blocks are as from ``cluster_blocks``; a merged one has the lesser id and the mean font size of its runs.
     """
-    import numpy as np
     import pandas as pd
 
     names = ["block_id", "min_x", "max_x", "min_y", "max_y", "font", "n"]

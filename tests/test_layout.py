@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from quire.operators import layout
 
 GLYPH = "doc_id bigint, page_num bigint, seq bigint, x double, y double, w double, font_size double, s string"
@@ -98,3 +101,31 @@ def test_smart_order_goes_through_columns(spark):
     blocks = {(r.page_num, r.block_id): r.text for r in layout.classify(layout.cluster_text_blocks(table), table).collect()}
     assert blocks == {(1, 0): "L0 L1", (1, 1): "R0 R1", (2, 0): "alone"}
     assert layout.smart_reading_text(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_clusters_of_scattered_pages(spark, sized, monkeypatch):
+    """Pages of all sizes of the rule, with runs of width 0 and of equal places, against the components of the edges."""
+    monkeypatch.setattr(layout, "PAIRS", 500)
+    rng = np.random.default_rng(3)
+    rows = []
+    for page, n in enumerate((1, 30, 300, 1500), 1):
+        side = 40 * n**0.5
+        for seq in rng.permutation(n):
+            x, y = (float(v) for v in rng.uniform(-side / 2, side / 2, 2).round(1))
+            rows.append((1, page, int(seq) * 3, x, y, float(rng.choice([0, 5, 20, 33.3])), float(rng.choice([6, 10, 12, 24]))))
+    rows.append((1, 2, 500, *rows[5][3:]))
+    glyphs = spark.createDataFrame(rows, "doc_id bigint, page_num bigint, seq bigint, x double, y double, w double, font_size double")
+    parent = {r[1:3]: r[1:3] for r in rows}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for r in layout.merge_edges(glyphs, sized).collect():
+        a, b = root((r.page_num, r.a)), root((r.page_num, r.b))
+        parent[max(a, b)] = min(a, b)
+    got = {(r.page_num, r.seq): r.cluster for r in layout.clusters(glyphs, sized).collect()}
+    assert got == {v: root(v)[1] for v in parent}
+    assert len(set(got.values())) > 20
