@@ -2,12 +2,14 @@
 
 glyphs: doc_id, page_num, seq, font, font_size, x, y, w, s, bold. All operators keep to the partitioning by doc_id that
 ``synthetic`` makes: a page never leaves the task that holds its document, so windows, groups and joins on
-(doc_id, page_num, ...) add no shuffle (joins by ``plans.spread.colocated``). Sides of joins grow with the corpus, so they carry a
+(doc_id, page_num, ...) add no shuffle (joins by ``plans.spread.colocated``); only what follows a Python call on whole pages (clusters,
+edges, folds) is dealt anew once. Sides of joins grow with the corpus, so they carry a
 merge hint and are never broadcast. Every order ends with seq, so results are deterministic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -172,41 +174,25 @@ def sorted_blocks(blocks: DataFrame, by: str) -> DataFrame:
     return blocks.select(*PAGE, "block_id", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*orders[by], "block_id")).cast("bigint").alias("place"))
 
 
-def _boxes(glyphs: DataFrame, sized: bool) -> DataFrame:
-    w = Window.partitionBy(*PAGE)
-    n = F.count("*").over(w)
-    out = glyphs.select(*PAGE, "seq", "x", "y", "w", "font_size", (2 * F.avg("font_size").over(w)).alias("t"), n.alias("n"))
-    cell = F.when((F.col("n") >= 50) & F.lit(sized), 2 * F.col("t")).otherwise(F.col("t"))
-    cell = F.when(cell > 0, cell).otherwise(1)
-    return out.withColumn("cx", F.floor((F.col("x") + F.col("w") / 2) / cell)).withColumn("cy", F.floor((F.col("y") + F.col("font_size") / 2) / cell))
-
-
 def merge_edges(glyphs: DataFrame, sized: bool = False) -> DataFrame:
-    """Pairs of runs that belong together: side by side, or stacked; candidates from neighbouring grid cells by an equi-join.
+    """Pairs of runs (a < b) that belong together: side by side, or stacked; candidates from neighbouring grid cells.
 
-    ``sized`` lets the rule depend on the number of runs of the page: from 50 on cells are twice as wide and boxes that are far
-    apart are left out first; from 1,000 on runs also belong together by the distance of their centers. There is no cap on a
-    run's neighbours.
+    Vertical overlap above 0.3 of either font and a horizontal gap below t (twice the page's mean font size); or 0.6 of the narrower
+    width in common and a vertical gap below 1.5 t. ``sized`` lets the rule depend on the number of runs of the page: from 50 on cells
+    are twice as wide and boxes that are far apart are left out first; from 1,000 on runs also belong together by the distance of
+    their centers. There is no cap on a run's neighbours. A page is done by one call that joins its grid cells in arrays, so the
+    runs are neither copied for their cells nor moved.
     """
-    boxes = _boxes(glyphs, sized)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = boxes.withColumn("d", F.explode(near)).select(*PAGE, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), F.col("seq").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("font_size").alias("af"), "t", "n")
-    b = boxes.select(*PAGE, "cx", "cy", F.col("seq").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("font_size").alias("bf"))
-    return a.join(b.hint("merge"), [*PAGE, "cx", "cy"]).where("a < b").where(F.expr(MERGE_SIZED if sized else MERGE)).select(*PAGE, "a", "b")
-
 
-#: Vertical overlap above 0.3 of either font and a horizontal gap below t; or 0.6 of the narrower width in common and a vertical gap below 1.5 t.
-_VO = "(least(ay + af, by + bf) - greatest(ay, by))"
-_HO = "(least(ax + aw, bx + bw) - greatest(ax, bx))"
-MERGE = f"(({_VO} > 0.3 * af or {_VO} > 0.3 * bf) and {_VO} > 0 and -{_HO} < t) or (least(aw, bw) > 0 and {_HO} > 0.6 * least(aw, bw) and -{_VO} >= 0 and -{_VO} < 1.5 * t)"
+    def edges(page: pa.Table) -> pa.Table:
+        seq, cells = _boxes(page)
+        found = [(np.minimum(seq[a], seq[b]), np.maximum(seq[a], seq[b])) for a, b in _pairs(*cells, sized)]
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        a, b = a[a < b], b[a < b]
+        return pa.table([*(pa.repeat(page[c][0], len(a)) for c in PAGE), pa.array(a), pa.array(b)], names=[*PAGE, "a", "b"])
 
-_DX, _DY = "abs((ax + aw / 2) - (bx + bw / 2))", "abs((ay + af / 2) - (by + bf / 2))"
-_HG, _VG = f"({_DX} - (aw + bw) / 2)", f"({_DY} - (af + bf) / 2)"
-#: Boxes that aren't far apart; y is the reach upwards and downwards in units of t.
-_COARSE = f"(-{_HO} <= t and -{_VO} <= {{y}} * t and {_HG} <= t and {_VG} <= 1.5 * t and not ({_HG} > 0.8 * t and {_VG} > t))"
-#: Centers that are close, neither side by side nor of unlike fonts or narrow boxes.
-_CLOSE = f"({_DX} <= 2 * {_DY} and af <= 3 * aw and bf <= 3 * bw and abs(af - bf) <= 0.5 * greatest(af, bf) and greatest({_HG}, 0) < t and greatest({_VG}, 0) < 1.5 * t)"
-MERGE_SIZED = f"case when n < 50 then ({MERGE}) when n < 1000 then {_COARSE.format(y=1.1)} and ({MERGE}) else {_COARSE.format(y=1.0)} and (({MERGE}) or {_CLOSE}) end"
+    own = glyphs.select(*(F.col(c).cast("bigint") for c in PAGE), F.col("seq").cast("bigint").alias("seq"), "x", "y", "w", "font_size")
+    return own.groupBy(*PAGE).applyInArrow(edges, "doc_id bigint, page_num bigint, a bigint, b bigint")
 
 
 def clusters(glyphs: DataFrame, sized: bool = False) -> DataFrame:
@@ -223,20 +209,33 @@ def _labelled(glyphs: DataFrame, sized: bool = False) -> DataFrame:
     neither copied for their cells nor moved."""
 
     def label(page: pa.Table) -> pa.Table:
-        seq = page["seq"].to_numpy()
-        order = np.argsort(seq, kind="stable")
-        cells = [page[c].cast(pa.float64()).to_numpy()[order] for c in ("x", "y", "w", "font_size")]
+        seq, cells = _boxes(page)
+        first = np.arange(len(seq))
+        for a, b in _pairs(*cells, sized):
+            while len(a):
+                a, b = first[a], first[b]
+                a, b = a[a != b], b[a != b]
+                np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
+                while (first[first] != first).any():
+                    first = first[first]
         found = np.empty(len(seq), np.int64)
-        found[order] = seq[order][_components(*cells, sized)]
+        found[np.argsort(page["seq"].to_numpy(), kind="stable")] = seq[first]
         return page.append_column("cluster", pa.array(found))
 
     schema = StructType([*glyphs.schema.fields, StructField("cluster", LongType())])
     return glyphs.groupBy(*PAGE).applyInArrow(label, schema)
 
 
-def _components(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, sized: bool) -> np.ndarray:
-    """For each run the first one of its component."""
-    n, t, label = len(x), 2 * f.mean(), np.arange(len(x))
+def _boxes(page: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """seq, and x, y, w and font_size, by seq."""
+    seq = page["seq"].to_numpy()
+    order = np.argsort(seq, kind="stable")
+    return seq[order], [page[c].cast(pa.float64()).to_numpy()[order] for c in ("x", "y", "w", "font_size")]
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, sized: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of runs that belong together, each pair once; some ``PAIRS`` candidates are compared at a time."""
+    n, t = len(x), 2 * np.nanmean(f)
     cell = 2 * t if sized and n >= 50 else t
     cell = cell if cell > 0 else 1
     cx, cy = (np.floor(np.nan_to_num(c / cell)).astype(np.int64) for c in (x + w / 2, y + f / 2))
@@ -254,16 +253,10 @@ def _components(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, size
             a = np.repeat(np.arange(at, stop), counts)
             b = order[np.repeat(first[at:stop] - (done[at:stop] - done[at]), counts) + np.arange(len(a))]
             at = stop
-            belong = _belong(x, y, w, f, t, n if sized else 0, a, b) & (a != b)
-            a, b = a[belong], b[belong]
-            while len(a):
-                a, b = label[a], label[b]
-                apart = a != b
-                a, b = a[apart], b[apart]
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-                while (label[label] != label).any():
-                    label = label[label]
-    return label
+            if not step:  # within a cell each pair shows up from both sides
+                a, b = a[a < b], b[a < b]
+            belong = _belong(x, y, w, f, t, n if sized else 0, a, b)
+            yield a[belong], b[belong]
 
 
 def _belong(x: np.ndarray, y: np.ndarray, w: np.ndarray, f: np.ndarray, t: float, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

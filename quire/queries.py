@@ -187,6 +187,20 @@ for _by, _order in {"position": "min_y + max_y DESC, min_x", "size": "(max_x - m
     ORACLE[f"sort_{_by}"] = _B + f" SELECT doc_id, page_num, block_id, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY {_order}, block_id) AS place FROM b"
 
 
+# the rules of merge_edges in SQL
+_VO = "(least(ay + af, by + bf) - greatest(ay, by))"
+_HO = "(least(ax + aw, bx + bw) - greatest(ax, bx))"
+MERGE = f"(({_VO} > 0.3 * af or {_VO} > 0.3 * bf) and {_VO} > 0 and -{_HO} < t) or (least(aw, bw) > 0 and {_HO} > 0.6 * least(aw, bw) and -{_VO} >= 0 and -{_VO} < 1.5 * t)"
+
+_DX, _DY = "abs((ax + aw / 2) - (bx + bw / 2))", "abs((ay + af / 2) - (by + bf / 2))"
+_HG, _VG = f"({_DX} - (aw + bw) / 2)", f"({_DY} - (af + bf) / 2)"
+#: Boxes that aren't far apart; y is the reach upwards and downwards in units of t.
+_COARSE = f"(-{_HO} <= t and -{_VO} <= {{y}} * t and {_HG} <= t and {_VG} <= 1.5 * t and not ({_HG} > 0.8 * t and {_VG} > t))"
+#: Centers that are close, neither side by side nor of unlike fonts or narrow boxes.
+_CLOSE = f"({_DX} <= 2 * {_DY} and af <= 3 * aw and bf <= 3 * bw and abs(af - bf) <= 0.5 * greatest(af, bf) and greatest({_HG}, 0) < t and greatest({_VG}, 0) < 1.5 * t)"
+MERGE_SIZED = f"case when n < 50 then ({MERGE}) when n < 1000 then {_COARSE.format(y=1.1)} and ({MERGE}) else {_COARSE.format(y=1.0)} and (({MERGE}) or {_CLOSE}) end"
+
+
 def _edges(rule: str, cell: str) -> str:
     rule = re.sub(r"\bby\b", '"by"', rule)
     return _G + f""", z AS (SELECT *, 2 * avg(font_size) OVER (PARTITION BY doc_id, page_num) AS t, count(*) OVER (PARTITION BY doc_id, page_num) AS n FROM g),
@@ -197,7 +211,7 @@ p AS (SELECT a.doc_id, a.page_num, a.seq AS a, b.seq AS b, a.x AS ax, a.y AS ay,
 SELECT doc_id, page_num, a, b FROM p WHERE {rule}"""
 
 
-@query(_edges(layout.MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
+@query(_edges(MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
 def merge_edges_sized(spark, sf_dir):
     return layout.merge_edges(glyphs(spark, sf_dir), sized=True)
 
@@ -212,7 +226,7 @@ cc(doc_id, page_num, seq, cluster) USING KEY (doc_id, page_num, seq) AS (
 SELECT doc_id, page_num, seq, cluster FROM cc"""
 
 
-@query(_clusters(layout.MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
+@query(_clusters(MERGE_SIZED, "CASE WHEN n >= 50 THEN 2 * t ELSE t END"))
 def clusters_sized(spark, sf_dir):
     return layout.clusters(glyphs(spark, sf_dir), sized=True)
 
@@ -247,12 +261,12 @@ def layout_relations(spark, sf_dir):
     return layout.neighbours(blocks(spark, sf_dir))
 
 
-@query(_edges(layout.MERGE, "t"))
+@query(_edges(MERGE, "t"))
 def merge_edges(spark, sf_dir):
     return layout.merge_edges(glyphs(spark, sf_dir))
 
 
-@query(_clusters(layout.MERGE, "t"))
+@query(_clusters(MERGE, "t"))
 def clusters(spark, sf_dir):
     return layout.clusters(glyphs(spark, sf_dir))
 
@@ -280,7 +294,7 @@ _CTX = _B + _CLASSIFIED
 
 # clusters as the query clusters finds them, their bands and order, and the order of their runs (baselines are 14 apart)
 _ORDERED = (
-    _clusters(layout.MERGE, "t").rsplit("\nSELECT doc_id, page_num, seq, cluster FROM cc", 1)[0]
+    _clusters(MERGE, "t").rsplit("\nSELECT doc_id, page_num, seq, cluster FROM cc", 1)[0]
     + f""", g AS ({_G} SELECT * FROM g), r AS (SELECT g.*, cluster FROM g JOIN cc USING (doc_id, page_num, seq)),
 cb AS (SELECT doc_id, page_num, cluster AS block_id, min(x) AS min_x, max(x + w) AS max_x, min(y) AS min_y, max(y + font_size) AS max_y, avg(font_size) AS font, bool_or(bold) AS bold FROM r GROUP BY ALL),
 e AS (SELECT *, CASE WHEN max_y - min(min_y) OVER (PARTITION BY doc_id, page_num ORDER BY min_y + max_y DESC, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < -10 THEN 1 ELSE 0 END AS new FROM cb),
