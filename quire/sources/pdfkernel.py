@@ -649,7 +649,10 @@ def _measure(doc: Document, head: dict, below: dict) -> Callable[[int], float] |
     program = get(about.get("FontFile")) if isinstance(about, dict) else None
     if not isinstance(program, Stream):
         return None
-    font = Type1.read(decode(program, doc))
+    try:
+        font = Type1.read(decode(program, doc))
+    except (PdfError, ValueError, IndexError):
+        return None  # a damaged program leaves the text without widths
     return lambda code: font.width(font.encoding.get(code, ".notdef")) * font.matrix[0] * 1000
 
 

@@ -113,3 +113,13 @@ def test_metrics_of_composite_fonts():
 
 def test_codespaces():
     assert codespaces(b"/CIDInit 2 begincodespacerange <00> <80> <8140> <FEFE> endcodespacerange") == [(b"\0", b"\x80"), (b"\x81\x40", b"\xfe\xfe")]
+
+
+def test_widths_from_an_embedded_program():
+    for data, want in ((type1(), [("A", 600), ("B", -250), ("C", 0)]), (b"nothing", [("A", 0), ("B", 0), ("C", 0)])):
+        head = {"Subtype": pdfkernel.Name("Type1"), "FontDescriptor": {"FontFile": pdfkernel.Stream({}, data)}}
+        got = list(pdfkernel.Font(pdfkernel.Document(b""), head, metrics=True).glyphs(b"ABC"))
+        assert [s for s, _ in got] == ["A", "B", "C"] and [w for _, w in got] == pytest.approx([w for _, w in want])
+        assert [w for _, w in pdfkernel.Font(pdfkernel.Document(b""), head).glyphs(b"ABC")] == [0, 0, 0]
+    listed = head | {"FirstChar": 65, "Widths": [333], "FontDescriptor": {"FontFile": pdfkernel.Stream({}, type1())}}
+    assert [w for _, w in pdfkernel.Font(pdfkernel.Document(b""), listed, metrics=True).glyphs(b"AB")] == pytest.approx([333, -250])
